@@ -33,7 +33,7 @@ def codewords(n: int) -> np.ndarray:
     """A row of -1 and 1 for each of ``n`` languages. Up to 5 languages have every way to part them in two as a
     bit; more have the rows of a Hadamard matrix, any two of which differ in half of their bits."""
     if n <= 5:
-        parts = np.arange(2 ** max(n - 1, 0) - 1)[None, :] >> np.arange(max(n - 1, 0))[:, None] & 1
+        parts = np.arange(1, 2 ** max(n - 1, 0))[None, :] >> np.arange(max(n - 1, 0))[:, None] & 1
         return np.vstack((np.ones((min(n, 1), parts.shape[1])), 1 - 2 * parts[: n - 1] if n > 1 else parts[:0])) * 1.0
     h = np.ones((1, 1))
     while len(h) < n:
