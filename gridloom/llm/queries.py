@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup, token_counts, token_ids, warc
+from . import language_id, near_dedup, substring_dedup, token_counts, token_ids, warc
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_token_ids": token_ids.op4_token_ids,
+    "op5_language_id": language_id.op5_language_id,
     "op7_near_duplicates": near_dedup.op7_near_duplicates,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_warc": warc.op10_warc,
