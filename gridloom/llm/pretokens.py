@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -77,7 +78,7 @@ class PreTokenMemory(dict):
     a pre-token can't contain, is one id.
     """
 
-    def __init__(self, data: dict, encode: Callable, limit: int = 600_000):
+    def __init__(self, data: dict, encode: Callable, limit: int = 1_000_000):
         super().__init__()
         self.split, self.encode, self.limit = PreTokenizer(data), encode, limit
         self.new: list[str] = []
@@ -99,7 +100,7 @@ class PreTokenMemory(dict):
         parts = [self.split.split(t) for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         look = self.__getitem__
-        flat = np.fromiter((look(w) for p in parts for w in p), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(look, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
         if self.new:
             self._learn()
         return flat, sizes

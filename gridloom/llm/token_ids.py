@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from .common import filesystem, pieces, slots, table, work_dir
 from .dac import Segment, encode
-from .pretokens import PreTokenMemory, load
+from .pretokens import PreTokenMemory, byte_letters, load
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -27,19 +27,20 @@ _INDEX = "part int, segment int, file string, doc_id long, n_tokens long, local_
 
 @cache
 def _memory(vocabulary: str) -> PreTokenMemory:
-    """One per Python worker: the tokenizers library encodes each new pre-token, the memory repeats it."""
+    """One per Python worker: the tokenizers library's model encodes each new pre-token, the memory repeats it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    model = Tokenizer.from_file(public_tokenizers.path(vocabulary)).model
+    letters = dict(enumerate(byte_letters()))
 
     def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return lengths, np.fromiter((x for e in ids for x in e), np.uint32, int(lengths.sum()))
+        tokens = [model.tokenize(w.encode().decode("latin-1").translate(letters)) for w in words]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return lengths, np.fromiter((x.id for t in tokens for x in t), np.uint32, int(lengths.sum()))
 
-    return PreTokenMemory(load(vocabulary), encoded, limit=400_000)
+    return PreTokenMemory(load(vocabulary), encoded)
 
 
 class _Files:
