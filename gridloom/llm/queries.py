@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import host_reputation, language_id, near_dedup, substring_dedup, token_counts, token_ids, warc
+from . import decontaminate, host_reputation, language_id, near_dedup, substring_dedup, token_counts, token_ids, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_language_id": language_id.op5_language_id,
