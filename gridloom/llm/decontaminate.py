@@ -25,7 +25,6 @@ RATE = 0.1
 LEAST = 40
 #: Benchmark characters that one pass over the documents looks for; more take more passes.
 BLOCK_CHARS = 16_000_000
-_FOUND = "doc_id long, contaminated boolean, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>"
 
 
 def normal(text: str | None) -> str:
@@ -136,49 +135,54 @@ class Items:
         return found
 
 
-def _scan(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _blocks(benchmark: DataFrame, q: int, rate: float) -> Iterator[Items]:
+    """The index of each block of the benchmark. Its size is measured first: up to BLOCK_CHARS characters are one
+    block; a larger benchmark has more, each about as large, and only one at a time is on the driver."""
+    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    blocks = -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
+    for k in range(blocks):
+        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        yield Items([r[0] for r in block], [r[1] for r in block], q, rate)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def leak_finder(spark: SparkSession, items: Items):
+    """A column function: array of (item_id, edits, start, end) of the items found in a text."""
+    shared = spark.sparkContext.broadcast(items)
+
+    @F.pandas_udf("array<struct<item_id:long,edits:int,start:long,end:long>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
         for batch in batches:
-            texts = [normal(t) for t in batch["text"]]
-            rows = []
+            texts = [normal(t) for t in batch]
+            rows: list[list[dict]] = []
             for a, b in pieces(texts, 1_000_000):
                 found = index.search(texts[a:b])
                 for k in range(b - a):
                     hits = sorted((index.ids[i], *v) for i, v in found.get(k, {}).items())
-                    rows.append((bool(hits), *([h[j] for h in hits] for j in range(4))))
-            frame = pd.DataFrame(rows, columns=["contaminated", "item_ids", "edits", "starts", "ends"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield frame.astype({"doc_id": "Int64"})
+                    rows.append([dict(zip(("item_id", "edits", "start", "end"), h, strict=True)) for h in hits])
+            yield pd.Series(rows, dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, _FOUND)
+    return find
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """doc_id, contaminated, item_ids, edits, starts, ends of each row of ``docs``.
+def with_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", q: int = Q, rate: float = RATE) -> DataFrame:
+    """``docs`` with a column ``name``: the benchmark items (item_id, text) that each row's text leaks.
 
-    A document is contaminated by an item (item_id, text) if the item's whole normalized text lies in its own
-    with at most ``rate`` edits a character. Items under LEAST characters, null or blank among them, are
-    skipped, as they stand in clean documents too; null and empty documents are clean. Repeated rows and
-    repeated items each count. The benchmark's size is measured first: up to BLOCK_CHARS characters are
-    broadcast, a larger one is searched for in as many passes as it has blocks of that size.
+    An item leaks if its whole normalized text lies in the document's with at most ``rate`` edits a character.
+    Items under LEAST characters, null or blank among them, are skipped, as they stand in clean documents too.
+    Null and empty documents leak nothing; repeated rows and repeated items each count. No row moves between
+    tasks; a benchmark of several blocks is looked for block by block.
     """
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
-    parts = []
-    for k in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id").collect()
-        parts.append(_scan(docs, Items([r[0] for r in block], [r[1] for r in block], q, rate)))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    flat = lambda c: F.flatten(F.collect_list(c))
-    return every.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), *(flat(c).alias(c) for c in ("item_ids", "edits", "starts", "ends")))
+    for k, items in enumerate(_blocks(benchmark, q, rate)):
+        found = leak_finder(docs.sparkSession, items)(F.col("text"))
+        docs = docs.withColumn(name, F.concat(F.col(name), found) if k else found)
+    return docs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
+    """doc_id, contaminated, leaks of each row of ``docs``; see ``with_leaks``. Other columns aren't read."""
+    found = with_leaks(docs.select("doc_id", "text"), benchmark, q=q, rate=rate)
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), "leaks")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

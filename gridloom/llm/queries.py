@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_reputation, language_id, near_dedup, substring_dedup, token_counts, token_ids, warc
+from . import decontaminate, host_reputation, language_id, media, mixing, near_dedup, substring_dedup, token_counts, token_ids, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_mixing": mixing.op3_mixing,
     "op4_token_ids": token_ids.op4_token_ids,
     "op5_language_id": language_id.op5_language_id,
     "op6_url_filter": host_reputation.op6_url_filter,
     "op7_near_duplicates": near_dedup.op7_near_duplicates,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_media_copies": media.op9_media_copies,
     "op10_warc": warc.op10_warc,
 }
 
