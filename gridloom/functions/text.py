@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -150,7 +151,7 @@ def locations(message: Column) -> Column:
 def id_ranges(text: Column, prefix: str = "FC-") -> Column:
     """``1-3,FC-00009`` as padded ids."""
     one = lambda part: F.when(part.rlike(r"^\d+-\d+$"), F.sequence(F.regexp_extract(part, r"^(\d+)", 1).cast("int"), F.regexp_extract(part, r"(\d+)$", 1).cast("int"))).otherwise(F.array(F.regexp_extract(part, r"(\d+)$", 1).cast("int")))
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(F.flatten(F.transform(parts, one)), lambda n: F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0")))
 
 
@@ -163,7 +164,6 @@ def output_name(path: Column, suffix: str = ".xlsx", default: str = "table") ->
 def duplicate_json_keys():
     """A column function: sorted names that some object of a JSON text repeats, at any depth that can be
     parsed; null where the text is no JSON."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def repeated(raw: pd.Series) -> pd.Series:

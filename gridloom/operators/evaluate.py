@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -146,8 +147,6 @@ def number_set_metrics(pairs: DataFrame, truth: str = "truth_numbers", actual: s
 
 def sequence_similarity(one: str, other: str, most: int = 4000):
     """2 M / T of longest matching blocks of two text columns, null for texts over ``most`` characters."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import scoring
+from . import scoring, texts
 
-QUERIES = {**scoring.QUERIES}
-ORACLE = {**scoring.ORACLE}
+_PARTS = (scoring, texts)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
