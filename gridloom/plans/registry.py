@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scoring, texts
+from . import scoring, series, texts
 
-_PARTS = (scoring, texts)
+_PARTS = (scoring, texts, series)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
