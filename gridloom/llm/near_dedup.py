@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with odd sketches.
 
 Documents are sets of five-word shingles. Equal sets become one class. Each class has 40 band keys of 6
-MinHash values, and an odd sketch: the samples of 2,048 one-permutation MinHash bins, each flipping one bit of
+MinHash values, and an odd sketch: the samples of 4,096 one-permutation MinHash bins, each flipping one bit of
 a 2,048-bit map. The population count of two maps' XOR tells how many samples differ, most precisely where
 few do, so candidates that share a band are dropped by it before full sets are compared.
 
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slots, stored, table
 from .components import connected_components
 from .words import WordHashes, mixed, window_hashes, words
 
@@ -31,7 +31,7 @@ WORDS = 5
 PERCENT = 85
 #: A pair at the threshold is missed by all bands with probability (1 - 0.85 ** 6) ** 40 = 6e-9.
 BANDS, ROWS = 40, 6
-BINS = 2048
+BINS = 4096
 BITS = 2048
 #: Members of a band group that are compared in one task: two chunks.
 CHUNK = 1024
@@ -83,18 +83,17 @@ def odd_sketch(items: np.ndarray) -> np.ndarray:
 
 
 def most_flips(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The largest XOR population count that a pair of sets of these sizes at the threshold has, but for five
-    standard deviations of sampling and of folding."""
+    """The largest XOR population count that a pair of sets of these sizes at the threshold has, but for six
+    standard deviations of sampling and folding together."""
     j = PERCENT / 100
     union = (n_a + n_b) / (1 + j)
     full = lambda n: BINS * -np.expm1(-n / BINS)  # noqa: E731  bins with samples
     bins = full(union)
     apart = np.maximum(full(n_a) + full(n_b) - 2 * j * bins, 0)
-    spread = 2 * np.sqrt(j * (1 - j) * bins * np.maximum(1 - bins / union, 0.01)) + 1
-    apart = apart + 5 * spread + 2
-    odd = BITS / 2 * -np.expm1(-2 * apart / BITS)
-    folding = np.sqrt(np.maximum(BITS / 4 * -np.expm1(-4 * apart / BITS) - apart * np.exp(-4 * apart / BITS), 1))
-    return odd + 5 * folding
+    stay = np.exp(-2 * apart / BITS)
+    sampling = 4 * j * (1 - j) * bins * np.maximum(1 - bins / union, 0.01) * stay**2
+    folding = np.maximum(BITS / 4 * (1 - stay**2) - apart * stay**2, 0)
+    return BITS / 2 * (1 - stay) + 6 * np.sqrt(sampling + folding) + 1
 
 
 def could_link(n_a, n_b, flips) -> np.ndarray:
@@ -149,38 +148,59 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield x.loc[np.array(ok, bool), ["a", "b"]]
 
 
+def _pairs_of(x: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
+    """Of whole blocks of band groups, in a row: pairs of different components which sketches leave. A pair counts
+    only in the group of its first common band. Else than with ``all_pairs``, each member's best is enough."""
+    n, comp, ids, chunk, key, block, chunks = (x[k].to_numpy(np.int64) for k in ("n_shingles", "component", "id", "chunk", "key", "block", "chunks"))
+    sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
+    bands = np.frombuffer(b"".join(x["bands"]), np.int64).reshape(len(x), -1)
+    band = (bands == key[:, None]).argmax(axis=1)
+    crossing = block // chunks != block % chunks  # of two chunks: only pairs across, each chunk has a block of its own
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(x)))
+    start, partners = np.repeat(first, size), np.repeat(size, size)
+    work = np.cumsum(partners)
+    found, lo = [], 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + 200_000)))
+        i = np.repeat(np.arange(lo, hi), partners[lo:hi])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(partners[lo:hi]) - partners[lo:hi], partners[lo:hi]) + start[i]
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        ok &= ~crossing[i] | (chunk[i] != chunk[j])
+        if all_pairs:
+            ok &= i < j
+        i, j = i[ok], j[ok]
+        flips = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+        ok = flips <= most_flips(n[i].astype(float), n[j].astype(float))
+        i, j, flips = i[ok], j[ok], flips[ok]
+        ok = (bands[i] == bands[j]).argmax(axis=1) == band[i]
+        i, j, flips = i[ok], j[ok], flips[ok]
+        if not all_pairs and len(i):
+            order = np.lexsort((flips, i))
+            best = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
+            i, j = i[best], j[best]
+        found.append(np.column_stack((ids[i], ids[j])))
+        lo = hi
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, dtype="int64")
+
+
 def _compare(all_pairs: bool):
-    """For one block of a band group: pairs of different components which sketches leave. A pair counts only in
-    the group of its first common band. Else than with ``all_pairs``, each member's best partner is enough."""
-
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.reset_index(drop=True)
-        key, block = x["key"].iat[0], x["block"].iat[0]
-        sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
-        bands = np.frombuffer(b"".join(x["bands"]), np.int64).reshape(len(x), -1)
-        n, comp, ids, chunk = (x[k].to_numpy(np.int64) for k in ("n_shingles", "component", "id", "chunk"))
-        band = int(np.flatnonzero(bands[0] == key)[0])
-        one_chunk = len(np.unique(chunk)) == 1
-        found = []
-        for i in range(len(x)):
-            other = np.flatnonzero(comp != comp[i])
-            other = other[other > i] if all_pairs else other
-            if block >= 0 and not one_chunk:  # a block of two chunks: pairs across them; each chunk alone has its own block
-                other = other[chunk[other] != chunk[i]]
-            other = other[100 * np.minimum(n[other], n[i]) >= PERCENT * np.maximum(n[other], n[i])]
-            if not len(other):
+    """``_pairs_of`` over a partition that is sorted by block: a block that goes on in the next batch waits."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for x in batches:
+            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
+            if not len(x):
                 continue
-            flips = np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            ok = flips <= most_flips(n[other].astype(float), float(n[i]))
-            other, flips = other[ok], flips[ok]
-            if band and len(other):
-                new = ~(bands[other, :band] == bands[i, :band]).any(axis=1)
-                other, flips = other[new], flips[new]
-            if len(other):
-                other = other if all_pairs else other[[np.argmin(flips)]]
-                found.append(np.column_stack((np.full(len(other), ids[i]), ids[other])))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, dtype="int64")
+            last = (x["key"] == x["key"].iat[-1]) & (x["block"] == x["block"].iat[-1])
+            done, rest = x[~last], x[last]
+            if len(done):
+                yield _pairs_of(done, all_pairs)
+        if rest is not None and len(rest):
+            yield _pairs_of(rest, all_pairs)
 
     return compare
 
@@ -226,8 +246,9 @@ class _Classes:
         pair_of = lambda c: F.least("chunk", c) * F.col("chunks") + F.greatest("chunk", c)
         dealt = inside.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair_of)))
         sides = self.signed.select("id", "n_shingles", "bands", "sketch")
-        ready = dealt.join(sides, "id").select("key", F.col("block").cast("long").alias("block"), "id", "chunk", "component", "n_shingles", "bands", "sketch")
-        pairs = ready.groupBy("key", "block").applyInPandas(_compare(all_pairs), "a long, b long").distinct()
+        ready = dealt.join(sides, "id").select("key", F.col("block").cast("long").alias("block"), "id", "chunk", "chunks", "component", "n_shingles", "bands", "sketch")
+        sorted_blocks = ready.repartition(slots(ready.sparkSession), "key", "block").sortWithinPartitions("key", "block")
+        pairs = sorted_blocks.mapInPandas(_compare(all_pairs), "a long, b long").distinct()
         return stored(self.links(pairs), "links")
 
 
