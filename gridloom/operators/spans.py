@@ -134,9 +134,8 @@ def _least_labels(edges: DataFrame, rounds: int) -> DataFrame:
     near = both.groupBy(DOC, "a").agg(F.collect_set("b").alias("near"))
     # A document's cells are few (SURVEY: at most 4,096), so that its groups are closed within one row.
     docs = near.groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("a", "near"))).alias("near"))
-    docs = docs.withColumn("label", F.transform_values("near", lambda k, v: k))
-    step = F.transform_values("near", lambda k, v: F.array_min(F.concat(F.transform(v, lambda b: F.element_at("label", b)), F.array(F.element_at("label", k)))))
-    for _ in range(rounds):
-        docs = docs.select(DOC, "near", step.alias("label"))
+    own = F.transform_values("near", lambda k, v: k)
+    step = lambda m, _: F.transform_values("near", lambda k, v: F.array_min(F.concat(F.transform(v, lambda b: F.element_at(m, b)), F.array(F.element_at(m, k)))))
+    docs = docs.select(DOC, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), own, step).alias("label"))
     found = docs.select(DOC, F.explode("label").alias("cell", "label"))
     return found.select(DOC, F.floor(F.col("cell") / 1000).alias("row"), (F.col("cell") % 1000).alias("col"), "label")

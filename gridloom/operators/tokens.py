@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -146,22 +145,25 @@ def read_cells(placed: DataFrame, axes: DataFrame) -> DataFrame:
     """Cells (doc_id, row_idx, col_idx, text, confidence) from placed pieces, in reading order.
 
     Pieces sorted by y start a new line where they are further than clamp(18 % of the row's height, 2, 8) from the
-    line's median so far; within a line they go by x. A cell has few pieces, so each is read in pandas."""
+    line's median so far; within a line they go by x. As a line's pieces come by rising y, its median is its middle
+    one, or the mean of its middle two."""
     height = F.get("rows", F.col("row_idx") + 1) - F.get("rows", F.col("row_idx"))
-    ready = placed.join(axes.select(DOC, "rows"), DOC).withColumn("limit", F.greatest(F.lit(2.0), F.least(F.lit(8.0), height * 0.18))).select(*CELL, "x", "y", "text", "score", "limit")
-
-    def read(g: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list[tuple]] = []
-        middle = 0.0
-        for piece in sorted(zip(g["y"], g["x"], g["text"], g["score"], strict=True)):
-            if not lines or abs(piece[0] - middle) > g["limit"].iat[0]:
-                lines.append([])
-            lines[-1].append(piece)
-            middle = float(pd.Series([p[0] for p in lines[-1]]).median())
-        found = [p for line in lines for p in sorted(line, key=lambda p: p[1]) if p[2]]
-        return pd.DataFrame({"doc_id": [g["doc_id"].iat[0]], "row_idx": [g["row_idx"].iat[0]], "col_idx": [g["col_idx"].iat[0]], "text": [" ".join(p[2] for p in found)], "confidence": [float(pd.Series([p[3] for p in found]).mean()) if found else 0.0]})
-
-    return ready.groupBy(*CELL).applyInPandas(read, "doc_id long, row_idx int, col_idx int, text string, confidence double")
+    limit = F.greatest(F.lit(2.0), F.least(F.lit(8.0), height * 0.18))
+    ready = placed.join(axes.select(DOC, "rows"), DOC).withColumn("limit", limit)
+    cells = ready.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("y", "x", "text", "score"))).alias("pieces"), F.first("limit").alias("limit"))
+    start = F.expr("named_struct('line', 0, 'ys', cast(array() as array<double>), 'out', cast(array() as array<struct<line:int,x:double,k:int,text:string,score:double>>))")
+
+    def add(acc: Column, p: Column) -> Column:
+        ys, n = acc["ys"], F.size(acc["ys"])
+        middle = (F.get(ys, ((n - 1) / 2).cast("int")) + F.get(ys, (n / 2).cast("int"))) / 2
+        new = (n > 0) & (F.abs(p["y"] - middle) > F.col("limit"))
+        line = acc["line"] + F.when(new, 1).otherwise(0)
+        said = F.struct(line.alias("line"), p["x"].alias("x"), F.size(acc["out"]).alias("k"), p["text"].alias("text"), p["score"].alias("score"))
+        return F.struct(line.alias("line"), F.when(new, F.array(p["y"])).otherwise(F.concat(ys, F.array(p["y"]))).alias("ys"), F.concat(acc["out"], F.array(said)).alias("out"))
+
+    ordered = F.sort_array(F.filter(F.aggregate("pieces", start, add)["out"], lambda o: o["text"] != ""))
+    total = F.aggregate(F.col("o.score"), F.lit(0.0), lambda t, x: t + x)
+    return cells.withColumn("o", ordered).select(*CELL, F.array_join("o.text", " ").alias("text"), F.when(F.size("o") > 0, total / F.size("o")).otherwise(0.0).alias("confidence"))
 
 
 def split_fused_headers(cells: DataFrame, scan: int = 3) -> DataFrame:

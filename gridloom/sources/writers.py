@@ -9,7 +9,7 @@ from ..functions.text import csv_guard, csv_quote, display_width
 from ..operators.grid import DOC, rectangularize, unicode_trim
 from ..operators.review import pending_labels
 
-BOM, CRLF = "﻿", "\r\n"
+BOM, CRLF = "\ufeff", "\r\n"
 
 
 def exportable(cells: DataFrame) -> DataFrame:
