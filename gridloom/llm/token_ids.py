@@ -46,9 +46,9 @@ def _memory(vocabulary: str) -> PreTokenMemory:
 class _Files:
     """Writes the segments of one task and tells where each document went."""
 
-    def __init__(self, folder: str, part: int):
+    def __init__(self, folder: str, part: int, limit: int):
         self.fs, self.path = filesystem(folder)
-        self.folder, self.part, self.attempt, self.segment = folder, part, uuid.uuid4().hex[:12], 0
+        self.folder, self.part, self.limit, self.attempt, self.segment = folder, part, limit, uuid.uuid4().hex[:12], 0
         self.empty()
 
     def empty(self) -> None:
@@ -60,13 +60,13 @@ class _Files:
         ends = np.cumsum(sizes)
         while at < len(docs):
             done = int(ends[at - 1]) if at else 0
-            stop = min(int(np.searchsorted(ends, done + FILE_IDS - self.total)) + 1, len(docs))
+            stop = min(int(np.searchsorted(ends, done + self.limit - self.total)) + 1, len(docs))
             self.ids.append(ids[done : int(ends[stop - 1])])
             self.docs.append(docs[at:stop])
             self.sizes.append(sizes[at:stop])
             self.total += int(ends[stop - 1]) - done
             at = stop
-            if self.total >= FILE_IDS:
+            if self.total >= self.limit:
                 yield self.close()
 
     def close(self) -> pd.DataFrame:
@@ -80,7 +80,7 @@ class _Files:
         return told
 
 
-def write_token_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
+def write_token_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write all documents' ids to ``folder`` and return its index: one row per document.
 
     Documents are dealt by ranges of doc_id, so that files in order of (part, segment) hold them in ascending
@@ -94,7 +94,7 @@ def write_token_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY,
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        memory, files = _memory(vocabulary), _Files(folder, TaskContext.get().partitionId())
+        memory, files = _memory(vocabulary), _Files(folder, TaskContext.get().partitionId(), file_ids)
         for batch in batches:
             texts, ids = batch["text"].tolist(), batch["doc_id"].to_numpy(np.int64)
             for a, b in pieces(texts):

@@ -94,7 +94,7 @@ def record_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return digests.join(first, "sha1").select("page_id", "sha1", "n_bytes", F.when(other, F.col("first_id")).alias("refers_to"), other.alias("revisit"))
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record per page to ``folder`` and return the index.
 
     Of records with equal payloads of at least ``least_bytes``, that with the smallest page_id is the
@@ -121,7 +121,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
                 out.write(data)
                 told.append((page, url, "revisit" if revisit else "response", refers, digest, int(size), f"{folder}/{name}", at, len(data)))
                 at += len(data)
-                if at >= FILE_BYTES:
+                if at >= file_bytes:
                     out.close()
                     out = None
             frame = pd.DataFrame(told, columns=[c.split()[0] for c in _INDEX.split(", ")])

@@ -55,10 +55,10 @@ def test_dac_round_trip(size):
 
 
 @pytest.mark.parametrize("file_ids", [50, 10**6])
-def test_token_ids(spark, library, monkeypatch, file_ids):
-    monkeypatch.setattr(token_ids, "FILE_IDS", file_ids)
-    rows = [(i * 7 % 301, t, None, None, 1) for i, t in enumerate(texts())] + [(1000 + i, r[1], *r[2:]) for i, r in enumerate(ROWS)]
-    index = token_ids.write_token_ids(documents(spark, rows), work_dir(spark, "ids"))
+def test_token_ids(spark, library, file_ids):
+    rows = [(i * 7 % 307, t, None, None, 1) for i, t in enumerate(texts())] + [(1000 + i, r[1], *r[2:]) for i, r in enumerate(ROWS)]
+    index = token_ids.write_token_ids(documents(spark, rows), work_dir(spark, "ids"), file_ids=file_ids)
+    assert (index.select("file").distinct().count() > 20) == (file_ids == 50)
     start, want, every = 0, [], []
     for doc, text, *_ in sorted(rows):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -82,9 +82,8 @@ PAGES = [(3, "http://a/é b", "<p>x</p>"), (1, "http://a/2", "<p>x</p>"), (2, No
 
 @pytest.mark.parametrize("file_bytes", [400, 1 << 26])
 @pytest.mark.parametrize("least", [0, 9])
-def test_warc(spark, monkeypatch, file_bytes, least):
-    monkeypatch.setattr(warc, "FILE_BYTES", file_bytes)
-    index = warc.write_warc(pages(spark, PAGES), work_dir(spark, "warc"), least)
+def test_warc(spark, file_bytes, least):
+    index = warc.write_warc(pages(spark, PAGES), work_dir(spark, "warc"), least, file_bytes)
     want = []
     for page, _, html in PAGES:
         payload = (html or "").encode()
