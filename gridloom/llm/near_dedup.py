@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(classes.rest_links(labels, all_pairs))
     labels = connected_components(links)
     of_class = classes.first.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    found = classes.docs.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = classes.docs.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
