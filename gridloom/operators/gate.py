@@ -59,7 +59,7 @@ def cell_findings(cells: DataFrame, docs: DataFrame) -> DataFrame:
 def validate(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, findings (at most 40 summaries, at most 100 in all, summaries first), valid."""
     shapes = docs.select(DOC, "n_rows", "n_cols")
-    odd = span_findings(spans, shapes).where("not in_bounds or overlaps")
+    odd = span_findings(spans, shapes).where("not in_bounds or overlapping")
     by_span = odd.groupBy(DOC).agg(F.sort_array(F.collect_list(F.concat(F.lit("span "), F.col("span_id").cast("string"), F.when(~F.col("in_bounds"), " outside").otherwise(" overlaps")))).alias("span_details"))
     none = F.array().cast("array<string>")
     joined = document_findings(docs).join(cell_findings(cells, docs), DOC, "left").join(by_span, DOC, "left")

@@ -44,10 +44,10 @@ def span_roles(spans: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def span_findings(spans: DataFrame, shape: DataFrame) -> DataFrame:
-    """D3: the spans with in_bounds and overlaps."""
+    """D3: the spans with in_bounds and overlapping."""
     sized = spans.join(shape, DOC, "left")
     inside = (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (F.col("row_span") >= 1) & (F.col("col_span") >= 1) & (F.col("row_idx") + F.col("row_span") <= F.col("n_rows")) & (F.col("col_idx") + F.col("col_span") <= F.col("n_cols"))
-    shared = coverage(spans).withColumn("n", F.count("*").over(W.partitionBy(*CELL))).groupBy(*SPAN).agg((F.max("n") > 1).alias("overlaps"))
+    shared = coverage(spans).withColumn("n", F.count("*").over(W.partitionBy(*CELL))).groupBy(*SPAN).agg((F.max("n") > 1).alias("overlapping"))
     return sized.withColumn("in_bounds", F.coalesce(inside, F.lit(False))).join(shared, list(SPAN), "left").drop("n_rows", "n_cols")
 
 
