@@ -27,7 +27,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffles go when they have served, and Python workers get batches of bounded rows.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -36,12 +37,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffles behind it are of no more use then, so Spark is told to remove them when the write ends.
     """
     spark, path = df.sparkSession, work_dir(df.sparkSession, name)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,7 +60,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def pieces(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def pieces(texts: list, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` with about ``limit`` characters each, so that a worker holds little at once."""
     start = total = 0
     for k, text in enumerate(texts):

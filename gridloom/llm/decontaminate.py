@@ -153,10 +153,10 @@ def leak_finder(spark: SparkSession, items: Items):
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
         for batch in batches:
-            texts = [normal(t) for t in batch]
+            raw = batch.tolist()
             rows: list[list[dict]] = []
-            for a, b in pieces(texts, 1_000_000):
-                found = index.search(texts[a:b])
+            for a, b in pieces([t or "" for t in raw]):
+                found = index.search([normal(t) for t in raw[a:b]])
                 for k in range(b - a):
                     hits = sorted((index.ids[i], *v) for i, v in found.get(k, {}).items())
                     rows.append([dict(zip(("item_id", "edits", "start", "end"), h, strict=True)) for h in hits])

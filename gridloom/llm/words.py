@@ -21,7 +21,7 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
