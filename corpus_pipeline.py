@@ -16,6 +16,9 @@ from gridloom.llm.mixing import draw, mixing_rates
 from gridloom.llm.near_dedup import near_duplicates
 from gridloom.llm.token_ids import read_token_ids, write_token_ids
 
+#: Near copies in the pipeline: 100 * intersection >= NEAR_PERCENT * union of word shingles. (op7's own contract is 85.)
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear. Those without letters, and those whose best language hardly leads the
@@ -27,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id; of rows that repeat a
     doc_id, one. Rows without doc_id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 

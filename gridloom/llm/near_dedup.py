@@ -27,9 +27,9 @@ from .components import connected_components
 from .words import WordHashes, mixed, window_hashes, words
 
 WORDS = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links, unless told otherwise: 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: A pair at the threshold is missed by all bands with probability (1 - 0.85 ** 6) ** 40 = 6e-9.
+#: A pair at similarity s is missed by all bands with probability (1 - s ** 6) ** 40: 6e-9 at 0.85, 5e-6 at 0.8.
 BANDS, ROWS = 40, 6
 BINS = 4096
 BITS = 2048
@@ -82,10 +82,10 @@ def odd_sketch(items: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8))
 
 
-def most_flips(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def most_flips(n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The largest XOR population count that a pair of sets of these sizes at the threshold has, but for six
     standard deviations of sampling and folding together."""
-    j = PERCENT / 100
+    j = percent / 100
     union = (n_a + n_b) / (1 + j)
     full = lambda n: BINS * -np.expm1(-n / BINS)  # noqa: E731  bins with samples
     bins = full(union)
@@ -96,10 +96,10 @@ def most_flips(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return BITS / 2 * (1 - stay) + 6 * np.sqrt(sampling + folding) + 1
 
 
-def could_link(n_a, n_b, flips) -> np.ndarray:
+def could_link(n_a, n_b, flips, percent: int = PERCENT) -> np.ndarray:
     """Whether sizes and sketches leave a link possible."""
     n_a, n_b = np.asarray(n_a, float), np.asarray(n_b, float)
-    return (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)) & (flips <= most_flips(n_a, n_b))
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (flips <= most_flips(n_a, n_b, percent))
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,29 +126,37 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "items": [shingles(t).tobytes() for t in batch["text"]]})
 
 
-def _flips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _flips(percent: int):
     """Pairs (a, b) that sizes and sketches leave."""
-    for x in batches:
-        if len(x):
-            one, two = (np.frombuffer(b"".join(x[k]), np.uint64).reshape(len(x), -1) for k in ("sketch_a", "sketch_b"))
-            ok = could_link(x["n_a"], x["n_b"], np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64))
-            yield x.loc[ok, ["a", "b"]]
 
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                one, two = (np.frombuffer(b"".join(x[k]), np.uint64).reshape(len(x), -1) for k in ("sketch_a", "sketch_b"))
+                ok = could_link(x["n_a"], x["n_b"], np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64), percent)
+                yield x.loc[ok, ["a", "b"]]
+
+    return left
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _confirmed(percent: int):
     """Of pairs with both sets, those that link."""
-    for x in batches:
-        ok = []
-        for s, t in zip(x["items_a"], x["items_b"], strict=True):
-            one, two = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            both = np.concatenate((one, two))
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * same >= PERCENT * (len(both) - same))
-        yield x.loc[np.array(ok, bool), ["a", "b"]]
-
-
-def _pairs_of(x: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            ok = []
+            for s, t in zip(x["items_a"], x["items_b"], strict=True):
+                one, two = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                both = np.concatenate((one, two))
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * same >= percent * (len(both) - same))
+            yield x.loc[np.array(ok, bool), ["a", "b"]]
+
+    return linked
+
+
+def _pairs_of(x: pd.DataFrame, all_pairs: bool, percent: int) -> pd.DataFrame:
     """Of whole blocks of band groups, in a row: pairs of different components which sketches leave. A pair counts
     only in the group of its first common band. Else than with ``all_pairs``, each member's best is enough."""
     n, comp, ids, chunk, key, block, chunks = (x[k].to_numpy(np.int64) for k in ("n_shingles", "component", "id", "chunk", "key", "block", "chunks"))
@@ -166,13 +174,13 @@ def _pairs_of(x: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
         hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + 200_000)))
         i = np.repeat(np.arange(lo, hi), partners[lo:hi])
         j = np.arange(len(i)) - np.repeat(np.cumsum(partners[lo:hi]) - partners[lo:hi], partners[lo:hi]) + start[i]
-        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         ok &= ~crossing[i] | (chunk[i] != chunk[j])
         if all_pairs:
             ok &= i < j
         i, j = i[ok], j[ok]
         flips = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-        ok = flips <= most_flips(n[i].astype(float), n[j].astype(float))
+        ok = flips <= most_flips(n[i].astype(float), n[j].astype(float), percent)
         i, j, flips = i[ok], j[ok], flips[ok]
         ok = (bands[i] == bands[j]).argmax(axis=1) == band[i]
         i, j, flips = i[ok], j[ok], flips[ok]
@@ -186,7 +194,7 @@ def _pairs_of(x: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, dtype="int64")
 
 
-def _compare(all_pairs: bool):
+def _compare(all_pairs: bool, percent: int):
     """``_pairs_of`` over a partition that is sorted by block: a block that goes on in the next batch waits."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,9 +206,9 @@ def _compare(all_pairs: bool):
             last = (x["key"] == x["key"].iat[-1]) & (x["block"] == x["block"].iat[-1])
             done, rest = x[~last], x[last]
             if len(done):
-                yield _pairs_of(done, all_pairs)
+                yield _pairs_of(done, all_pairs, percent)
         if rest is not None and len(rest):
-            yield _pairs_of(rest, all_pairs)
+            yield _pairs_of(rest, all_pairs, percent)
 
     return compare
 
@@ -208,7 +216,8 @@ def _compare(all_pairs: bool):
 class _Classes:
     """The classes of equal sets, the members of their band groups, and the sets of those that have company."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, percent: int):
+        self.percent = percent
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.docs = stored(rows.mapInPandas(_signatures, _SIG), "signatures")
         real = self.docs.where("doc_id is not null and n_shingles > 0")
@@ -231,12 +240,12 @@ class _Classes:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs, those that link by their full sets."""
-        return self.with_both(pairs, self.sets, {"items": "items"}).mapInPandas(_confirmed, "a long, b long")
+        return self.with_both(pairs, self.sets, {"items": "items"}).mapInPandas(_confirmed(self.percent), "a long, b long")
 
     def star_links(self) -> DataFrame:
         pairs = self.members.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         sketched = self.with_both(pairs, self.signed, {"n_shingles": "n", "sketch": "sketch"})
-        return stored(self.links(sketched.mapInPandas(_flips, "a long, b long")), "links")
+        return stored(self.links(sketched.mapInPandas(_flips(self.percent), "a long, b long")), "links")
 
     def rest_links(self, labels: DataFrame, all_pairs: bool) -> DataFrame:
         """Links between members of one band group that have different labels (node, component) so far."""
@@ -248,19 +257,19 @@ class _Classes:
         sides = self.signed.select("id", "n_shingles", "bands", "sketch")
         ready = dealt.join(sides, "id").select("key", F.col("block").cast("long").alias("block"), "id", "chunk", "chunks", "component", "n_shingles", "bands", "sketch")
         sorted_blocks = ready.repartition(slots(ready.sparkSession), "key", "block").sortWithinPartitions("key", "block")
-        pairs = sorted_blocks.mapInPandas(_compare(all_pairs), "a long, b long").distinct()
+        pairs = sorted_blocks.mapInPandas(_compare(all_pairs, self.percent), "a long, b long").distinct()
         return stored(self.links(pairs), "links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
     Documents link where the sets of five-word shingles of their lower-cased words (A-Z only) have
-    100 * intersection >= 85 * union; a shorter text's set is its whole word sequence. Null, empty and blank
+    100 * intersection >= percent * union; a shorter text's set is its whole word sequence. Null, empty and blank
     texts have empty sets, link with nothing and are their own component. Rows with the same doc_id are one
     node. A null doc_id has no component and is kept. Columns other than doc_id and text aren't read.
     """
-    classes = _Classes(docs)
+    classes = _Classes(docs, percent)
     links = classes.star_links()
     for all_pairs in (False, True):
         labels = connected_components(links)

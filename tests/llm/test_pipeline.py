@@ -10,7 +10,7 @@ import corpus_pipeline
 from gridloom.llm import decontaminate as dc
 
 from .cases import ROWS, documents
-from .test_texts import brute_components
+from .test_texts import brute_components, words
 
 
 def test_stages_in_order(spark, data):
@@ -50,3 +50,22 @@ def test_stages_on_odd_rows(spark, data):
             docs = stage(spark, docs, data).persist()
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
+
+
+def test_near_copies_at_08_go(spark, data):
+    """The near-dedup stage against brute force at a similarity of 0.8, which leaves fewer rows than 0.85."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if (w := words(r.text, True)) else set() for r in docs.collect()}
+    kept = {}
+    for percent in (80, 85):
+        root = {d: d for d in sets}
+        pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        for _ in pairs:
+            before = dict(root)
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                break
+        kept[percent] = {d for d, c in root.items() if d == c}
+    found = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, data).collect()]
+    assert sorted(found) == sorted(kept[80]) and kept[80] < kept[85]

@@ -118,6 +118,30 @@ def test_near_duplicates(spark, rows):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found), key=repr) == brute_components(rows)
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85, linked at 80 and not at 85, and pairs just below 0.80."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        text = [f"p{i}x{k}" for k in range(124)]
+        rows += [(10 * i, " ".join(text), "en", "a", 1), (10 * i + 1, " ".join(text[: 97 + i % 8]), "en", "a", 1)]
+        rows.append((10 * i + 2, " ".join(text[:60] + ["edit"] + text[61 : 110 + rng.randrange(4)]), "en", "a", 1))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t, *_ in rows}
+    for percent in (80, 85):
+        root = {d: d for d in sets}
+        for _ in range(3):
+            for i in range(0, 400, 10):
+                for a in range(i, i + 3):
+                    for b in range(i, i + 3):
+                        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                            root[a] = root[b] = min(root[a], root[b])
+        found = nd.near_duplicates(documents(spark, rows, clash=False), percent).collect()
+        assert {r.doc_id: r.component_id for r in found} == root
+        linked = sum(d != c for d, c in root.items())
+        assert (0 < linked < 80) if percent == 80 else linked < last
+        last = linked
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     """A group of near copies over several chunks, none of whose members is the least one's link."""
     rng = random.Random(8)
