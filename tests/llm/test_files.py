@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -195,3 +196,32 @@ def test_table_join_recall_against_brute_force():
         brute += near.any(axis=1).sum() >= media.AGREE
         found += hits.any(axis=1).sum() >= media.AGREE
     assert found >= 0.9 * brute > 0
+
+
+def turned(picture, degrees, zoom):
+    """A picture turned and resized about its centre, between its pixels."""
+    a, c = np.deg2rad(degrees), (media.SIDE - 1) / 2
+    y, x = np.mgrid[: media.SIDE, : media.SIDE] - c
+    at = [np.clip(v / zoom + c, 0, media.SIDE - 1.001) for v in (y * np.cos(a) - x * np.sin(a), x * np.cos(a) + y * np.sin(a))]
+    (i, f), (j, g) = ((v.astype(int), v % 1) for v in at)
+    p = picture.astype(float)
+    return np.rint((p[i, j] * (1 - g) + p[i, j + 1] * g) * (1 - f) + (p[i + 1, j] * (1 - g) + p[i + 1, j + 1] * g) * f).astype(np.uint8)
+
+
+@pytest.mark.parametrize("degrees, zoom", [(10, 1), (45, 1), (0, 0.85), (0, 1.2)])
+def test_turned_and_resized_copies_against_all_descriptors(spark, degrees, zoom):
+    """Descriptor pairs of queries that the join finds, of all within NEAR bits; each once."""
+    real = pictures(30)
+    d = media.descriptors(np.concatenate((real, [turned(p, degrees, zoom) for p in real])))
+    names = ("level", "x", "y", "turn")
+    rows = [(int(p), k, *(int(d[c][k]) for c in names), *d["bits"][k].view(np.int64).tolist(), keys.tolist()) for k, (p, keys) in enumerate(zip(d["picture"], media.table_keys(d["bits"]), strict=True))]
+    found = media._near(spark.createDataFrame(rows, media._DESCRIPTORS), spark.range(10).withColumnRenamed("id", "query_id")).collect()
+    mine = np.flatnonzero(d["picture"] < 10)
+    near = np.bitwise_count(d["bits"][mine][:, None] ^ d["bits"][None]).sum(axis=2) <= media.NEAR
+    i, k = np.nonzero(near & (d["picture"][mine][:, None] != d["picture"][None]))
+    want = Counter((int(mine[a]), int(d["picture"][b]), *(int(d[c][b]) for c in names)) for a, b in zip(i, k, strict=True))
+    got = Counter((r.q, r.class_id, *(r[c] for c in names)) for r in found)
+    assert got <= want and got.total() >= 0.75 * want.total()
+    copies = lambda pairs: sum(n for (q, to, *_), n in pairs.items() if to == d["picture"][q] + 30)
+    print("recall", degrees, zoom, got.total() / want.total(), copies(got), copies(want))
+    assert copies(got) >= 0.8 * copies(want) > 0
