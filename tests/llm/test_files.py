@@ -225,3 +225,12 @@ def test_turned_and_resized_copies_against_all_descriptors(spark, degrees, zoom)
     copies = lambda pairs: sum(n for (q, to, *_), n in pairs.items() if to == d["picture"][q] + 30)
     print("recall", degrees, zoom, got.total() / want.total(), copies(got), copies(want))
     assert copies(got) >= 0.8 * copies(want) > 0
+
+
+def test_turns_around_zero_agree(spark):
+    """Matches one step to either side of no turn share a bin, and their mean lies there."""
+    rows = [(1, 2, q, 0, 48, 48, (3 + t) % media.BINS, 0, 48, 48, 3) for q, t in enumerate((29, 0, 1, 0))]
+    both = spark.createDataFrame(rows, "query_id long, class_id long, q int, level int, x int, y int, turn int, q_level int, q_x int, q_y int, q_turn int")
+    (found,) = media._agreed(both.withColumns({"x": F.lit(20), "y": F.lit(20), "q_x": F.lit(0), "q_y": F.lit(0)})).collect()
+    assert (found.query_id, found.match_id, found.best.agreeing) == (1, 2, 4)
+    assert min(found.best.turn, media.BINS - found.best.turn) < 0.01
