@@ -215,7 +215,7 @@ def test_turned_and_resized_copies_against_all_descriptors(spark, degrees, zoom)
     d = media.descriptors(np.concatenate((real, [turned(p, degrees, zoom) for p in real])))
     names = ("level", "x", "y", "turn")
     rows = [(int(p), k, *(int(d[c][k]) for c in names), *d["bits"][k].view(np.int64).tolist(), keys.tolist()) for k, (p, keys) in enumerate(zip(d["picture"], media.table_keys(d["bits"]), strict=True))]
-    found = media._near(spark.createDataFrame(rows, media._DESCRIPTORS), spark.range(10).withColumnRenamed("id", "query_id")).collect()
+    found = media._opened(media._near(spark.createDataFrame(rows, media._DESCRIPTORS), spark.range(10).withColumnRenamed("id", "query_id"))).collect()
     mine = np.flatnonzero(d["picture"] < 10)
     near = np.bitwise_count(d["bits"][mine][:, None] ^ d["bits"][None]).sum(axis=2) <= media.NEAR
     i, k = np.nonzero(near & (d["picture"][mine][:, None] != d["picture"][None]))
