@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted in tokens by cell (source, language, topic). The cells' weights are raked: scaled to each
-margin's targets in turn until all three agree. A document's probability is its cell's raked weight per
-token, scaled so that the likeliest cell is kept whole, and a hash of its id decides.
+margin's targets in turn until all three agree. They are raked for an expected size of the sample, the largest for
+which the tokens of no margin fall short of its targets by more than SHORT: a cell that would need more than all its
+tokens is kept whole, and the others are raked again to fill up its margins. A document's probability is its cell's
+raked tokens over its tokens, and a hash of its id decides.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ POWER = 0.85
 #: Raking ends when every margin is within this of its targets, or after ROUNDS rounds.
 TOLERANCE = 1e-6
 ROUNDS = 40
+#: Share of a margin's targets that may lack tokens, so that a few rare documents don't set the size of the sample.
+SHORT = 0.01
 SEED = 17
 #: The value of a margin where the column is null.
 NONE = "(none)"
@@ -61,37 +65,64 @@ def margin_targets(cells: DataFrame, margin: str, given: dict[str, float] | None
     return raw.crossJoin(F.broadcast(total)).select(margin, F.when(F.col("total") > 0, F.col("t") / F.col("total")).otherwise(0.0).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, size: float | None = None) -> DataFrame:
     """source, lang, topic, n, weight: raked shares of the cells (source, lang, topic, n), which sum to 1.
 
     Margins are raked in the order given; cells without tokens have no weight, values without target get
     none. The cells stay a Spark table, written after each round; only the largest deviation is fetched.
     Where targets contradict each other the last margin holds exactly and the others as nearly as can be.
+    With ``size``, tokens of the sample, no weight is over its cell's n / size; raking also ends when rounds no longer
+    change the largest deviation, and where caps leave targets out of reach weights sum to less than 1.
     """
     wanted = {m: stored(margin_targets(cells, m, (targets or {}).get(m), power), "targets") for m in MARGINS}
     now = cells.where("n > 0").withColumn("weight", F.col("n").cast("double"))
+    last = None
     for _ in range(rounds):
         for m in MARGINS:
             share = now.groupBy(m).agg(F.sum("weight").alias("w")).join(wanted[m], m)
             factor = share.select(m, F.when(F.col("w") > 0, F.col("target") / F.col("w")).otherwise(0.0).alias("factor"))
             now = now.join(factor, m).select(*MARGINS, "n", (F.col("weight") * F.col("factor")).alias("weight"))
+        if size is not None:
+            now = now.withColumn("weight", F.least("weight", F.col("n") / F.lit(float(size))))
         now = stored(now, "cells")
         gaps = [now.groupBy(m).agg(F.sum("weight").alias("w")).join(wanted[m], m).agg(F.max(F.abs(F.col("w") - F.col("target"))).alias("gap")) for m in MARGINS]
-        if (gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0) < TOLERANCE:
+        gap = gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0
+        if gap < TOLERANCE or (size is not None and last is not None and abs(last - gap) < TOLERANCE):
             break
+        last = gap
     return now
 
 
+def sample_size(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER) -> float:
+    """Tokens of the largest sample, in percents of all, for which no margin lacks more than SHORT of its targets'
+    tokens; 0 without tokens, and a percent where even that lacks more."""
+    shares = [F.lit(k / 100) for k in range(1, 101)]
+    lacking = None
+    for m in MARGINS:
+        seen = cells.groupBy(m).agg(F.sum("n").alias("n")).join(margin_targets(cells, m, (targets or {}).get(m), power), m)
+        total = cells.agg(F.sum("n").alias("total"))
+        each = seen.crossJoin(F.broadcast(total)).where("total > 0").withColumn("share", F.explode(F.array(*shares)))
+        short = F.greatest(F.col("target") - F.col("n") / (F.col("share") * F.col("total")), F.lit(0.0))
+        one = each.groupBy("share", "total").agg(F.sum(short).alias("short"))
+        lacking = one if lacking is None else lacking.union(one)
+    worst = lacking.groupBy("share", "total").agg(F.max("short").alias("short"))
+    found = worst.agg(F.max(F.when(F.col("short") <= SHORT, F.col("share") * F.col("total"))), F.min(F.col("share") * F.col("total"))).first()
+    return float(found[0] or found[1] or 0)
+
+
 def mixing_rates(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER) -> DataFrame:
     """source, lang, topic, weight, probability of each cell of ``docs`` that has tokens.
 
-    ``weight`` is the cell's raked share; ``probability`` is weight per token over the largest weight per
-    token, so that the kept tokens have the targets as expected margins.
+    ``weight`` is the cell's raked share of a sample of ``sample_size`` tokens; ``probability`` is its tokens there over
+    those it has, at most 1, so that the kept tokens have the targets as expected margins but for what SHORT allows and
+    for cells out of reach of all three margins. If no cell is whole, all are scaled until the likeliest is.
     """
     rows = docs.select(*(c.alias(k) for k, c in cell_of().items()), word_count(F.col("text")).alias("n"))
-    raked = rake(stored(rows.groupBy(*MARGINS).agg(F.sum("n").alias("n")), "cells"), targets, power)
-    top = raked.agg(F.max(F.col("weight") / F.col("n")).alias("top"))
-    return raked.crossJoin(F.broadcast(top)).select(*MARGINS, "weight", F.when(F.col("top") > 0, F.col("weight") / F.col("n") / F.col("top")).otherwise(0.0).alias("probability"))
+    cells = stored(rows.groupBy(*MARGINS).agg(F.sum("n").alias("n")), "cells")
+    size = sample_size(cells, targets, power)
+    raked = rake(cells, targets, power, size=size or None).withColumn("rate", F.col("weight") * F.lit(size) / F.col("n"))
+    top = raked.agg(F.max("rate").alias("top"))
+    return raked.crossJoin(F.broadcast(top)).select(*MARGINS, "weight", F.when(F.col("top") > 0, F.least(F.col("rate") / F.col("top"), F.lit(1.0))).otherwise(0.0).alias("probability"))
 
 
 def draw(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:

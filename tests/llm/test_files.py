@@ -234,3 +234,21 @@ def test_turns_around_zero_agree(spark):
     (found,) = media._agreed(both.withColumns({"x": F.lit(20), "y": F.lit(20), "q_x": F.lit(0), "q_y": F.lit(0)})).collect()
     assert (found.query_id, found.match_id, found.best.agreeing) == (1, 2, 4)
     assert min(found.best.turn, media.BINS - found.best.turn) < 0.01
+
+
+def test_rare_cells_do_not_thin_the_rest(spark):
+    """One document of a rare source, language and topic leaves most of the corpus in, with the margins near targets."""
+    rows = [(i, "one two three four " * 5, "en" if i % 3 else "fr", f"s{i % 4}", 1) for i in range(4000)]
+    rows.append((9999, "ask me@here.org now", "xx", "rare", 1))
+    docs = documents(spark, rows, clash=False)
+    found = mixing.mix(docs).collect()
+    kept = sum(r.probability * r.n_tokens for r in found)
+    assert kept > 0.8 * sum(r.n_tokens for r in found) and max(r.probability for r in found) == 1
+    for margin in mixing.MARGINS:
+        n = Counter()
+        expected = Counter()
+        for r in found:
+            n[r[margin]] += r.n_tokens
+            expected[r[margin]] += r.probability * r.n_tokens / kept
+        total = sum(v**mixing.POWER for v in n.values())
+        assert sum(abs(expected[k] - v**mixing.POWER / total) for k, v in n.items()) < 0.03
