@@ -168,34 +168,74 @@ def pictures(n):
     return media.draw(np.random.default_rng(5).normal(0, 0.125, (n, 64)))
 
 
+MEDIA = "media_id long, width int, height int, pixels binary"
+
+
 def test_media_copies(spark):
-    real = pictures(40)
-    rows = [(i, p.tobytes()) for i, p in enumerate(real)] + [(100 + 10 * i + kind, media.edited(real[i], kind).tobytes()) for i in range(20) for kind in range(4)]
-    rows += [(500, real[3].tobytes()), (501, None), (502, b"short"), (503, bytes(media.SIDE**2)), (None, real[4].tobytes())]
-    table = spark.createDataFrame(rows, "media_id long, pixels binary").withColumn("k", F.lit("x"))
-    found = media.find_copies(table, F.col("media_id") < 20).collect()
-    assert {r.media_id for r in found} == {i for i, _ in rows}
-    assert next(r.class_id for r in found if r.media_id == 500) == 3
-    assert all(r.match_id is None and r.n_descriptors == 0 for r in found if r.media_id in (501, 502, 503))
-    pairs = {(r.media_id, r.match_id) for r in found if r.match_id is not None}
-    want = {(i, 100 + 10 * i + kind) for i in range(20) for kind in range(4)}
-    assert len(pairs & want) >= 0.9 * len(want) and len(pairs - want) <= 2
+    n, real = media.SIDE, pictures(40)
+    rows = [(i, n, n, p.tobytes()) for i, p in enumerate(real)]
+    rows += [(100 + 10 * i + kind, n, n, media.edited(real[i], kind).tobytes()) for i in range(20) for kind in range(4)]
+    rows += [(500, n, n, real[3].tobytes()), (501, n, n, None), (502, n, n, b"short"), (503, n, n, bytes(n * n)), (504, None, n, b"short")]
+    rows += [(None, n, n, real[4].tobytes()), (None, None, None, None), (505, 2, 3, b"equals"), (506, 2, 3, b"equals"), (507, 3, 2, b"equals"), (3, n, n, real[3].tobytes())]
+    table = spark.createDataFrame(rows, MEDIA).withColumn("k", F.lit("x")).withColumn("digest", F.lit("x"))
+    for block in (media.BLOCK, 120):  # one block of queries, and several
+        found = media.find_copies(table, F.col("media_id") < 20, block).collect()
+        assert {r.media_id for r in found} == {r[0] for r in rows}
+        classes = {r.media_id: r.class_id for r in found}
+        assert (classes[500], classes[501], classes[505], classes[506], classes[507]) == (3, None, 505, 505, 507)
+        assert all(r.match_id is None and r.n_descriptors == 0 for r in found if r.media_id in range(501, 508))
+        pairs = {(r.media_id, r.match_id) for r in found if r.match_id is not None}
+        want = {(i, 100 + 10 * i + kind) for i in range(20) for kind in range(4)}
+        assert len(pairs & want) >= 0.9 * len(want) and len(pairs - want) <= 2
+        assert all(r.query == (r.media_id is not None and r.media_id < 20) for r in found)
     assert media.find_copies(table.limit(0), F.col("media_id") < 20).count() == 0
 
 
-def test_table_join_recall_against_brute_force():
-    """Descriptor pairs within NEAR bits of true copies: what the tables find of them, picture by picture."""
-    real = pictures(30)
-    a, b = media.descriptors(real), media.descriptors(np.stack([media.edited(p, k % 4) for k, p in enumerate(real)]))
-    ka, kb = media.table_keys(a["bits"]), media.table_keys(b["bits"])
-    brute, found = 0, 0
-    for i in range(30):
-        x, y = np.flatnonzero(a["picture"] == i), np.flatnonzero(b["picture"] == i)
-        near = np.bitwise_count(a["bits"][x][:, None] ^ b["bits"][y][None]).sum(axis=2) <= media.NEAR
-        hits = (ka[x][:, None] == kb[y][None]).any(axis=2) & near
-        brute += near.any(axis=1).sum() >= media.AGREE
-        found += hits.any(axis=1).sum() >= media.AGREE
-    assert found >= 0.9 * brute > 0
+def test_pictures_of_other_sizes(spark):
+    """Wide, tall and large pictures: a crop of each, of another size, is found, and the turn and scale are told."""
+    tiles = pictures(24).reshape(3, 8, media.SIDE, media.SIDE)
+    wide = [np.concatenate(list(t[:3]), axis=1) for t in tiles]
+    tall = [np.concatenate(list(t[3:5]), axis=0) for t in tiles]
+    large = [np.kron(np.concatenate(list(t[5:8]), axis=1), np.ones((2, 2), np.uint8)) for t in tiles]
+    rows = [(i, p.shape[1], p.shape[0], p.tobytes()) for i, p in enumerate(wide + tall + large)]
+    crops = [p[9:, 20:-30] for p in wide] + [p[30:-20, 9:] for p in tall] + [p[20:-8, 60:-40] for p in large]
+    rows += [(100 + i, p.shape[1], p.shape[0], np.ascontiguousarray(p).tobytes()) for i, p in enumerate(crops)]
+    found = media.find_copies(spark.createDataFrame(rows, MEDIA), F.col("media_id") < 50).collect()
+    pairs = {(r.media_id, r.match_id): r for r in found if r.match_id is not None}
+    assert set(pairs) == {(i, 100 + i) for i in range(9)}
+    assert all(r.n_descriptors > 40 for r in found if r.media_id < 3)
+    assert abs(pairs[0, 100].shift_x + 20) < 3 and abs(pairs[0, 100].shift_y + 9) < 3
+    assert max(media.descriptors(large[0][None])["x"]) <= media.WORK
+
+
+def test_media_of_keeps_every_row(spark):
+    vector = [0.1 * k for k in range(64)]
+    rows = [(0, vector), (7, vector[::-1]), (8, vector[:3]), (9, None), (None, vector), (17, [None] * 64), (0, vector)]
+    found = media.media_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((str(r.media_id), r.pixels is not None) for r in found) == sorted((str(i), i not in (8, 9, 17)) for i, _ in rows)
+    one, copy = (next(bytes(r.pixels) for r in found if r.media_id == i) for i in (0, 7))
+    assert copy == media.edited(np.frombuffer(one, np.uint8).reshape(media.SIDE, media.SIDE), 0).tobytes()
+
+
+def test_recall_against_all_pairs_of_descriptors():
+    """Pictures whose copies have AGREE descriptors within NEAR bits: what the tables find of them."""
+    real = pictures(60)
+    a = media.descriptors(real)
+    copies = np.stack([media.edited(p, k % 4) for k, p in enumerate(real)])
+    b = media.descriptors(copies)
+    block = media.Block(list(range(60)), [media.packed_places(a)[a["picture"] == i].tobytes() for i in range(60)])
+    i, j = block.matches(np.ascontiguousarray(b["bits"]))
+    bits = block.places["bits"]
+    apart = np.bitwise_count(b["bits"][:, None] ^ bits[None]).sum(axis=2)
+    met = np.zeros(apart.shape, bool)
+    met[i, j] = True
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i) and (apart[i, j] <= media.NEAR).all()
+    own = b["picture"][:, None] == block.owner[None]
+    each = lambda ok: [ok[b["picture"] == k].any(axis=1).sum() >= media.AGREE for k in range(60)]
+    assert sum(each(met & own)) >= 0.95 * sum(each((apart <= media.NEAR) & own)) > 50
+    meets = (media.table_keys(b["bits"])[:, None] ^ media.table_keys(bits)[None]).astype(np.int64)
+    around = np.bitwise_count(meets).min(axis=2) <= 1
+    assert (met == ((apart <= media.NEAR) & around)).all()
 
 
 def turned(picture, degrees, zoom):
@@ -209,31 +249,27 @@ def turned(picture, degrees, zoom):
 
 
 @pytest.mark.parametrize("degrees, zoom", [(10, 1), (45, 1), (0, 0.85), (0, 1.2)])
-def test_turned_and_resized_copies_against_all_descriptors(spark, degrees, zoom):
-    """Descriptor pairs of queries that the join finds, of all within NEAR bits; each once."""
+def test_turned_and_resized_copies_against_all_descriptors(degrees, zoom):
+    """Of pairs of a picture and its copy within NEAR bits, those that meet in a table."""
     real = pictures(30)
-    d = media.descriptors(np.concatenate((real, [turned(p, degrees, zoom) for p in real])))
-    names = ("level", "x", "y", "turn")
-    rows = [(int(p), k, *(int(d[c][k]) for c in names), *d["bits"][k].view(np.int64).tolist(), keys.tolist()) for k, (p, keys) in enumerate(zip(d["picture"], media.table_keys(d["bits"]), strict=True))]
-    found = media._opened(media._near(spark.createDataFrame(rows, media._DESCRIPTORS), spark.range(10).withColumnRenamed("id", "query_id"))).collect()
-    mine = np.flatnonzero(d["picture"] < 10)
-    near = np.bitwise_count(d["bits"][mine][:, None] ^ d["bits"][None]).sum(axis=2) <= media.NEAR
-    i, k = np.nonzero(near & (d["picture"][mine][:, None] != d["picture"][None]))
-    want = Counter((int(mine[a]), int(d["picture"][b]), *(int(d[c][b]) for c in names)) for a, b in zip(i, k, strict=True))
-    got = Counter((r.q, r.class_id, *(r[c] for c in names)) for r in found)
-    assert got <= want and got.total() >= 0.75 * want.total()
-    copies = lambda pairs: sum(n for (q, to, *_), n in pairs.items() if to == d["picture"][q] + 30)
-    print("recall", degrees, zoom, got.total() / want.total(), copies(got), copies(want))
-    assert copies(got) >= 0.8 * copies(want) > 0
-
-
-def test_turns_around_zero_agree(spark):
-    """Matches one step to either side of no turn share a bin, and their mean lies there."""
-    rows = [(1, 2, q, 0, 48, 48, (3 + t) % media.BINS, 0, 48, 48, 3) for q, t in enumerate((29, 0, 1, 0))]
-    both = spark.createDataFrame(rows, "query_id long, class_id long, q int, level int, x int, y int, turn int, q_level int, q_x int, q_y int, q_turn int")
-    (found,) = media._agreed(both.withColumns({"x": F.lit(20), "y": F.lit(20), "q_x": F.lit(0), "q_y": F.lit(0)})).collect()
-    assert (found.query_id, found.match_id, found.best.agreeing) == (1, 2, 4)
-    assert min(found.best.turn, media.BINS - found.best.turn) < 0.01
+    a, b = media.descriptors(real), media.descriptors(np.stack([turned(p, degrees, zoom) for p in real]))
+    block = media.Block(list(range(30)), [media.packed_places(a)[a["picture"] == i].tobytes() for i in range(30)])
+    i, j = block.matches(np.ascontiguousarray(b["bits"]))
+    near = np.bitwise_count(b["bits"][:, None] ^ block.places["bits"][None]).sum(axis=2) <= media.NEAR
+    own = b["picture"][:, None] == block.owner[None]
+    found = int((b["picture"][i] == block.owner[j]).sum())
+    print("recall", degrees, zoom, found, int((near & own).sum()))
+    assert found >= 0.8 * (near & own).sum() > 0
+
+
+def test_turns_around_zero_agree():
+    """Matches one step to either side of no turn share a bin, and their mean lies there; each query descriptor counts once."""
+    here, there = np.zeros(4, media._PLACE), np.zeros(4, media._PLACE)
+    here["turn"], here["x"], here["y"], there["turn"] = (3 + np.array([29, 0, 1, 0])) % media.BINS, 20, 20, 3
+    (found,) = media.agreed(np.zeros(4, np.int64), np.arange(4), here, there).itertuples()
+    assert (found.agreeing, found.shift_x, found.shift_y, found.scale) == (4, 20, 20, 1)
+    assert min(found.turn, media.BINS - found.turn) < 0.01
+    assert media.agreed(np.zeros(4, np.int64), np.array([0, 1, 2, 2]), here, there).empty
 
 
 def test_rare_cells_do_not_thin_the_rest(spark):
