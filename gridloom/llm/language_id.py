@@ -1,9 +1,9 @@
 """Language identification by error-correcting output codes.
 
-Every language gets a codeword, and any two codewords differ in about half of their bits. For each bit a binary classifier over hashed byte n-grams, naive Bayes of the languages with a 1 against those
-with a -1, tells how the text leans. The language whose codeword has the least weighted logistic loss against
-the leanings wins; weights are what the classifiers achieved on the sample, and a close second flags the text
-as ambiguous.
+Every language gets a codeword, and any two codewords differ in about half of their bits. For each bit a binary
+classifier over hashed byte n-grams, naive Bayes of the languages with a 1 against those with a -1, tells how the text
+leans. The language whose codeword has the least weighted logistic loss against the leanings wins; weights are what the
+classifiers achieve on labelled texts that they haven't learned from, and a close second flags the text as ambiguous.
 """
 
 from __future__ import annotations
@@ -12,21 +12,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import table
+from .common import forget, pieces, stored, table
 
 #: n-gram lengths in bytes, and the number of buckets they are hashed to.
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-#: The learning sample: at most so many documents of each language, chosen by a hash of doc_id.
+#: The learning sample: about so many documents of each language, chosen by a hash of doc_id.
 SAMPLE = 1000
+#: One in so many of them is not learned from at first, to weigh the bits by.
+FOLDS = 5
+#: n-grams that one text counts for at most.
+TEXT_GRAMS = 2000
 UNDECIDED = "und"
 #: The least share of the best language against the second for a text that isn't ambiguous.
 CLEAR = 0.6
-_LEARN = "lang string, total double, counts array<double>"
+#: A byte that UTF-8 doesn't have, between texts.
+_END = b"\xff"
+_COUNTS = "lang string, fold int, buckets binary, counts binary"
+_RIGHT = "lang string, n long, right_bits array<double>"
 
 
 def codewords(n: int) -> np.ndarray:
@@ -42,36 +48,56 @@ def codewords(n: int) -> np.ndarray:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of lower-cased texts, and where each text's n-grams start. Every text is put
-    between blanks; runs of white space, digits and ASCII signs are one blank."""
+    """Bucket of every n-gram of lower-cased texts, and where each text's n-grams start. Every text is put between
+    blanks; runs of white space, digits and ASCII signs are one blank. An n-gram that would reach beyond its text is
+    filled up with ends, never with the next text, so that a text's n-grams are the same wherever it stands."""
     table_ = np.full(256, 32, np.uint8)
     table_[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
     table_[128:] = np.arange(128, 256)
-    raw = [(" " + t.lower() + " ").encode("utf-8", "replace") for t in texts]
+    table_[255] = 0
+    raw = [b" " + t.lower().encode("utf-8", "replace") + b" " + _END * (max(GRAMS) - 1) for t in texts]
     data = table_[np.frombuffer(b"".join(raw), np.uint8)]
     owner = np.repeat(np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw)))
-    keep = np.concatenate(([True], (data[1:] != 32) | (data[:-1] != 32) | (owner[1:] != owner[:-1])))
+    keep = np.concatenate(([True], (data[1:] != 32) | (data[:-1] != 32)))
     data, owner = data[keep].astype(np.uint32), owner[keep]
-    size = np.bincount(owner, minlength=len(raw))
     key, out = np.zeros(len(data), np.uint32), np.zeros((len(data), len(GRAMS)), np.uint16)
     for n in range(1, max(GRAMS) + 1):
-        # the n-gram that starts here; those that would reach into the next text take its first blanks instead
         key[: len(data) - n + 1] = key[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(1)
         if n in GRAMS:
             h = key * np.uint32(0x9E3779B1)
             out[:, GRAMS.index(n)] = (h ^ (h >> np.uint32(15))) >> np.uint32(16)
-    return out, np.cumsum(size) - size
+    real = data > 0
+    size = np.bincount(owner[real], minlength=len(raw))
+    return out[real], np.cumsum(size) - size
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """n-gram counts of each language in a task's rows; each text counts at most as 2,000 n-grams."""
-    sums: dict[str, np.ndarray] = {}
+    """n-gram counts of each language and fold in a task's rows, of those that occur; see TEXT_GRAMS."""
+    sums: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+        for lang, fold, text in zip(batch["lang"], batch["fold"], batch["text"], strict=True):
             found = np.bincount(grams([text])[0].ravel(), minlength=BUCKETS)
-            total = found.sum()
-            sums[lang] = sums.get(lang, 0) + found * min(1.0, 2000 / max(total, 1))
-    yield pd.DataFrame([(k, float(v.sum()), v) for k, v in sums.items()], columns=["lang", "total", "counts"])
+            sums[lang, fold] = sums.get((lang, fold), 0) + found * min(1.0, TEXT_GRAMS / max(found.sum(), 1))
+    yield pd.DataFrame([(*k, *_sparse(v)) for k, v in sums.items()], columns=["lang", "fold", "buckets", "counts"])
+
+
+def _sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes(), counts[at].astype("<f8").tobytes()
+
+
+def _dense(buckets: bytes, counts: bytes) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    out[np.frombuffer(buckets, "<u2")] = np.frombuffer(counts, "<f8")
+    return out
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The counts of one language and fold, of all tasks."""
+    total = np.zeros(BUCKETS)
+    for buckets, counts in sorted(zip(rows["buckets"], rows["counts"], strict=True)):
+        total += _dense(buckets, counts)
+    return pd.DataFrame([(rows["lang"].iat[0], rows["fold"].iat[0], *_sparse(total))], columns=rows.columns)
 
 
 class Model:
@@ -103,11 +129,14 @@ class Model:
         loss = np.logaddexp(0, -lean[:, None, :] * self.code[None, :, :])
         return (loss * self.bit_weights).sum(axis=2) / max(self.bit_weights.sum(), 1)
 
-    def weigh(self, texts: list[str], langs: list[str]) -> None:
-        """Set the bits' weights: log odds of how often each was right on labelled texts."""
-        right = (np.sign(self.leanings(texts)) == self.code[[self.langs.index(x) for x in langs]]).mean(axis=0)
-        odds = np.log(np.clip(right, 0.5, 0.999) / (1 - np.clip(right, 0.5, 0.999)))
-        self.bit_weights = self.bit_weights * np.maximum(odds, 0.01)
+    def right(self, texts: list[str], langs: list[str]) -> np.ndarray:
+        """Whether each bit's classifier is right on labelled texts, texts x bits."""
+        return np.sign(self.leanings(texts)) == self.code[[self.langs.index(x) for x in langs]]
+
+    def weigh(self, right: np.ndarray) -> None:
+        """Set the bits' weights: log odds of how often each is right."""
+        right = np.clip(right, 0.5, 0.999)
+        self.bit_weights = self.bit_weights * np.maximum(np.log(right / (1 - right)), 0.01)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, ambiguous."""
@@ -126,30 +155,55 @@ class Model:
         return out
 
 
+def _crc(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
 def labelled_sample(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """lang, text of at most ``most`` labelled documents of each language, the first by a hash of doc_id; none
-    whose crc32(doc_id) mod 3 is 1. Only ids are ordered, within 64 parts of each language and then over them."""
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("crc"), F.xxhash64("doc_id").alias("h"))
-    rows = rows.where("crc % 3 <> 1").withColumn("part", F.pmod("h", F.lit(64)))
-    few = rows.withColumn("k", F.row_number().over(W.partitionBy("lang", "part").orderBy("h", "doc_id"))).where(F.col("k") <= most)
-    few = few.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= most)
-    chosen = few.select("doc_id").distinct()
-    return docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
+    """lang, fold, text of about ``most`` labelled documents of each language (all where there are fewer); none whose
+    crc32(doc_id) mod 3 is 1. A hash of doc_id picks them: only the languages' numbers of rows are gathered, and a
+    document that is repeated counts once."""
+    labelled = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null and doc_id is not null")
+    rows = labelled.where(_crc() % 3 != 1)
+    rates = rows.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("rate"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # one row per language, as in the model: as few as the driver has to hold anyway
+    chosen = rows.join(F.broadcast(rates), "lang").where(place < F.col("rate")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    return chosen.select("lang", fold.alias("fold"), "text")
 
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """Learn from ``labelled_sample``. What reaches the driver is an array of BUCKETS numbers per language from
-    each task, and for the bits' weights 50 of the sample's texts of each language, the shortest."""
-    sample = labelled_sample(docs, most).persist()
-    sums = sample.coalesce(4).mapInPandas(_counts, _LEARN).toPandas()
-    langs = sorted(set(sums["lang"]))
-    counts = np.array([np.sum(np.stack(sums.loc[sums["lang"] == x, "counts"]), axis=0) for x in langs]) if langs else np.zeros((0, BUCKETS))
-    model = Model(langs, counts)
-    short = W.partitionBy("lang").orderBy(F.length("text"), "text")
-    held = sample.where("length(text) between 20 and 20000").withColumn("k", F.row_number().over(short)).where("k <= 50").toPandas()
-    if len(held):
-        model.weigh(held["text"].tolist(), held["lang"].tolist())
-    sample.unpersist()
+    """Learn from ``labelled_sample``: bits' weights by how often the classifiers of all folds but the first are right on
+    the first, a language counting as much as another; then the classifiers anew from all. What reaches the driver are,
+    for each language, sums over n-gram buckets and over bits; texts don't."""
+    sample = stored(labelled_sample(docs, most), "sample")
+    sums = sample.mapInPandas(_counts, _COUNTS).groupBy("lang", "fold").applyInPandas(_summed, _COUNTS).orderBy("lang", "fold").collect()
+    langs = sorted({r.lang for r in sums})
+    both = np.zeros((2, len(langs), BUCKETS))
+    for r in sums:
+        both[int(r.fold == 0), langs.index(r.lang)] += _dense(bytes(r.buckets), bytes(r.counts))
+    model = Model(langs, both.sum(axis=0))
+    if langs and both[0].any(axis=1).all() and both[1].any():
+        first = Model(langs, both[0])
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def rights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                texts, names = batch["text"].tolist(), batch["lang"].tolist()
+                for a, b in pieces(texts):
+                    ok = pd.DataFrame(shared.value.right(texts[a:b], names[a:b])).groupby(names[a:b])
+                    told = [(k, len(x), x.sum().to_numpy(float)) for k, x in ok]
+                    yield pd.DataFrame(told, columns=["lang", "n", "right_bits"])
+
+        told = sample.where("fold = 0 and length(text) > 0").mapInPandas(rights, _RIGHT)
+        each = told.select("lang", "n", F.posexplode("right_bits").alias("bit", "good")).groupBy("lang", "bit")
+        means = each.agg((F.sum("good") / F.sum("n")).alias("share")).groupBy("bit").agg(F.avg("share").alias("share"))
+        found = {r.bit: r.share for r in means.collect()}
+        shared.destroy()
+        if found:
+            model.weigh(np.array([found[k] for k in range(model.code.shape[1])]))
+    forget(sample)
     return model
 
 
@@ -161,23 +215,12 @@ def predictor(spark: SparkSession, model: Model):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch.tolist()
-            parts = [shared.value.predict(texts[a:b]) for a, b in _stretches(texts)]
+            parts = [shared.value.predict(texts[a:b]) for a, b in pieces([t or "" for t in texts], 500_000)]
             yield pd.concat(parts, ignore_index=True) if parts else shared.value.predict([])
 
     return predict
 
 
-def _stretches(texts: list[str | None], limit: int = 500_000) -> Iterator[tuple[int, int]]:
-    start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t or "")
-        if total >= limit:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """All columns of ``docs`` and a struct ``language``: lang_pred, score, ambiguous.
 
@@ -190,5 +233,5 @@ def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.coalesce(_crc() % 3 == 1, F.lit(False))
     return identify(docs.select("doc_id", "text", "lang")).select("doc_id", held.alias("held_out"), "language.*")
