@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import forget, stored, table
 from .words import WordHashes, mixed, window_hashes, words
 
 WINDOW = 50
@@ -48,35 +48,40 @@ def candidate_windows(n_words: int, anchors: np.ndarray, window: int = WINDOW) -
 
 
 def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """doc_id and a digest of the whole word sequence, for documents of a window or more."""
+    """doc_id, version and a digest of the whole word sequence, for documents of a window or more."""
     for batch in batches:
-        found = [(d, xxhash.xxh3_128_digest(b" ".join(w))) for d, t in zip(batch["doc_id"], batch["text"], strict=True) if len(w := words(t)) >= WINDOW]
-        yield pd.DataFrame(found, columns=["doc_id", "digest"])
+        rows = batch[["doc_id", "version", "text"]].itertuples(index=False)
+        found = [(d, v, xxhash.xxh3_128_digest(b" ".join(w))) for d, v, t in rows if len(w := words(t)) >= WINDOW]
+        yield pd.DataFrame(found, columns=["doc_id", "version", "digest"])
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     width = WINDOW - PERIOD + 1
     for batch in batches:
         parts: list[tuple] = []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc, version, text in batch[["doc_id", "version", "text"]].itertuples(index=False):
             found = words(text)
             if len(found) >= WINDOW:
                 at = anchor_starts(len(found))
-                parts.append((window_hashes(_hashes().of(found), width)[at].view(np.int64), at, doc))
+                parts.append((window_hashes(_hashes().of(found), width)[at].view(np.int64), at, doc, version))
         if parts:
             sizes = [len(p[1]) for p in parts]
-            yield pd.DataFrame({"h": np.concatenate([p[0] for p in parts]), "doc_id": np.repeat(np.array([p[2] for p in parts], np.int64), sizes), "pos": np.concatenate([p[1] for p in parts]).astype(np.int32)})
+            doc, version = (np.repeat(np.array([p[k] for p in parts], np.int64), sizes) for k in (2, 3))
+            place = (version << 32) + np.concatenate([p[1] for p in parts])
+            yield pd.DataFrame({"h": np.concatenate([p[0] for p in parts]), "doc_id": doc, "place": place})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for doc, text, anchors in batch[["doc_id", "text", "anchors"]].itertuples(index=False):
+        for doc, version, text, anchors in batch[["doc_id", "version", "text", "anchors"]].itertuples(index=False):
             found = words(text)
             at = candidate_windows(len(found), np.asarray(anchors))
             hashes = _hashes().of(found)
             h1 = window_hashes(hashes, WINDOW)[at]
             h2 = window_hashes(mixed(hashes), WINDOW)[at]  # of other numbers for the same words: 96 bits in all
-            yield pd.DataFrame({"h1": h1.view(np.int64), "h2": (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), "doc_id": np.int64(doc), "pos": at.astype(np.int32)})
+            second = (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            keys = {"doc_id": np.int64(doc), "version": np.int32(version), "pos": at.astype(np.int32)}
+            yield pd.DataFrame({"h1": h1.view(np.int64), "h2": second} | keys)
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,29 +103,46 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text"]).astype({"doc_id": "Int64"})
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """doc_id, version, text: the version tells the different texts of one doc_id apart."""
+    version = F.shiftright(F.xxhash64("text"), 32).cast("int").alias("version")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), version, "text")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, starts, whole: window starts to remove in each document that has any.
+    """doc_id, version, starts, whole: window starts to remove in each document that has any.
 
     ``whole`` marks documents whose word sequence a smaller doc_id has from start to end; these leave the
     search at once, so that a large group of exact copies counts as one document in it.
     """
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    sequences = stored(rows.mapInPandas(_sequences, "doc_id long, digest binary"), "sequences")
+    rows = versions(docs).where("doc_id is not null")
+    sequences = stored(rows.mapInPandas(_sequences, "doc_id long, version int, digest binary"), "sequences")
     first = sequences.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    copies = stored(sequences.join(first, "digest").where("doc_id > first_id").select("doc_id").distinct(), "copies")
+    late = sequences.join(first, "digest").where("doc_id > first_id")
+    copies = stored(late.select("doc_id", "version").distinct(), "copies")
+    forget(sequences)
 
     # Equal anchors are pre-aggregated by every map task; the join back can be split where an anchor is hot.
-    anchors = rows.mapInPandas(_anchors, "h long, doc_id long, pos int")
+    anchors = rows.mapInPandas(_anchors, "h long, doc_id long, place long")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    near = anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
-    near = stored(near.join(copies, "doc_id", "left_anti"), "anchors")
-
-    windows = rows.join(near, "doc_id").mapInPandas(_windows, "h1 long, h2 int, doc_id long, pos int")
-    windows = stored(windows, "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
-    late = windows.join(first.drop("last_id"), ["h1", "h2"]).where("doc_id > first_id")
-    starts = late.groupBy("doc_id").agg(F.collect_set("pos").alias("starts")).withColumn("whole", F.lit(False))
-    return starts.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+    found = anchors.join(shared, "h", "left_semi")
+    # equal rows with one doc_id have the same anchors: each counts once
+    version = F.shiftright("place", 32).cast("int").alias("version")
+    pos = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    near = found.groupBy("doc_id", version).agg(F.collect_set(pos).alias("anchors"))
+    near = stored(near.join(copies, ["doc_id", "version"], "left_anti"), "anchors")
+
+    windows = rows.join(near, ["doc_id", "version"])
+    windows = stored(windows.mapInPandas(_windows, "h1 long, h2 int, doc_id long, version int, pos int"), "windows")
+    forget(near)
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    place = (F.shiftleft(F.col("version").cast("long"), 32) + F.col("pos")).alias("place")
+    late = windows.select("h1", "h2", "doc_id", place).join(first.where("first_id < last_id").drop("last_id"), ["h1", "h2"])
+    starts = late.where("doc_id > first_id").groupBy("doc_id", version).agg(F.collect_set(pos).alias("starts"))
+    starts = stored(starts.withColumn("whole", F.lit(False)), "starts")
+    forget(windows)
+    none = F.lit(None).cast("array<int>").alias("starts")
+    return starts.unionByName(copies.select("doc_id", "version", none, F.lit(True).alias("whole")))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -128,11 +150,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     Words are runs of other characters than ASCII white space. A word goes if some window of 50 words over
     it starts in a document with a smaller doc_id too. Null and empty texts have no words; shorter texts than
-    a window stay whole; repetition within one document stays; rows with the same doc_id don't cut each
-    other; rows without doc_id stay whole and cut nothing. Columns other than doc_id and text aren't read.
+    a window stay whole; repetition within one document stays. Rows with the same doc_id don't cut each other,
+    and each, with a text of its own or the same, is cut by its own windows alone; rows without doc_id stay whole
+    and cut nothing. Columns other than doc_id and text aren't read.
     """
-    marks = repeated_windows(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id", "left")
+    rows = versions(docs).join(repeated_windows(docs), ["doc_id", "version"], "left")
     return rows.mapInPandas(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
