@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,14 +33,26 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).alias("mark")
     seen = edges.select(mark).first()
     for _ in range(most):
+        if not seen.mark.n:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         larger = _star(_both_ways(edges)).where("b > u").select(F.col("b").alias("a"), F.col("a").alias("b"))
         larger = larger.where("a <> b").distinct()
         star = _star(larger)
         smaller = star.select(F.col("b").alias("x"), F.col("a").alias("m")).union(star.select(F.col("u").alias("x"), F.col("a").alias("m")))
-        edges = stored(smaller.where("x <> m").distinct().select(F.col("x").alias("a"), F.col("m").alias("b")), "edges")
+        before, edges = edges, stored(smaller.where("x <> m").distinct().select(F.col("x").alias("a"), F.col("m").alias("b")), "edges")
+        forget(before)
         now = edges.select(mark).first()
         if now == seen:
             nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = now
     raise RuntimeError(f"{spark.sparkContext.appName}: components did not settle in {most} rounds")
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after edges (a, b) between components; nodes without label are their own component.
+
+    Only the components that have edges are searched; the rest keep theirs."""
+    found = connected_components(edges)
+    old = labels.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return stored(old.select("node", F.coalesce("to", "component").alias("component")).union(found.join(labels, "node", "left_anti")), "labels")

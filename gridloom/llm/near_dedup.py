@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slots, stored, table
-from .components import connected_components
+from .common import forget, slots, stored, table
+from .components import connected_components, joined_components
 from .words import WordHashes, mixed, window_hashes, words
 
 WORDS = 5
@@ -151,14 +151,14 @@ def _confirmed(percent: int):
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * same >= percent * (len(both) - same))
-            yield x.loc[np.array(ok, bool), ["a", "b"]]
+            yield x.loc[np.array(ok, bool), [c for c in x.columns if c not in ("items_a", "items_b")]]
 
     return linked
 
 
 def _pairs_of(x: pd.DataFrame, all_pairs: bool, percent: int) -> pd.DataFrame:
-    """Of whole blocks of band groups, in a row: pairs of different components which sketches leave. A pair counts
-    only in the group of its first common band. Else than with ``all_pairs``, each member's best is enough."""
+    """Of whole blocks of band groups, in a row: pairs of different components, with these, which sketches leave. A pair
+    counts only in the group of its first common band. Else than with ``all_pairs``, each member's best is enough."""
     n, comp, ids, chunk, key, block, chunks = (x[k].to_numpy(np.int64) for k in ("n_shingles", "component", "id", "chunk", "key", "block", "chunks"))
     sketch = np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(len(x), -1)
     bands = np.frombuffer(b"".join(x["bands"]), np.int64).reshape(len(x), -1)
@@ -188,10 +188,11 @@ def _pairs_of(x: pd.DataFrame, all_pairs: bool, percent: int) -> pd.DataFrame:
             order = np.lexsort((flips, i))
             best = order[np.concatenate(([True], i[order][1:] != i[order][:-1]))]
             i, j = i[best], j[best]
-        found.append(np.column_stack((ids[i], ids[j])))
+        i, j = np.where(ids[i] < ids[j], (i, j), (j, i))
+        found.append(np.column_stack((ids[i], ids[j], comp[i], comp[j])))
         lo = hi
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, dtype="int64")
+    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b", "component_a", "component_b"], dtype="int64")
 
 
 def _compare(all_pairs: bool, percent: int):
@@ -240,15 +241,19 @@ class _Classes:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs, those that link by their full sets."""
-        return self.with_both(pairs, self.sets, {"items": "items"}).mapInPandas(_confirmed(self.percent), "a long, b long")
+        columns = ", ".join(f"{c} long" for c in pairs.columns)
+        both = self.with_both(pairs, self.sets, {"items": "items"}).select(*pairs.columns, "items_a", "items_b")
+        return stored(both.mapInPandas(_confirmed(self.percent), columns), "links")
 
     def star_links(self) -> DataFrame:
+        """a, b: links of members of band groups with the least member."""
         pairs = self.members.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         sketched = self.with_both(pairs, self.signed, {"n_shingles": "n", "sketch": "sketch"})
-        return stored(self.links(sketched.mapInPandas(_flips(self.percent), "a long, b long")), "links")
+        return self.links(sketched.mapInPandas(_flips(self.percent), "a long, b long"))
 
-    def rest_links(self, labels: DataFrame, all_pairs: bool) -> DataFrame:
-        """Links between members of one band group that have different labels (node, component) so far."""
+    def rest_pairs(self, labels: DataFrame, all_pairs: bool) -> DataFrame:
+        """a, b, component_a, component_b: candidates among members of one band group that have different labels (node,
+        component) so far."""
         named = self.members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed_groups = named.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
         inside = named.join(mixed_groups, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -257,8 +262,8 @@ class _Classes:
         sides = self.signed.select("id", "n_shingles", "bands", "sketch")
         ready = dealt.join(sides, "id").select("key", F.col("block").cast("long").alias("block"), "id", "chunk", "chunks", "component", "n_shingles", "bands", "sketch")
         sorted_blocks = ready.repartition(slots(ready.sparkSession), "key", "block").sortWithinPartitions("key", "block")
-        pairs = sorted_blocks.mapInPandas(_compare(all_pairs, self.percent), "a long, b long").distinct()
-        return stored(self.links(pairs), "links")
+        found = sorted_blocks.mapInPandas(_compare(all_pairs, self.percent), "a long, b long, component_a long, component_b long")
+        return stored(found.distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -271,10 +276,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     classes = _Classes(docs, percent)
     links = classes.star_links()
-    for all_pairs in (False, True):
-        labels = connected_components(links)
-        links = links.union(classes.rest_links(labels, all_pairs))
     labels = connected_components(links)
+    forget(links)
+    for all_pairs in (False, True):
+        pairs = classes.rest_pairs(labels, all_pairs)
+        if pairs.isEmpty():
+            break
+        links = classes.links(pairs)
+        labels = joined_components(labels, links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+        forget(pairs, links)
+    forget(classes.members, classes.sets, classes.signed)
     of_class = classes.first.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     found = classes.docs.join(of_class, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
