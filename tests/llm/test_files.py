@@ -144,6 +144,32 @@ def test_raking_against_numpy(spark):
             others = tuple(k for k in range(3) if k != axis)
             w *= (want[axis] / w.sum(others)).reshape([-1 if k == axis else 1 for k in range(3)])
     assert all(abs(r.weight - w[int(r.source[1]), int(r.lang[1]), int(r.topic[1])]) < 1e-5 for r in found)
+    for size in (None, 0.8 * n.sum()):  # cells kept in Spark, as very many are, have the same weights
+        key = lambda r: (r.source, r.lang, r.topic)
+        here, there = ({key(r): r.weight for r in how(cells, targets, size=size).collect()} for how in (mixing.rake, mixing.rake_spark))
+        assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-6 for k in here)
+    assert mixing.Cells(cells.toPandas(), targets, mixing.POWER).sample_size() == pytest.approx(mixing.sample_size(cells, targets))
+
+
+def test_targets_that_contradict_each_other_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], "source string, lang string, topic string, n long")
+    with pytest.warns(UserWarning, match="from its target"):
+        mixing.rake(cells, {"source": {"a": 1, "b": 3}, "lang": {"x": 3, "y": 1}})
+    with pytest.warns(UserWarning, match="from its target"):
+        mixing.rake(cells, {"source": {"a": 1, "b": 3}}, rounds=0 + 1, size=9.0)
+
+
+@pytest.mark.parametrize("most", [10**5, 1])
+def test_mix_with_few_and_many_cells(spark, monkeypatch, most):
+    """The same probabilities whether cells are few or too many for the driver; a user's column drawn stays."""
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", most)
+    rows = [(i, "one two three four " * (1 + i % 3), "en" if i % 3 else "fr", f"s{min(i % 10, 2)}", 1) for i in range(500)]
+    docs = documents(spark, rows)
+    found = mixing.draw(docs, mixing.mixing_rates(docs), name="mine")
+    assert found.columns == [*docs.columns, "mine"]
+    told = sorted((r.doc_id, round(r.mine.probability, 7), r.mine.kept) for r in found.collect())
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", 10**5)
+    assert told == sorted((r.doc_id, round(r.probability, 7), r.kept) for r in mixing.mix(docs).collect())
 
 
 def test_mix_edges(spark):

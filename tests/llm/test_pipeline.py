@@ -27,7 +27,7 @@ def test_stages_in_order(spark, data):
     before, after = kept["language ID"]
     assert len(after) >= 0.99 * sum(any(map(str.isalpha, r.text or "")) for r in before)
     before, after = kept["MinHash near-dedup"]
-    assert {r.doc_id for r in after} == {d for d, _, _, k in brute_components([(r.doc_id, r.text) for r in before]) if k}
+    assert {r.doc_id for r in after} == {d for d, _, _, k in brute_components([(r.doc_id, r.text) for r in before], 80) if k}
     before, after = kept["benchmark decontamination"]
     left = {r.doc_id for r in after}
     assert all((r.doc_id in left) != any(t in dc.normal(r.text) for _, t in items) for r in before)
@@ -52,6 +52,16 @@ def test_stages_on_odd_rows(spark, data):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
 
 
+def test_rows_of_one_document(spark, data):
+    """Different texts of one doc_id stay, equal ones once, in the row whose other columns come first."""
+    rows = [(7, "one text", "en", "b", 2), (7, "one text", "en", "a", 1), (7, "another", "en", "b", 1), (8, "one text", "en", "a", 1), (9, None, None, None, None), (9, None, None, None, None)]
+    rows += [(None, "one text", "en", "a", 1)] * 2
+    found = corpus_pipeline.near_dedup(spark, documents(spark, rows), data)
+    assert found.columns == documents(spark, rows).columns
+    kept = sorted(((r.doc_id, r.text, r.source) for r in found.collect()), key=repr)
+    assert kept == sorted([(7, "one text", "a"), (7, "another", "b"), (9, None, None), *[(None, "one text", "a")] * 2], key=repr)
+
+
 def test_near_copies_at_08_go(spark, data):
     """The near-dedup stage against brute force at a similarity of 0.8, which leaves fewer rows than 0.85."""
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
