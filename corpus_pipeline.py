@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored, table, work_dir
+from gridloom.llm.common import forget, fresh, stored, table, work_dir
 from gridloom.llm.decontaminate import with_leaks
 from gridloom.llm.language_id import UNDECIDED, fit, predictor
 from gridloom.llm.mixing import draw, mixing_rates
@@ -23,27 +23,35 @@ NEAR_PERCENT = 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear. Those without letters, and those whose best language hardly leads the
     second, go."""
-    said = docs.withColumn("__said", predictor(spark, fit(docs))(F.col("text")))
-    return said.where((F.col("__said.lang_pred") != UNDECIDED) & ~F.col("__said.ambiguous")).drop("__said")
+    said = fresh(docs, "said")
+    told = docs.withColumn(said, predictor(spark, fit(docs))(F.col("text")))
+    return told.where((F.col(said)["lang_pred"] != UNDECIDED) & ~F.col(said)["ambiguous"]).drop(said)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id; of rows that repeat a
-    doc_id, one. Rows without doc_id stay."""
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Rows of one doc_id are one document: it stays with all its different texts, each in the row whose other columns, as
+    JSON, come first. Rows without doc_id stay as they are."""
     kept = near_duplicates(docs, NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
+    row = fresh(docs, "row")
+    one = found.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).agg(F.min_by(F.struct(*docs.columns), others).alias(row))
+    return one.select(f"{row}.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    found = with_leaks(docs, table(spark, sf_dir, "benchmark"), "__leaks")
-    return found.where(F.size("__leaks") == 0).drop("__leaks")
+    leaks = fresh(docs, "leaks")
+    found = with_leaks(docs, table(spark, sf_dir, "benchmark"), leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose tokens have the target shares of sources, languages and topics."""
-    drawn = draw(docs, mixing_rates(docs))
-    return drawn.where("drawn.kept").drop("drawn")
+    drawn = fresh(docs, "drawn")
+    return draw(docs, mixing_rates(docs), name=drawn).where(F.col(drawn)["kept"]).drop(drawn)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +75,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
