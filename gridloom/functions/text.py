@@ -17,14 +17,25 @@ WIDE = "[\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{33FF}\\x{3400}-\\x{
 UNITS = (("μ", "µ"), ("℃", "°C"), ("°°C", "°C"))
 
 
+def case_folded(text: Column) -> Column:
+    """Unicode case folding: upper case and then lower case also folds sharp s, ligatures and the like. The final sigma
+    folds as any other, the dotless i stays."""
+    upper = F.translate(F.upper(F.translate(text, "ı", "\ue000")), "\ue000", "ı")
+    return F.translate(F.lower(upper), "ς", "σ")
+
+
 def normalize_text(text: Column) -> Column:
-    """G1: no white space, case folded; folding is lower case with a long s for the sharp one."""
-    return F.replace(F.lower(F.regexp_replace(text, r"(?U)\s+", "")), F.lit("ß"), F.lit("ss"))
+    """G1: no white space, case folded."""
+    return case_folded(F.regexp_replace(text, r"(?U)\s+", ""))
+
+
+#: Fixed value: a number with sign, separators, and percent or unit letters, that doesn't go on a word or a number.
+NUMBER = r"(?<![\w.])[+\-]?\d+(?:[.,]\d+)*(?:%|[A-Za-z]+)?"
 
 
 def numeric_tokens(text: Column) -> Column:
     """Distinct numbers with sign, separators, and percent or unit letters, not inside a word."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\w.])[+-]?\d+(?:[.,]\d+)*(?:%|[A-Za-z]{1,3}\b)?(?!\w)"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?U)" + NUMBER), F.lit(0)))
 
 
 def xml_safe(text: Column) -> Column:

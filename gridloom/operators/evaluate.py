@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import normalize_text
 from .grid import CELL, DOC, rectangularize, shape, unicode_trim
 
 MAX_ROW_SHIFT, MAX_COL_SHIFT = 3, 2
@@ -133,7 +134,7 @@ def bench_summary(records: DataFrame, latency: str = "seconds", memory: str = "m
 
 def text_item_coverage(items: DataFrame, texts: DataFrame) -> DataFrame:
     """Per document the share of truth items (doc_id, item) that the recognised text (doc_id, text) contains."""
-    norm = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
+    norm = normalize_text
     joined = items.where(norm(F.col("item")) != "").join(texts.select(DOC, "text"), DOC, "left")
     return joined.groupBy(DOC).agg(F.count("*").alias("items"), _count(F.coalesce(norm(F.col("text")).contains(norm(F.col("item"))), F.lit(False))).alias("found")).withColumn("coverage", F.col("found") / F.col("items"))
 
@@ -145,13 +146,16 @@ def number_set_metrics(pairs: DataFrame, truth: str = "truth_numbers", actual: s
     return pairs.withColumns({"n_truth": F.size(t), "n_found": F.size(a), "recall": both / F.nullif(F.size(t), F.lit(0)), "precision": both / F.nullif(F.size(a), F.lit(0)), "equal_sets": (F.size(t) == F.size(a)) & (both == F.size(t))})
 
 
-def sequence_similarity(one: str, other: str, most: int = 4000):
-    """2 M / T of longest matching blocks of two text columns, null for texts over ``most`` characters."""
+def sequence_similarity(one: str, other: str):
+    """2 M / T of longest matching blocks of two text columns, truth first; null where either is null or the
+    truth is empty. Texts are as long as they are: one pair at a time is compared."""
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([None if x is None or y is None or max(len(x), len(y)) > most else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        alike = [SequenceMatcher(None, x, y).ratio() if x and y is not None else None for x, y in zip(a, b, strict=True)]
+        return pd.Series(alike, dtype="float64")
 
     return ratio(F.col(one), F.col(other))
 

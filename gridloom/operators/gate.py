@@ -15,12 +15,35 @@ from .spans import span_findings
 MAX_ROWS, MAX_COLS, MAX_CELLS = 256, 128, 4096
 SUMMARIES, REASONS = 40, 100
 STATES = ("verified", "needs_review", "blocked")
-#: The error codes of the protocol with whether a retry may help.
+#: The error codes of the protocol, the field that each names, and whether a retry may help.
+#: INSUFFICIENT_MEMORY may be tried again only where the language's own allocation failed, which the raw line doesn't tell.
 ERROR_CODES = (
-    ("EMPTY_REQUEST", False), ("INVALID_JSON", False), ("INVALID_REQUEST", False), ("UNSUPPORTED_PROTOCOL", False), ("UNSUPPORTED_ACTION", False),
-    ("INVALID_REQUEST_ID", False), ("REQUEST_TOO_LARGE", False), ("INVALID_OPTIONS", False), ("INVALID_DEADLINE", False), ("INVALID_CELLS", False),
-    ("TIMEOUT", True), ("NO_TEXT", False), ("INTERNAL", True),
-)
+    ("UNSUPPORTED_PROTOCOL", "protocol", False),
+    ("UNSUPPORTED_ACTION", "action", False),
+    ("INVALID_REQUEST", "request_id", False),
+    ("INVALID_OPTION", "options", False),
+    ("IMAGE_PATH_REQUIRED", "image_path", False),
+    ("IMAGE_NOT_FOUND", "image_path", False),
+    ("IMAGE_READ_FAILED", "image_path", False),
+    ("OUTPUT_DIRECTORY_INVALID", "output_directory", False),
+    ("OUTPUT_WRITE_FAILED", "output_directory", True),
+    ("MODEL_MISSING", None, False),
+    ("MODEL_HASH_MISMATCH", None, False),
+    ("EXPORT_PATH_REQUIRED", "output_path", False),
+    ("EXPORT_GRID_INVALID", "cells", False),
+    ("EXPORT_SPAN_INVALID", "spans", False),
+    ("EXPORT_WRITE_FAILED", "output_path", True),
+    ("NETWORK_ACCESS_DENIED", None, False),
+    ("RECOGNITION_BUDGET_EXCEEDED", None, True),
+    ("INSUFFICIENT_MEMORY", None, False),
+    ("INTERNAL_ERROR", None, True),
+)
+#: Actions of the protocol, and the values of its options.
+ACTIONS = ("recognize", "export_xlsx", "health", "warmup")
+CROP_MODES = ("auto", "grid", "full")
+ACCURACY_MODES = ("adaptive", "adaptive_high", "maximum")
+BOOLEAN_OPTIONS = ("input_rectified", "selected_table_region")
+LARGEST_ID = 2147483647
 
 
 def document_findings(docs: DataFrame) -> DataFrame:
@@ -112,27 +135,81 @@ def parse_documents(raw: DataFrame) -> DataFrame:
     return out.unionByName(failed)
 
 
+class _Request:
+    """The parts of a raw request line, with their JSON types: STRING, BIGINT, BOOLEAN, VOID, ARRAY ... or null if absent."""
+
+    def __init__(self, raw: Column):
+        self.raw, self.whole = raw, F.try_parse_json(raw)
+
+    def kind(self, path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(self.whole, f"$.{path}", "variant"))
+
+    def get(self, path: str, as_type: str) -> Column:
+        return F.try_variant_get(self.whole, f"$.{path}", as_type)
+
+    def is_text(self, path: str) -> Column:
+        """A text that isn't blank."""
+        return F.coalesce((self.kind(path) == "STRING") & self.get(path, "string").rlike(r"(?U)\S"), F.lit(False))
+
+    def is_number(self, path: str) -> Column:
+        return F.coalesce(self.kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+
+    def is_one_of(self, path: str, values: tuple[str, ...]) -> Column:
+        return F.coalesce((self.kind(path) == "STRING") & self.get(path, "string").isin(*values), F.lit(False))
+
+    def is_object(self, path: str) -> Column:
+        return F.coalesce(self.kind(path).startswith("OBJECT"), F.lit(False))
+
+
 def request_error(raw: Column) -> Column:
-    """Struct of code and field of the first rule that a raw request line breaks; null for a good one."""
-    field = lambda k: F.get_json_object(raw, f"$.{k}")
-    err = lambda code, at="": F.struct(F.lit(code).alias("code"), F.lit(at).alias("field"))
-    parsed = F.try_parse_json(raw)
-    number = field("request_id").try_cast("long")
-    deadline = field("deadline").try_cast("double")
+    """Struct of code and field of the first rule that a raw request line breaks; null for a good one.
+
+    A line is a JSON object with protocol 1 and a known action; request_id, if it is there, is a whole number from 1.
+    To recognize, it has an image_path, perhaps an output_directory, and options as an object: known modes, a finite
+    deadline_seconds of 0 or more, and true booleans. To export, it has an output_path and cells, rows of one width.
+    What isn't JSON, NaN among it, is an INVALID_REQUEST without field, and so are options that are no object and odd
+    booleans, for which the protocol has no code of their own.
+    """
+    r = _Request(raw)
+    err = lambda code, at=None: F.struct(F.lit(code).alias("code"), F.lit(at).cast("string").alias("field"))
+    recognizes, exports = (r.get("action", "string") == a for a in ("recognize", "export_xlsx"))
+    there = lambda path: r.kind(path).isNotNull()
+    number = r.get("request_id", "long")
+    good_id = F.coalesce((r.kind("request_id") == "BIGINT") & number.between(1, LARGEST_ID), F.lit(False))
+    protocol = r.kind("protocol").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)") & (r.get("protocol", "double") == 1)
+    modes = (("crop_mode", CROP_MODES), ("accuracy_mode", ACCURACY_MODES))
+    bad_mode = F.lit(False)
+    for name, values in modes:
+        bad_mode = bad_mode | (there(f"options.{name}") & ~r.is_one_of(f"options.{name}", values))
+    seconds = r.get("options.deadline_seconds", "double")
+    finite = F.coalesce((seconds >= 0) & ~F.isnan(seconds) & (seconds < float("inf")), F.lit(False))
+    bad_deadline = there("options.deadline_seconds") & ~(r.is_number("options.deadline_seconds") & finite)
+    bad_boolean = F.lit(False)
+    for name in BOOLEAN_OPTIONS:
+        bad_boolean = bad_boolean | (there(f"options.{name}") & (r.kind(f"options.{name}") != "BOOLEAN"))
+    no_folder = there("output_directory") & (r.kind("output_directory") != "VOID") & ~r.is_text("output_directory")
+    widths = F.transform(F.from_json(F.get_json_object(raw, "$.cells"), "array<string>"), lambda row: F.json_array_length(row))
+    first = F.get(widths, F.lit(0))
+    rectangular = (F.size(widths) > 0) & (first > 0) & F.forall(widths, lambda n: F.coalesce(n == first, F.lit(False)))
+    good_cells = F.coalesce(r.kind("cells").startswith("ARRAY") & rectangular, F.lit(False))
     return (
-        F.when(F.trim(raw) == "", err("EMPTY_REQUEST"))
-        .when(parsed.isNull(), err("INVALID_JSON"))
-        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), err("INVALID_REQUEST"))
-        .when(F.coalesce(field("protocol"), F.lit("")) != "1", err("UNSUPPORTED_PROTOCOL", "protocol"))
-        .when(~F.coalesce(field("action"), F.lit("")).isin("recognize", "export_xlsx", "health"), err("UNSUPPORTED_ACTION", "action"))
-        .when(number.isNull() | (number < 1) | (number > 2147483647), err("INVALID_REQUEST_ID", "request_id"))
-        .when(field("deadline").isNotNull() & (deadline.isNull() | (deadline < 0) | F.isnan(deadline) | (deadline == float("inf"))), err("INVALID_DEADLINE", "deadline"))
+        F.when(~F.coalesce(F.schema_of_variant(r.whole).startswith("OBJECT"), F.lit(False)), err("INVALID_REQUEST"))
+        .when(~F.coalesce(protocol, F.lit(False)), err("UNSUPPORTED_PROTOCOL", "protocol"))
+        .when(~r.is_one_of("action", ACTIONS), err("UNSUPPORTED_ACTION", "action"))
+        .when(there("request_id") & ~good_id, err("INVALID_REQUEST", "request_id"))
+        .when(recognizes & ~r.is_text("image_path"), err("IMAGE_PATH_REQUIRED", "image_path"))
+        .when(recognizes & no_folder, err("OUTPUT_DIRECTORY_INVALID", "output_directory"))
+        .when(recognizes & there("options") & ~r.is_object("options"), err("INVALID_REQUEST"))
+        .when(recognizes & (bad_mode | bad_deadline), err("INVALID_OPTION", "options"))
+        .when(recognizes & bad_boolean, err("INVALID_REQUEST"))
+        .when(exports & ~r.is_text("output_path"), err("EXPORT_PATH_REQUIRED", "output_path"))
+        .when(exports & ~good_cells, err("EXPORT_GRID_INVALID", "cells"))
     )
 
 
 def with_retry(spark, errors: DataFrame) -> DataFrame:
     """Rows with a column ``code`` and whether a retry may help."""
-    codes = spark.createDataFrame(list(ERROR_CODES), "code string, retryable boolean")
+    codes = spark.createDataFrame([(code, retry) for code, _, retry in ERROR_CODES], "code string, retryable boolean")
     return errors.join(F.broadcast(codes), "code", "left")
 
 

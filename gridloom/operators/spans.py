@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,6 +12,8 @@ from .grid import CELL, DOC
 SPAN = ("doc_id", "span_id")
 #: Fixed thresholds of missing separators: absent, the rest of its line, the whole grid, and the strict form.
 ABSENT, LINE, GRID, STRICT = 0.10, 0.70, 0.65, 0.85
+#: Cells are numbered by row * STRIDE + column.
+STRIDE = 1 << 20
 
 
 def coverage(spans: DataFrame) -> DataFrame:
@@ -100,16 +103,17 @@ def align_boundaries(boundaries: Column, offset: Column) -> Column:
 
 
 def geometry_fingerprint(*parts: Column) -> Column:
-    """Digest of the parts as one text, in the order given."""
-    return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)).cast("binary"), 256)
+    """Digest of the parts, in the order given, as JSON that tells nulls, texts and separators apart."""
+    fields = F.struct(*(p.cast("string").alias(f"p{k}") for k, p in enumerate(parts)))
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def spans_from_separators(separators: DataFrame, rounds: int = 12) -> DataFrame:
+def spans_from_separators(separators: DataFrame) -> DataFrame:
     """doc_id, row_idx, col_idx, row_span, col_span from separators between cells.
 
     ``separators`` (doc_id, orientation, row_idx, col_idx, support): ``v`` stands right of its cell, ``h`` below
-    it. Cells join where the separator is absent while the rest of its line is there; groups are closed by
-    passing on least labels. A group that is no rectangle leaves its document without spans. A document needs
+    it. Cells join where the separator is absent while the rest of its line is there, and groups of any size are
+    closed. A group that is no rectangle leaves its document without spans. A document needs
     three rows, two columns and a grid that is there as a whole.
     """
     line = ["doc_id", "orientation", F.when(F.col("orientation") == "v", F.col("col_idx")).otherwise(F.col("row_idx")).alias("line")]
@@ -120,22 +124,37 @@ def spans_from_separators(separators: DataFrame, rounds: int = 12) -> DataFrame:
     middle = F.when(F.size("rest") > 0, (F.get("rest", F.floor((F.size("rest") - 1) / 2).cast("int")) + F.get("rest", F.floor(F.size("rest") / 2).cast("int"))) / 2)
     missing = numbered.where(F.col("support") <= ABSENT).join(lines.withColumn("middle", middle), [DOC, "orientation", "line"]).join(good, DOC)
     wide = (F.col("orientation") == "h") & (F.col("n_cols") >= 8) & (F.col("strong") >= 2)
-    edges = missing.where((F.col("middle") >= LINE) | wide).select(DOC, (F.col("row_idx") * 1000 + F.col("col_idx")).alias("a"), (F.col("row_idx") * 1000 + F.col("col_idx") + F.when(F.col("orientation") == "v", 1).otherwise(1000)).alias("b"))
-    labels = _least_labels(edges, rounds)
+    place = F.col("row_idx").cast("long") * STRIDE + F.col("col_idx")
+    beside = place + F.when(F.col("orientation") == "v", 1).otherwise(STRIDE)
+    labels = _least_labels(missing.where((F.col("middle") >= LINE) | wide).select(DOC, place.alias("a"), beside.alias("b")))
     box = labels.groupBy(DOC, "label").agg(F.min("row").alias("row_idx"), F.min("col").alias("col_idx"), (F.max("row") - F.min("row") + 1).alias("row_span"), (F.max("col") - F.min("col") + 1).alias("col_span"), F.count("*").alias("n"))
     whole = F.bool_and(F.col("n") == F.col("row_span") * F.col("col_span")).over(W.partitionBy(DOC))
     return box.withColumn("whole", whole).where("whole").select(DOC, *(F.col(c).cast("int").alias(c) for c in ("row_idx", "col_idx", "row_span", "col_span")))
 
 
-def _least_labels(edges: DataFrame, rounds: int) -> DataFrame:
-    """doc_id, row, col, label: least cell reachable. In each round a cell takes the least label of its neighbours'
-    labels; ``rounds`` is how far a label travels, which bounds the height plus width of a merged region."""
-    both = edges.union(edges.select(DOC, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near = both.groupBy(DOC, "a").agg(F.collect_set("b").alias("near"))
-    # A document's cells are few (SURVEY: at most 4,096), so that its groups are closed within one row.
-    docs = near.groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct("a", "near"))).alias("near"))
-    own = F.transform_values("near", lambda k, v: k)
-    step = lambda m, _: F.transform_values("near", lambda k, v: F.array_min(F.concat(F.transform(v, lambda b: F.element_at(m, b)), F.array(F.element_at(m, k)))))
-    docs = docs.select(DOC, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), own, step).alias("label"))
-    found = docs.select(DOC, F.explode("label").alias("cell", "label"))
-    return found.select(DOC, F.floor(F.col("cell") / 1000).alias("row"), (F.col("cell") % 1000).alias("col"), "label")
+def least_joined(pairs: list) -> list[dict]:
+    """Every cell of ``pairs`` (a, b) of joined cells, with the least one that it is joined to over any way."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for pair in pairs:
+        a, b = sorted((top(pair["a"]), top(pair["b"])))
+        up[b] = a
+    return [{"cell": x, "label": top(x)} for x in list(up)]
+
+
+def _least_labels(edges: DataFrame) -> DataFrame:
+    """doc_id, row, col, label: least cell reachable. A document's cells are few (SURVEY: at most 4,096), so that its
+    groups are closed within one row."""
+
+    @F.pandas_udf("array<struct<cell:long,label:long>>")
+    def closed(edges: pd.Series) -> pd.Series:
+        return pd.Series([least_joined(pairs) for pairs in edges], dtype=object)
+
+    docs = edges.groupBy(DOC).agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    found = docs.select(DOC, F.explode(closed("edges")).alias("f")).select(DOC, "f.cell", "f.label")
+    return found.select(DOC, F.floor(F.col("cell") / STRIDE).alias("row"), (F.col("cell") % STRIDE).alias("col"), "label")

@@ -235,18 +235,55 @@ def i7_state_consistent(spark, d):
     return _docs(spark, d).select("doc_id", gt.state_consistent(F.col("recognition_state"), F.col("publication_blocked")).alias("ok"))
 
 
-REQUESTS = {0: ("", "EMPTY_REQUEST", ""), 1: ("{bad", "INVALID_JSON", ""), 2: ("[1]", "INVALID_REQUEST", ""), 3: ('{"protocol":2}', "UNSUPPORTED_PROTOCOL", "protocol"), 4: ('{"protocol":1,"action":"x"}', "UNSUPPORTED_ACTION", "action"), 5: ('{"protocol":1,"action":"health","request_id":0}', "INVALID_REQUEST_ID", "request_id"), 6: ('{"protocol":1,"action":"health","request_id":5,"deadline":-1}', "INVALID_DEADLINE", "deadline")}
+#: Request lines with the code and field that the protocol has for them. The first three are no requests.
+REQUESTS = (
+    ("", "INVALID_REQUEST", None),
+    ("{bad", "INVALID_REQUEST", None),
+    ("[1]", "INVALID_REQUEST", None),
+    ("{}", "UNSUPPORTED_PROTOCOL", "protocol"),
+    ('{"protocol":2,"action":"health","request_id":10}', "UNSUPPORTED_PROTOCOL", "protocol"),
+    ('{"protocol":"1","action":"health"}', "UNSUPPORTED_PROTOCOL", "protocol"),
+    ('{"protocol":1,"action":"nope","request_id":9}', "UNSUPPORTED_ACTION", "action"),
+    ('{"protocol":1,"action":"health","request_id":99999999999}', "INVALID_REQUEST", "request_id"),
+    ('{"protocol":1,"action":"health","request_id":"abc"}', "INVALID_REQUEST", "request_id"),
+    ('{"protocol":1,"action":"health","request_id":true}', "INVALID_REQUEST", "request_id"),
+    ('{"protocol":1,"action":"health","request_id":0}', "INVALID_REQUEST", "request_id"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","options":[1,2]}', "INVALID_REQUEST", None),
+    ('{"protocol":1,"action":"recognize","image_path":123}', "IMAGE_PATH_REQUIRED", "image_path"),
+    ('{"protocol":1,"action":"recognize","image_path":" "}', "IMAGE_PATH_REQUIRED", "image_path"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","output_directory":""}', "OUTPUT_DIRECTORY_INVALID", "output_directory"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","options":{"crop_mode":"odd"}}', "INVALID_OPTION", "options"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","options":{"accuracy_mode":3}}', "INVALID_OPTION", "options"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","options":{"deadline_seconds":-1}}', "INVALID_OPTION", "options"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","options":{"deadline_seconds":true}}', "INVALID_OPTION", "options"),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","options":{"input_rectified":1}}', "INVALID_REQUEST", None),
+    ('{"protocol":1,"action":"export_xlsx","cells":[["a"]]}', "EXPORT_PATH_REQUIRED", "output_path"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":"abc"}', "EXPORT_GRID_INVALID", "cells"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a"],["b","c"]]}', "EXPORT_GRID_INVALID", "cells"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[[]]}', "EXPORT_GRID_INVALID", "cells"),
+    ('{"protocol":1,"action":"health"}', None, None),
+    ('{"protocol":1,"action":"warmup","request_id":5}', None, None),
+    ('{"protocol":1,"action":"recognize","image_path":"x.png","output_directory":null,"options":{"crop_mode":"grid","deadline_seconds":2.5}}', None, None),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a","b"],["c",{"text":"d"}]]}', None, None),
+)
+EVERY = 40
 
 
 def _requests(spark, d):
+    """A request an event: those of REQUESTS in turn, then good ones of their own."""
     k = F.col("event_id")
-    raw = F.concat(F.lit('{"protocol":1,"action":"recognize","request_id":'), (k + 1).cast("string"), F.lit("}"))
-    for i, (text, _, _) in REQUESTS.items():
-        raw = F.when(k % 20 == i, text).otherwise(raw)
+    raw = F.concat(F.lit('{"protocol":1,"action":"health","request_id":'), (k + 1).cast("string"), F.lit("}"))
+    for i, (text, _, _) in enumerate(REQUESTS):
+        raw = F.when(k % EVERY == i, text).otherwise(raw)
     return table(spark, d, "events").select("event_id", raw.alias("value"))
 
 
-@query("select event_id, case event_id % 20 " + " ".join(f"when {i} then '{c}'" for i, (_, c, _) in REQUESTS.items()) + " end as code, case event_id % 20 " + " ".join(f"when {i} then '{f}'" for i, (_, _, f) in REQUESTS.items()) + " end as field, case when event_id % 20 < 7 then false end as retryable from events")
+_SQL_TEXT = lambda x: "null" if x is None else f"'{x}'"
+CONTRACT = ", ".join(f"({i}, {_SQL_TEXT(code)}, {_SQL_TEXT(at)})" for i, (_, code, at) in enumerate(REQUESTS))
+
+
+@query(f"""select event_id, x.code, x.field, case when x.code is not null then x.code in ('OUTPUT_WRITE_FAILED', 'EXPORT_WRITE_FAILED', 'RECOGNITION_BUDGET_EXCEEDED', 'INTERNAL_ERROR') end as retryable
+from events left join (values {CONTRACT}) x(i, code, field) on event_id % {EVERY} = x.i""")
 def i8_i9_request_errors(spark, d):
     found = _requests(spark, d).select("event_id", gt.request_error(F.col("value")).alias("e")).select("event_id", "e.*")
     return gt.with_retry(spark, found).select("event_id", "code", "field", "retryable")
@@ -452,7 +489,7 @@ def a4_html_tables(spark, d):
     return rd.html_tables_to_cells(pages)
 
 
-@query("select event_id, event_id % 20 in (1, 2) as bad from events where event_id % 20 <> 0")
+@query("select event_id, event_id % 40 in (1, 2) as bad from events where event_id % 40 <> 0")
 def a5_m4_protocol_lines(spark, d):
     return rd.split_protocol_lines(_requests(spark, d)).select("event_id", "bad")
 
@@ -462,10 +499,16 @@ def a6_pick_evenly(spark, d):
     return rd.pick_evenly(table(spark, d, "documents").select("doc_id"), 25, "doc_id")
 
 
-@query("select doc_id, [text] as keyed, [source, text] as every from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+@query("""select doc_id, case doc_id % 3 when 0 then [text] when 1 then [source, text] else [text, 'z', source] end as keyed,
+  case doc_id % 3 when 0 then [source, text] when 1 then [source, 'n', text] else ['y', text, 'x', 'z', source] end as every
+from documents where trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def a8_collect_strings(spark, d):
     docs = table(spark, d, "documents")
-    raw = F.to_json(F.struct(F.struct(F.col("source").alias("id")).alias("other"), F.struct("text").alias("form")))
+    one = F.to_json(F.struct(F.struct(F.col("source").alias("id")).alias("other"), F.struct("text").alias("form")))
+    two = F.to_json(F.struct(F.col("source").alias("words"), F.struct(F.lit("n").alias("name"), F.col("text").alias("value")).alias("form")))
+    leaf = F.struct(F.lit("y").alias("note"), F.col("text").alias("transcription"), F.lit("x").alias("value"))
+    three = F.to_json(F.struct(F.array(leaf).alias("document"), F.struct(F.lit("z").alias("value")).alias("cells"), F.array("source").alias("form")))
+    raw = F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, two).otherwise(three)
     found = docs.where("trim(both ' \t\n\r' from text) <> ''").withColumn("raw", raw)
     return found.select("doc_id", rd.collect_strings()(F.col("raw")).alias("keyed"), rd.collect_strings(False)(F.col("raw")).alias("every"))
 
@@ -510,7 +553,7 @@ def l4_sheet_frame(spark, d):
 
 def _exchange(spark, d):
     """Requests, one an event, and responses 0 to 89 seconds later; some never come, come twice, or are of another action."""
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 3 == 0, "health").otherwise("export").alias("action"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 3 == 0, "health").when(F.col("event_id") % 3 == 1, "export_xlsx").otherwise("recognize").alias("action"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"))
     k = F.col("request_id")
     later = lambda s: F.timestamp_seconds(F.unix_timestamp("ts") + s)
     answers = e.where(k % 50 != 0).withColumns({"ts": later(k % 90), "action": F.when(k % 70 == 2, "other").otherwise(F.col("action"))})
@@ -519,7 +562,7 @@ def _exchange(spark, d):
 
 
 EXCHANGE = """
-requests as (select user_id::varchar as session, event_id as request_id, case when event_id % 3 = 0 then 'health' else 'export' end as action, date_trunc('second', ts) as ts from events),
+requests as (select user_id::varchar as session, event_id as request_id, case event_id % 3 when 0 then 'health' when 1 then 'export_xlsx' else 'recognize' end as action, date_trunc('second', ts) as ts from events),
 answers as (select session, request_id, case when request_id % 70 = 2 then 'other' else action end as action, ts + to_seconds(request_id % 90) as ts from requests where request_id % 50 <> 0
   union all select session, request_id, action, ts + to_seconds(request_id % 90 + 5) from requests where request_id % 40 = 1),
 first as (select * from answers qualify row_number() over (partition by session, request_id order by ts, action) = 1)"""
@@ -537,7 +580,7 @@ def m2_first_response(spark, d):
     return pr.first_response(_exchange(spark, d)[1]).select("session", "request_id", "action")
 
 
-@query(f"with {EXCHANGE} select q.session, q.request_id, q.action, 'TIMEOUT' as code, true as retryable from requests q left join first a on a.session = q.session and a.request_id = q.request_id and a.ts >= q.ts and a.ts <= q.ts + interval 60 seconds where a.ts is null")
+@query(f"with {EXCHANGE} select q.session, q.request_id, q.action, 'TIMEOUT' as code, true as retryable from requests q left join first a on a.session = q.session and a.request_id = q.request_id and a.ts >= q.ts and a.ts <= q.ts + to_seconds(case q.action when 'health' then 10 when 'export_xlsx' then 30 else 60 end) where a.ts is null")
 def m3_timeouts(spark, d):
     q, a = _exchange(spark, d)
     return pr.timeouts(q, pr.first_response(a)).drop("ts")

@@ -57,7 +57,7 @@ _text_query("g17_locations", "regexp_extract_all(text, 'R[0-9]+C[0-9]+') as labe
 _text_query("g19_output_name", "case when regexp_replace(regexp_replace(text, '^.*[/\\\\]', ''), '\\.[^.]*$', '') = '' then 'table' else regexp_replace(regexp_replace(text, '^.*[/\\\\]', ''), '\\.[^.]*$', '') end || '.xlsx' as file", file=tx.output_name)
 
 
-@query(f"with {STRINGS} select id, list_sort(list_distinct(regexp_extract_all(' ' || text, '([^0-9A-Za-z_.+-]|^)([+-]?[0-9]+([.,][0-9]+)*(%|[A-Za-z]{{1,3}})?)', 2))) as numbers from strings where id % 24 in (8, 19, 22)")
+@query(f"with {STRINGS} select id, list_sort(list_distinct(regexp_extract_all(' ' || text, '([^0-9A-Za-z_.+-]|^)([+-]?[0-9]+([.,][0-9]+)*(%|[A-Za-z]+)?)', 2))) as numbers from strings where id % 24 in (8, 19, 22)")
 def g2_numeric_tokens(spark, d):
     return strings(spark, d).where("id % 24 in (8, 19, 22)").select("id", F.sort_array(tx.numeric_tokens(F.col("text"))).alias("numbers"))
 
@@ -147,8 +147,9 @@ def d4_places_to_review(spark, d):
     return sp.resolve_text_hiding(spans(spark, d), _seen(spark, d))[1]
 
 
-@query(f"""with {TRUTH}, {SPANS}, {COVER}, {CELLS}, f as (select distinct c.doc_id, c.span_id from cover c join seen using (doc_id, row_idx, col_idx) where needs_review)
-select doc_id, row_idx, col_idx, text, needs_review or exists (select 1 from spans s join f on f.doc_id = s.doc_id and f.span_id = s.span_id where s.doc_id = seen.doc_id and s.row_idx = seen.row_idx and s.col_idx = seen.col_idx) as needs_review from seen""")
+@query(f"""with {TRUTH}, {SPANS}, {COVER}, {CELLS}, f as (select distinct c.doc_id, c.span_id from cover c join seen using (doc_id, row_idx, col_idx) where needs_review),
+lifted as (select distinct s.doc_id, s.row_idx, s.col_idx, true as up from spans s join f using (doc_id, span_id))
+select doc_id, row_idx, col_idx, text, needs_review or coalesce(up, false) as needs_review from seen left join lifted using (doc_id, row_idx, col_idx)""")
 def d5_lift_review(spark, d):
     return sp.lift_review(spans(spark, d), _seen(spark, d))
 
@@ -185,7 +186,8 @@ def d10_d11_boundaries(spark, d):
     return n.withColumns({"b": odd, "plain": made}).select("doc_id", sp.boundaries_ok(F.col("b"), F.col("n_rows")).alias("ok"), sp.align_boundaries(F.col("plain"), F.lit(1)).alias("aligned"))
 
 
-@query(f"with {TRUTH} select doc_id, sha256('grid|' || (max(row_idx) + 1) || '|' || (max(col_idx) + 1)) as fingerprint from truth group by doc_id")
+@query(f"""with {TRUTH} select doc_id, sha256('{{"p0":"grid","p1":"' || (max(row_idx) + 1) || '","p2":"' || (max(col_idx) + 1) || '"}}') as fingerprint
+from truth group by doc_id""")
 def d12_geometry_fingerprint(spark, d):
     return shape(cells_truth(spark, d)).select("doc_id", sp.geometry_fingerprint(F.lit("grid"), F.col("n_rows"), F.col("n_cols")).alias("fingerprint"))
 

@@ -158,16 +158,20 @@ def subtree_sizes(inventory: DataFrame, root: str) -> DataFrame:
 
 
 def _strings(value, keyed: bool) -> list[str]:
-    if isinstance(value, str):
-        return [value] if value.strip() else []
-    if isinstance(value, list):
-        return [s for v in value for s in _strings(v, keyed)]
-    if isinstance(value, dict):
-        if not keyed:
-            return [s for v in value.values() for s in _strings(v, keyed)]
-        own = [value[k] for k in TEXT_KEYS if isinstance(value.get(k), str) and value[k].strip()]
-        return own[:1] or [s for k in WALKED_KEYS if isinstance(value.get(k), (dict, list)) for s in _strings(value[k], keyed)]
-    return []
+    """Leaf strings in the document's order: what is still to be visited lies on a stack, the next on top."""
+    found, waiting = [], [value]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, str):
+            found += [node] if node.strip() else []
+        elif isinstance(node, list):
+            waiting += reversed(node)
+        elif isinstance(node, dict):
+            texts = (node.get(k) for k in TEXT_KEYS) if keyed else ()
+            own = next((t for t in texts if isinstance(t, str) and t.strip()), None)
+            inner = [v for k, v in node.items() if not keyed or k in WALKED_KEYS]
+            waiting += reversed(inner) if own is None else [own]
+    return found
 
 
 def collect_strings(keyed: bool = True):

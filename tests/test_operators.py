@@ -1,13 +1,16 @@
 """Pinned examples of operators, small tables each."""
 
 import random
+from difflib import SequenceMatcher
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as tx
 from gridloom.operators import consensus as cs
+from gridloom.operators import evaluate as ev
 from gridloom.operators import gate as gt
 from gridloom.operators import positions as ps
 from gridloom.operators import review as rv
@@ -16,6 +19,7 @@ from gridloom.operators import spans as sp
 from gridloom.operators import structure as st
 from gridloom.operators import tokens as tk
 from gridloom.operators.evaluate import mismatch_kind
+from gridloom.plans.documents import REQUESTS
 from gridloom.sources import readers as rd
 from gridloom.sources import writers as wr
 
@@ -150,9 +154,16 @@ def test_markup(spark):
 
 
 def test_request_errors(spark):
-    good = '{"protocol":1,"action":"health","request_id":5}'
-    codes = column(spark, ["", "{", "[]", '{"protocol":"2"}', good], lambda c: gt.request_error(c)["code"])
-    assert codes == ["EMPTY_REQUEST", "INVALID_JSON", "INVALID_REQUEST", "UNSUPPORTED_PROTOCOL", None]
+    lines = [text for text, _, _ in REQUESTS]
+    found = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, raw string").select("k", gt.request_error(F.col("raw")).alias("e"))
+    told = {r.k: (r.e.code, r.e.field) if r.e else (None, None) for r in found.collect()}
+    assert told == {k: (code, at) for k, (_, code, at) in enumerate(REQUESTS)}
+    base = '{"protocol":1,"action":"recognize","image_path":"a","options":{"deadline_seconds":%s}}'
+    odd = ["NaN", "1e400", "-0.5", "null", '"5"', "0", "1.5", "7"]
+    codes = column(spark, [base % x for x in odd], lambda c: gt.request_error(c)["code"])
+    assert codes == ["INVALID_REQUEST", "INVALID_OPTION", "INVALID_OPTION", "INVALID_OPTION", "INVALID_OPTION", None, None, None]
+    assert column(spark, [None, '{"protocol":true,"action":"health"}', '{"protocol":1.0,"action":"warmup","request_id":null}'], lambda c: gt.request_error(c)["code"]) == ["INVALID_REQUEST", None, "INVALID_REQUEST"]
+    assert len(gt.ERROR_CODES) == 19 and {c for _, c, _ in REQUESTS if c} <= {c for c, _, _ in gt.ERROR_CODES}
 
 
 def test_sampling(spark):
@@ -176,3 +187,135 @@ def test_files(spark, tmp_path):
         wr.publish(cells, str(tmp_path / "out"))
     files = rd.file_inventory(spark, str(tmp_path / "out"))
     assert files.count() >= 1 and {r.subtree for r in rd.subtree_sizes(rd.file_inventory(spark, str(tmp_path)), str(tmp_path)).collect()} >= {"out", "csv"}
+
+
+def missing(cells, n_rows, n_cols):
+    """Separators of a grid, of which those between ``cells`` (row and column ranges) are absent."""
+    rows, cols = cells
+    inside = lambda r, c: r in rows and c in cols
+    v = [(1, "v", r, c, 0.05 if inside(r, c) and inside(r, c + 1) else 0.9) for r in range(n_rows) for c in range(n_cols - 1)]
+    return v + [(1, "h", r, c, 0.05 if inside(r, c) and inside(r + 1, c) else 0.9) for r in range(n_rows - 1) for c in range(n_cols)]
+
+
+@pytest.mark.parametrize("rows, cols, n_rows, n_cols", [(range(1), range(40), 40, 40), (range(2, 5), range(30), 12, 60), (range(1, 29), range(3, 4), 60, 9), (range(0, 1), range(0, 1100), 4, 2300)])
+def test_merged_regions_of_any_size(spark, rows, cols, n_rows, n_cols):
+    separators = spark.createDataFrame(missing((rows, cols), n_rows, n_cols), "doc_id long, orientation string, row_idx int, col_idx int, support double")
+    (found,) = sp.spans_from_separators(separators).collect()
+    assert tuple(found)[1:] == (rows[0], cols[0], len(rows), len(cols))
+
+
+def test_chains_of_readings_end_in_the_longest(spark):
+    chain = ["2", "20", "205", "2051", "20512", "205123"]
+    read = spark.createDataFrame([(1, 0, 0, f"f{k}", k, t, 0.6 + k / 100) for k, t in enumerate(chain)], "doc_id long, row_idx int, col_idx int, family string, reading_no int, text string, score double")
+    (found,) = cs.merge_truncated(cs.votes(read)).collect()
+    assert (found.text, found.votes, found.best, found.least) == ("205123", 6, 0.65, 0.6)
+
+
+def brute_merge(readings):
+    """F2 of one cell, one reading at a time: {text: votes} before and after."""
+    inside = lambda s, t: (lambda it: all(c in it for c in s))(iter(t))
+    bare = lambda t: "".join(c for c in t if c.isascii() and c.isalnum())
+    into = {}
+    for text in readings:
+        longer = sorted((t for t in readings if len(t) > len(text) > 0 and inside(text, t)), key=lambda t: (len(t), t))
+        nested = all(inside(a, b) for a, b in zip(longer, longer[1:]))
+        if longer and nested and bare(longer[0]) != bare(text) and readings[longer[0]][1] >= cs.FLOOR:
+            into[text] = longer[0]
+    out = {}
+    for text, (votes, _) in readings.items():
+        while text in into:
+            text = into[text]
+        out[text] = out.get(text, 0) + votes
+    return out
+
+
+def test_merging_against_brute_force(spark):
+    rng = random.Random(14)
+    rows, cells = [], {}
+    for cell in range(150):
+        for k in range(rng.randrange(1, 8)):
+            text = "".join(rng.choice("12a-") for _ in range(rng.randrange(0, 5)))
+            score = rng.choice((0.3, 0.55, 0.9))
+            rows.append((1, cell, 0, f"f{k}", k, text, score))
+            n, best = cells.setdefault(cell, {}).get(text, (0, 0))
+            cells[cell][text] = (n + 1, max(best, score))
+    read = spark.createDataFrame(rows, "doc_id long, row_idx int, col_idx int, family string, reading_no int, text string, score double")
+    found = {}
+    for r in cs.merge_truncated(cs.votes(read)).collect():
+        found.setdefault(r.row_idx, {})[r.text] = r.votes
+    assert found == {cell: brute_merge(readings) for cell, readings in cells.items()}
+
+
+def test_similarity_of_long_and_empty_texts(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(10_000))
+    pairs = [(long, long[:5000] + "x" + long[5000:]), ("", ""), ("", "a"), ("a", ""), (None, "a"), ("a", None), ("abc", "abd")]
+    found = spark.createDataFrame(pairs, "a string, b string").select(ev.sequence_similarity("a", "b").alias("s")).collect()
+    want = [SequenceMatcher(None, a, b).ratio() if a and b is not None else None for a, b in pairs]
+    assert [r.s for r in found] == want
+
+
+def test_numbers_and_folding(spark):
+    assert column(spark, ["12kilo 5kg 7 3units", "v12 -3.5% x.7", "1,234.5abc٣ 4"], tx.numeric_tokens) == [["12kilo", "5kg", "7", "3units"], ["-3.5%"], ["1,234.5abc", "4"]]
+    texts = ["Straße", "ΑΣ ας", "ﬁne ı I İ", "ſ µ", None]
+    assert column(spark, texts, tx.normalize_text) == [None if t is None else "".join(t.split()).casefold() for t in texts]
+
+
+def test_annotation_strings_in_their_order(spark):
+    raw = ['{"words":"abc","form":["x"]}', '{"value":"v","other":"o","cells":[{"text":" ","transcription":"t","form":"f"},{"text":"s","form":"g"}]}', '["a",{"b":"c"}," "]', "7", "bad"]
+    assert column(spark, raw, rd.collect_strings()) == [["abc", "x"], ["v", "t", "s"], ["a"], [], None]
+    assert column(spark, raw, rd.collect_strings(False)) == [["abc", "x"], ["v", "o", "t", "f", "s", "g"], ["a", "c"], [], None]
+
+
+def test_fingerprints_differ(spark):
+    row = spark.createDataFrame([("a|b", None, "c")], "x string, y string, z string")
+    parts = [("x", "z"), ("x", "y", "z"), ("y", "x", "z"), ("z", "x")]
+    made = row.select(*(sp.geometry_fingerprint(*(F.col(c) for c in p)).alias(str(k)) for k, p in enumerate(parts)), sp.geometry_fingerprint(F.lit("a"), F.lit("b|c")).alias("p"), sp.geometry_fingerprint(F.lit("a|b"), F.lit("c")).alias("q")).first()
+    assert len(set(made)) == 5 and made["0"] == made["q"]
+
+
+def brute_extend(at, line, extent, most=8):
+    """C12 step by step, and nearby positions merged at the end."""
+    gaps = [b - a for a, b in zip(at, at[1:])]
+    few = [g for g in gaps if g <= np.percentile(gaps, 70)] or gaps
+    typical, peak = float(np.median(few)), max(line.values())
+    out = list(at)
+    for side in (-1, 1):
+        for _ in range(most):
+            edge = min(out) if side < 0 else max(out)
+            guess = round(edge + side * typical)
+            near = [p for p in line if abs(p - guess) <= max(5, round(typical * 0.22))]
+            if not min(line) <= guess <= max(line) or not near or typical < 6:
+                break
+            best = max(near, key=lambda p: (line[p], -p))
+            if line[best] < max(extent, peak) * 0.1 or abs(abs(best - edge) - typical) > typical * 0.36:
+                break
+            out.append(best)
+    groups = []
+    for p in sorted(out):
+        if groups and p - groups[-1][-1] <= 5:
+            groups[-1].append(p)
+        else:
+            groups.append([p])
+    return [round(sum(g) / len(g)) for g in groups]
+
+
+def test_extending_against_brute_force(spark):
+    rng = random.Random(10)
+    positions, profile, want = [], [], {}
+    for series in range(25):
+        step, start = rng.randrange(8, 30), rng.randrange(40, 120)
+        at = [start + k * step + rng.randrange(-1, 2) for k in range(rng.randrange(5, 8))]
+        line = {p: rng.randrange(0, 3) for p in range(400)}
+        for k in range(-12, 20):
+            p = start + k * step + rng.randrange(-3, 4)
+            if p in line and rng.random() < 0.8:
+                line[p] = rng.randrange(2, 40)
+        positions += [(series, p) for p in at]
+        profile += [(series, p, h) for p, h in line.items()]
+        want[series] = brute_extend(at, line, 30)
+    found = ps.extend_sequence(spark.createDataFrame(positions, "series_id long, pos long"), spark.createDataFrame(profile, "series_id long, pos long, strength long"), 30)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.series_id, []).append(r.pos)
+    assert {k: sorted(v) for k, v in got.items()} == want
