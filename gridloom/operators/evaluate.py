@@ -17,43 +17,73 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def _covered(truth: DataFrame, actual: DataFrame) -> DataFrame:
+    """doc_id, n_rows, n_cols, got_rows, got_cols of each document of ``truth``, and of the rectangle that both grids
+    cover: cells, equal, filled (in truth), filled_equal. Texts are trimmed.
+
+    Only cells that are stored are looked at, dealt once by document; how many more are blank on both sides follows
+    from the shapes."""
+    text = lambda c: unicode_trim(F.coalesce(c, F.lit("")))
+    none = F.lit(None).cast("string")
+    sides = truth.select(*CELL, text(F.col("text")).alias("want"), none.alias("got"))
+    sides = sides.unionByName(actual.select(*CELL, none.alias("want"), text(F.col("text")).alias("got")))
+    cells = sides.repartition(DOC).groupBy(*CELL).agg(F.max("want").alias("want"), F.max("got").alias("got"))
+    extent = lambda at, side: (F.max(F.when(F.col(side).isNotNull(), F.col(at))).over(W.partitionBy(DOC)) + 1)
+    found = lambda at: F.coalesce(extent(at, "got"), F.lit(0))
+    shaped = cells.withColumns({"n_rows": extent("row_idx", "want"), "n_cols": extent("col_idx", "want")})
+    shaped = shaped.withColumns({"got_rows": found("row_idx"), "got_cols": found("col_idx")})
+    want, got = (F.coalesce(F.col(c), F.lit("")) for c in ("want", "got"))
+    both = (F.col("row_idx") < F.least("n_rows", "got_rows")) & (F.col("col_idx") < F.least("n_cols", "got_cols"))
+    counted = shaped.where("n_rows is not null").groupBy(DOC, "n_rows", "n_cols", "got_rows", "got_cols").agg(
+        _count(both & (want != "")).alias("filled"),
+        _count(both & (want != "") & (want == got)).alias("filled_equal"),
+        _count(both & ((want != "") | (got != ""))).alias("any_filled"),
+    )
+    size = (F.least("n_rows", "got_rows") * F.least("n_cols", "got_cols")).cast("long")
+    equal = F.col("filled_equal") + size - F.col("any_filled")
+    return counted.select(DOC, "n_rows", "n_cols", "got_rows", "got_cols", size.alias("cells"), equal.alias("equal"), "filled", "filled_equal")
+
+
 def compare_cells(truth: DataFrame, actual: DataFrame) -> DataFrame:
     """Per document of ``truth`` the equal cells in the rectangle that both grids cover.
 
     Texts are trimmed. Rates are null where no (non-empty) truth cell is covered."""
-    pairs = rectangularize(truth).alias("t").join(rectangularize(actual).select(*CELL, F.col("text").alias("got")), list(CELL))
-    want, got = unicode_trim(F.col("text")), unicode_trim(F.col("got"))
-    found = pairs.groupBy(DOC).agg(F.count("*").alias("cells"), _count(want == got).alias("equal"), _count(want != "").alias("filled"), _count((want != "") & (want == got)).alias("filled_equal"))
-    shapes = shape(truth).join(shape(actual).select(DOC, F.col("n_rows").alias("got_rows"), F.col("n_cols").alias("got_cols")), DOC, "left")
-    scored = shapes.join(found, DOC, "left").na.fill(0, ["cells", "equal", "filled", "filled_equal", "got_rows", "got_cols"])
     same = (F.col("n_rows") == F.col("got_rows")) & (F.col("n_cols") == F.col("got_cols"))
-    return scored.withColumns({"shape_match": same, "rate": F.col("equal") / F.nullif("cells", F.lit(0)), "filled_rate": F.col("filled_equal") / F.nullif("filled", F.lit(0))})
+    rates = {"rate": F.col("equal") / F.nullif("cells", F.lit(0)), "filled_rate": F.col("filled_equal") / F.nullif("filled", F.lit(0))}
+    return _covered(truth, actual).withColumns({"shape_match": same} | rates)
 
 
 def strict_exact_rate(truth: DataFrame, actual: DataFrame) -> DataFrame:
     """Equal cells over all truth cells; a cell outside the recognised grid is wrong."""
-    pairs = rectangularize(truth).join(rectangularize(actual).select(*CELL, F.col("text").alias("got")), list(CELL), "left")
-    equal = F.coalesce(unicode_trim(F.col("text")) == unicode_trim(F.col("got")), F.lit(False))
-    return pairs.groupBy(DOC).agg(F.count("*").alias("cells"), _count(equal).alias("equal")).withColumn("rate", F.col("equal") / F.col("cells"))
+    cells = (F.col("n_rows") * F.col("n_cols")).cast("long")
+    return _covered(truth, actual).select(DOC, cells.alias("cells"), "equal").withColumn("rate", F.col("equal") / F.col("cells"))
 
 
 def best_alignment(truth: DataFrame, actual: DataFrame, max_row: int = MAX_ROW_SHIFT, max_col: int = MAX_COL_SHIFT) -> DataFrame:
     """The shift of the recognised grid with the best rate on the overlap; of equals the first by row, then column.
 
     Equal texts are joined within a document and their shifts counted, instead of comparing all cells under
-    every shift; how many cells a shift overlaps follows from the two shapes."""
+    every shift; how many cells a shift overlaps follows from the two shapes. Blanks, of which a sparse grid has very
+    many, are looked for at the places that a shift can bring them to."""
     t = rectangularize(truth).select(DOC, "row_idx", "col_idx", unicode_trim(F.col("text")).alias("text"))
     a = rectangularize(actual).select(DOC, F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), unicode_trim(F.col("text")).alias("text"))
-    moved = t.join(a, [DOC, "text"]).select(DOC, (F.col("r") - F.col("row_idx")).alias("row_shift"), (F.col("c") - F.col("col_idx")).alias("col_shift"))
+    row_shifts, col_shifts = F.sequence(F.lit(-max_row), F.lit(max_row)), F.sequence(F.lit(-max_col), F.lit(max_col))
+    # what two cells have to share: their text, or if that is blank the place
+    place = lambda r, c: F.concat(F.lit("\0"), r.cast("string"), F.lit(","), c.cast("string"))
+    reached = F.transform(row_shifts, lambda r: F.transform(col_shifts, lambda c: place(F.col("row_idx") + r, F.col("col_idx") + c)))
+    asked = F.when(F.col("text") == "", F.flatten(reached)).otherwise(F.array("text"))
+    there = F.when(F.col("text") == "", place(F.col("r"), F.col("c"))).otherwise(F.col("text"))
+    moved = t.select(DOC, "row_idx", "col_idx", F.explode(asked).alias("key")).join(a.select(DOC, "r", "c", there.alias("key")), [DOC, "key"])
+    moved = moved.select(DOC, (F.col("r") - F.col("row_idx")).alias("row_shift"), (F.col("c") - F.col("col_idx")).alias("col_shift"))
     near = moved.where((F.abs("row_shift") <= max_row) & (F.abs("col_shift") <= max_col))
     hits = near.groupBy(DOC, "row_shift", "col_shift").agg(F.count("*").alias("equal"))
     shapes = shape(truth).join(shape(actual).select(DOC, F.col("n_rows").alias("got_rows"), F.col("n_cols").alias("got_cols")), DOC)
-    shifts = shapes.withColumn("row_shift", F.explode(F.sequence(F.lit(-max_row), F.lit(max_row)))).withColumn("col_shift", F.explode(F.sequence(F.lit(-max_col), F.lit(max_col))))
+    shifts = shapes.withColumn("row_shift", F.explode(row_shifts)).withColumn("col_shift", F.explode(col_shifts))
     over = lambda n, got, s: F.greatest(F.least(F.col(n), F.col(got) - F.col(s)) - F.greatest(F.lit(0), -F.col(s)), F.lit(0))
     sized = shifts.withColumn("cells", over("n_rows", "got_rows", "row_shift") * over("n_cols", "got_cols", "col_shift")).where("cells > 0")
     rated = sized.join(hits, [DOC, "row_shift", "col_shift"], "left").na.fill(0, ["equal"]).withColumn("rate", F.col("equal") / F.col("cells"))
-    first = F.row_number().over(W.partitionBy(DOC).orderBy(F.desc("rate"), "row_shift", "col_shift"))
-    return rated.withColumn("k", first).where("k = 1").select(DOC, "row_shift", "col_shift", "cells", "equal", "rate")
+    best = rated.groupBy(DOC).agg(F.max_by(F.struct("row_shift", "col_shift", "cells", "equal", "rate"), F.struct("rate", -F.col("row_shift"), -F.col("col_shift"))).alias("best"))
+    return best.select(DOC, "best.*")
 
 
 def mismatch_kind(expected: Column, actual: Column) -> Column:

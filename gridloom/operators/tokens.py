@@ -130,11 +130,10 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
 
     # In order of tokens, a number fused with a rate gives its number to the empty cell on its left.
     pair = r"(?i)^([+-]?\d+\.\d{2})(\d+(?:\.\d+)?\s*[kMGT]?S/s)$"
-    fused = placed.where(c("text").rlike(pair) & (c("col_idx") > 0)).select(DOC, "token_id", "part", "row_idx", (c("col_idx") - 1).alias("col_idx"))
-    taken = placed.select(DOC, "row_idx", "col_idx", c("token_id").alias("before"))
-    busy = fused.join(taken, [DOC, "row_idx", "col_idx"]).where("before < token_id").select(DOC, "token_id", "part").distinct()
-    free = fused.join(busy, [DOC, "token_id", "part"], "left_anti").select(DOC, "token_id", "part").withColumn("free", F.lit(True))
-    split = placed.join(free, [DOC, "token_id", "part"], "left")
+    left_cell = W.partitionBy(DOC, "row_idx").orderBy("col_idx").rangeBetween(-1, -1)
+    before = F.min("token_id").over(left_cell)
+    empty = F.coalesce(before >= c("token_id"), F.lit(True))
+    split = placed.withColumn("free", c("text").rlike(pair) & (c("col_idx") > 0) & empty)
     moved = F.array(_piece(c("row_idx"), c("col_idx") - 1, F.get("cols", c("col_idx")) - 1.0, c("y"), F.regexp_extract("text", pair, 1), c("score")), _piece(c("row_idx"), c("col_idx"), c("x"), c("y"), F.regexp_extract("text", pair, 2), c("score")))
     same = F.array(_piece(c("row_idx"), c("col_idx"), c("x"), c("y"), c("text"), c("score")))
     out = split.select(DOC, "token_id", "part", F.explode(F.when(c("free"), moved).otherwise(same)).alias("p"))

@@ -189,6 +189,20 @@ def test_files(spark, tmp_path):
     assert files.count() >= 1 and {r.subtree for r in rd.subtree_sizes(rd.file_inventory(spark, str(tmp_path)), str(tmp_path)).collect()} >= {"out", "csv"}
 
 
+def test_numbering_within_groups(spark):
+    rng = random.Random(2)
+    places = [*range(300), *rng.sample(range(300, 90_000), 300), *range(95_000, 95_300)]
+    rows = [(rng.choice(["a", "a", "b", None]), i) for i in places]
+    frame = spark.createDataFrame(rows, "s string, i long")
+    for width in (3, 1000):
+        for by in (None, "s"):
+            found = {(r.s, r.i): r.n for r in sm.numbered(frame, "n", "i", by, width).collect()}
+            for group in {s for s, _ in rows} if by else {0}:
+                some = sorted(i for s, i in rows if not by or s == group)
+                keys = {i: s for s, i in rows}
+                assert [found[keys[i], i] for i in some] == list(range(len(some)))
+
+
 def missing(cells, n_rows, n_cols):
     """Separators of a grid, of which those between ``cells`` (row and column ranges) are absent."""
     rows, cols = cells
