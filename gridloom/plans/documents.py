@@ -153,7 +153,12 @@ def h13_duplicate_texts(spark, d):
     return st.duplicate_texts(cells_truth(spark, d))
 
 
-@query()
+@query(f"""with {TRUTH}, boxes as (
+  select doc_id, (row_idx * 6 + col_idx)::bigint as token_id, col_idx * 100.0::double + 10 + o as "left", col_idx * 100.0::double + w + o as "right", row_idx * 20.0::double + 4 as top, row_idx * 20.0::double + d as bottom
+  from (select *, case when h % 43 = 1 then -5000 else 0 end as o, case when h % 37 = 1 then 160 else 90 end as w, case when h % 41 = 1 then 36 else 16 end as d from truth where text <> '' and h % 59 <> 1)),
+shares as (select floor(0.1::double * 640) as a, ceil((0.1::double + 0.5::double) * 640) as b, floor(0.1::double * 300) as t, ceil((0.1::double + 0.6::double) * 300) as e),
+region as (select greatest(0, a - greatest(4, ceil((b - a) * 0.02))) as x0, least(640, b + greatest(4, ceil((b - a) * 0.02))) as x1, greatest(0, t - greatest(4, ceil((e - t) * 0.08))) as y0, least(300, e + greatest(4, ceil((e - t) * 0.04))) as y1 from shares)
+select boxes.* from boxes, region where ("left" + "right") / 2 >= x0 and ("left" + "right") / 2 < x1 and (top + bottom) / 2 >= y0 and (top + bottom) / 2 < y1""")
 def h14_select_region(spark, d):
     boxed = tk.with_box(_tokens(spark, d)).select("doc_id", "token_id", "left", "right", "top", "bottom")
     region = boxed.select("doc_id").distinct().select("doc_id", F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.lit(0.5).alias("w"), F.lit(0.6).alias("h"), F.lit(640).alias("width"), F.lit(300).alias("height"))
@@ -344,7 +349,21 @@ def f1_votes(spark, d):
     return cs.votes(_readings(spark, d))
 
 
-@query()
+def within(short: str, long: str) -> str:
+    """SQL: whether the letters of ``short`` stand in ``long`` in order. Three readings make chains of two steps."""
+    return f"regexp_matches({long}, array_to_string(list_transform(string_split({short}, ''), lambda c: regexp_escape(c)), '.*'))"
+
+
+@query(f"""with {TRUTH}, {READINGS},
+inside as (select s.doc_id, s.row_idx, s.col_idx, s.text, l.text as longer, l.best as longer_best from votes s join votes l using (doc_id, row_idx, col_idx)
+  where length(s.text) < length(l.text) and s.text <> '' and {within("s.text", "l.text")}),
+options as (select *, row_number() over w as k, lead(longer) over w as following from inside window w as (partition by doc_id, row_idx, col_idx, text order by length(longer), longer)),
+nested as (select doc_id, row_idx, col_idx, text from options group by all having bool_and(following is null or {within("longer", "following")})),
+moves as (select doc_id, row_idx, col_idx, text, longer as into_1 from options semi join nested using (doc_id, row_idx, col_idx, text)
+  where k = 1 and longer_best >= 0.5 and regexp_replace(longer, '[^0-9A-Za-z]', '', 'g') <> regexp_replace(text, '[^0-9A-Za-z]', '', 'g')),
+again as (select doc_id, row_idx, col_idx, text as into_1, into_1 as into_2 from moves),
+ends as (select v.*, coalesce(into_2, into_1, text) as last from votes v left join moves using (doc_id, row_idx, col_idx, text) left join again using (doc_id, row_idx, col_idx, into_1))
+select doc_id, row_idx, col_idx, last as text, sum(votes)::bigint as votes, max(best) as best, min(least) as least from ends group by doc_id, row_idx, col_idx, last""")
 def f2_merge_truncated(spark, d):
     return cs.merge_truncated(cs.votes(_readings(spark, d)))
 
@@ -522,7 +541,9 @@ def l1_csv_texts(spark, d):
     return wr.csv_texts(rv.build_result(cells_actual(spark, d)))
 
 
-@query()
+@query(f"""with {ACTUAL}, whole as (select doc_id from actual group by doc_id having count(text) = (max(row_idx) + 1) * (max(col_idx) + 1) and count(*) filter (trim(text) <> '') > 0),
+lines as (select doc_id, row_idx, string_agg(case when {GUARD} then '''' || text else text end, ',' order by col_idx) as line from actual semi join whole using (doc_id) group by all)
+select doc_id, chr(65279) || string_agg(line, chr(13) || chr(10) order by row_idx) || chr(13) || chr(10) as csv from lines group by doc_id""")
 def l2_csv_texts_plain(spark, d):
     return wr.csv_texts_plain(cells_actual(spark, d).select(*CELL, "text"))
 

@@ -70,7 +70,13 @@ def c5_local_maxima(spark, d):
     return ps.local_maxima(profile(spark, d))
 
 
-@query()
+@query(f"""with samples as (select event_id // 10000 as series_id, event_id % 40 as line, event_id // 40 % 250 as pos, (event_id // 40 % 250 // 10 * 37 % 200 + event_id % 3) as value from events),
+c as (select *, abs(lead(value) over w - lag(value) over w) as change from samples window w as (partition by series_id, line order by pos)),
+l as (select series_id, count(distinct line) as lines, max(pos) - 1 as extent from samples group by series_id),
+strong as (select distinct series_id, pos from (select series_id, pos, change, count(*) as n from c where change >= 3 group by all) join l using (series_id) where n >= lines * 0.2), {islands(6, 'strong')},
+found as (select series_id, round_even(avg(pos), 0)::bigint as pos from isl group by series_id, island)
+select series_id, pos from (select *, min(pos) over w as first, count(*) over w as n from found join l using (series_id) window w as (partition by series_id))
+where not (pos = first and n > 1 and pos <= greatest(4, floor(extent * 0.005)))""")
 def c6_repeated_changes(spark, d):
     e = table(spark, d, "events")
     pos = F.floor(F.col("event_id") / 40) % 250
@@ -105,7 +111,42 @@ def c9_recover_single_missing(spark, d):
     return ps.recover_single_missing(positions(spark, d))
 
 
-@query()
+# Shared parts of the SQL below: the places asked about, their gaps, the typical gap, the profile's peaks.
+
+PEAKS = "peaks as (select series_id, pos from profile where pos % 24 in (0, 6, 12) and pos % 7 <> 3)"
+WHOLE = "whole as (select series_id, max(strength) as peak from profile group by series_id)"
+
+
+def gaps(source: str) -> str:
+    return f"""gaps as (
+  select *, next - pos as gap from (select series_id, pos, lead(pos) over (partition by series_id order by pos) as next from (select distinct series_id, pos from {source})) where next is not null)"""
+
+
+TYPICAL = """typical as (
+  select series_id, n_gaps, quantile_cont(gap, 0.5) filter (gap <= top) as typical
+  from gaps join (select series_id, quantile_cont(gap, 0.7) as top, count(*) as n_gaps from gaps group by series_id) using (series_id) group by series_id, n_gaps)"""
+
+
+def peaks_near(radius: int, floor: float, share: float) -> str:
+    """``fresh``: of ``asked`` (series_id, spot) the profile's peak within ``radius``, the first of equals."""
+    return f"""fresh as (
+  select series_id, pos from (
+    select a.series_id, a.spot, p.pos, p.strength from (select distinct series_id, spot from asked) a
+    join profile p on p.series_id = a.series_id and p.pos between a.spot - {radius} and a.spot + {radius}
+    qualify row_number() over (partition by a.series_id, a.spot order by p.strength desc, p.pos) = 1)
+  join whole using (series_id) where strength >= {floor} and strength >= peak * {share} and peak > 0)"""
+
+
+INSERTED = f"""together as (select series_id, pos from peaks union all select series_id, pos from fresh), {islands(5, 'together')}
+select series_id, round_even(avg(pos), 0)::bigint as pos from isl group by series_id, island"""
+
+
+@query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')}, r as (select *, row_number() over (partition by series_id order by gap desc, pos) as k, count(*) over (partition by series_id) as n from gaps),
+t as (select series_id, quantile_cont(gap, 0.5) as typical from r where k > 1 group by series_id),
+wide as (select series_id, pos as a, next as b from r join t using (series_id) where k = 1 and n >= 4 and gap > typical * 1.7 and gap < typical * 2.4),
+best as (select p.series_id, p.pos, p.strength from wide w join profile p on p.series_id = w.series_id and p.pos >= a + 12 and p.pos < b - 11
+  qualify row_number() over (partition by p.series_id order by p.strength desc, p.pos) = 1)
+select series_id, pos from peaks union all select series_id, pos from best join whole using (series_id) where strength >= peak * 0.45 and peak > 0""")
 def c9_recover_with_profile(spark, d):
     return ps.recover_single_missing(_peaks(spark, d), profile(spark, d))
 
@@ -115,12 +156,21 @@ def _peaks(spark, d):
     return profile(spark, d).where("pos % 24 in (0, 6, 12) and pos % 7 <> 3").select("series_id", "pos")
 
 
-@query()
+@query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')}, {TYPICAL},
+wide as (select *, round_even(gap / typical, 0)::int as times from gaps join typical using (series_id) where n_gaps >= 4 and typical >= 6),
+asked as (select series_id, round_even(pos + gap * part / times, 0)::bigint as spot from (
+  select *, unnest(range(1, times)) as part from wide where times between 2 and 4 and abs(gap / times - typical) <= typical * 0.22)),
+{peaks_near(4, 0.56, 0.15)}, {INSERTED}""")
 def c10_recover_regular_missing(spark, d):
     return ps.recover_regular_missing(_peaks(spark, d), profile(spark, d), 4)
 
 
-@query()
+@query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')}, {TYPICAL},
+wide as (select *, greatest(10, round_even(typical * 0.12, 0)) as margin from gaps join typical using (series_id) where n_gaps >= 3 and typical >= 8 and gap >= typical * 1.1),
+inside as (select distinct p.series_id, p.pos as spot, gap, typical from profile p join wide w on w.series_id = p.series_id and p.pos > w.pos + margin and p.pos < next - margin),
+near as (select i.series_id, spot, gap, typical, max(strength) as local from inside i join profile p on p.series_id = i.series_id and p.pos between spot - 3 and spot + 3 group by all),
+fresh as (select series_id, spot as pos from near join whole using (series_id) where peak > 0
+  and ((gap >= typical * 1.75 and local >= 0.8 and local >= peak * 0.35) or (local >= 1.12 and local >= peak * 0.55))), {INSERTED}""")
 def c11_recover_irregular(spark, d):
     return ps.recover_irregular(_peaks(spark, d), profile(spark, d).select("series_id", "pos"), profile(spark, d), 4)
 
@@ -136,12 +186,22 @@ def c13_collapse_close(spark, d):
     return ps.collapse_close(positions(spark, d), 96_000)
 
 
-@query()
+@query(f"""with {PROFILE}, {PEAKS}, {gaps('peaks')}, {TYPICAL},
+regular as (select series_id, typical from gaps join typical using (series_id) group by series_id, typical, n_gaps
+  having n_gaps >= 4 and count(*) filter (abs(gap - typical) <= typical * 0.25) >= n_gaps * 0.6),
+ends as (select series_id, min(pos) as a, max(pos) as b from peaks group by series_id)
+select series_id, pos from peaks join ends using (series_id) left join regular using (series_id)
+where not coalesce(pos > a and pos < b and least(pos - a, b - pos) < typical * 0.6, false)""")
 def c14_collapse_edge_fragments(spark, d):
     return ps.collapse_edge_fragments(_peaks(spark, d))
 
 
-@query()
+@query(f"""with {PROFILE}, own as (select series_id, pos from profile where pos % 24 = 0 and pos < 480), {gaps('own')},
+slots as (select series_id, min(pos) as a, max(next) as b, round_even((max(next) - min(pos)) / quantile_cont(gap, 0.5), 0)::int as slots from gaps group by series_id),
+places as (select *, round_even(a + (b - a) * k / slots, 0)::bigint as spot from (select *, unnest(range(slots + 1)) as k from slots where slots between 12 and 32)),
+near as (select p.series_id, spot, a, b, min(abs(pos - spot)) as off from places p join own o on o.series_id = p.series_id group by all),
+good as (select series_id, spot as pos from near qualify count(*) filter (off <= (b - a) * 0.025) over (partition by series_id) >= 0.9 * count(*) over (partition by series_id))
+select * from good union all select * from own where series_id not in (select series_id from good)""")
 def c15_fit_even_spacing(spark, d):
     return ps.fit_even_spacing(profile(spark, d).where("pos % 24 = 0 and pos < 480").select("series_id", "pos"))
 
@@ -158,7 +218,12 @@ def c16_prefer_consensus(spark, d):
     return ps.prefer_consensus(p.where("pos % 12 = 0").select("series_id", "pos"), p.where("pos % 6 = 0").select("series_id", (F.col("pos") + F.col("pos") % 3).alias("pos")))
 
 
-@query()
+@query(f"""with {PROFILE}, base as (select series_id, pos from profile where pos % 12 = 0), dense as (select series_id, pos from profile where pos % 24 = 0), {gaps('dense')},
+g as (select series_id, min(gap) as low, max(gap) as high, quantile_cont(gap, 0.5) as typical from gaps group by series_id),
+n as (select series_id, (select count(*) from base b where b.series_id = s.series_id) as n, (select count(*) from dense o where o.series_id = s.series_id) as m,
+  (select count(*) from dense o where o.series_id = s.series_id and exists (select 1 from base b where b.series_id = o.series_id and abs(o.pos - b.pos) <= 8)) as hit from (select distinct series_id from profile) s),
+win as (select series_id from n left join g using (series_id) where (m >= 8 and n >= m * 1.55) or (m >= 4 and n > m and hit >= greatest(3, ceil(m * 0.8)) and low >= 12 and high <= typical * 1.65))
+select * from dense where series_id in (select series_id from win) union all select * from base where series_id not in (select series_id from win)""")
 def c17_select_dense(spark, d):
     p = profile(spark, d)
     return ps.select_dense(p.where("pos % 12 = 0").select("series_id", "pos"), p.where("pos % 24 = 0").select("series_id", "pos"), 1000)
@@ -172,7 +237,10 @@ def c18_filter_by_support(spark, d):
     return ps.filter_by_support(p.where("pos % 10 = 0").select("series_id", "pos"), p, 2, 700)
 
 
-@query()
+@query(f"""with {PROFILE}, a as (select series_id, pos from profile where pos % 12 = 0), b as (select series_id, pos from profile where pos % 6 = 0), {gaps('b')},
+even as (select series_id, avg((abs(gap - typical) <= typical * 0.3)::int) as even from (select *, quantile_cont(gap, 0.5) over (partition by series_id) as typical from gaps) group by series_id),
+ea as (select series_id, count(*) as n, min(pos) as low, max(pos) as high from a group by series_id), eb as (select series_id, count(*) as n, min(pos) as low, max(pos) as high from b group by series_id)
+select ea.series_id, coalesce(eb.n > ea.n and even >= 0.7 and eb.low <= ea.low and eb.high >= ea.high, false) as take_b from ea left join eb using (series_id) left join even using (series_id)""")
 def c19_grid_choice(spark, d):
     p = profile(spark, d)
     return ps.grid_choice(p.where("pos % 12 = 0").select("series_id", "pos"), p.where("pos % 6 = 0").select("series_id", "pos"))
@@ -209,7 +277,13 @@ def c23_remove_weak_splits(spark, d):
     return ps.remove_weak_splits(_peaks(spark, d), profile(spark, d))
 
 
-@query()
+@query(f"""with body as (select distinct (user_id % 7)::bigint as series_id, event_id % 12 as band, event_id // 12 % 15 * 20 as pos, case when event_id // 12 % 15 % 3 = 0 then 0.4 else 0.9 end as coverage from events where event_id % 12 >= 3),
+n as (select series_id, count(distinct band) as n from body group by series_id having count(distinct band) >= 6),
+votes as (select series_id, pos, count(*) filter (coverage >= 0.72) as votes from body group by all), strong as (select votes.* from votes join n using (series_id) where votes >= n * 0.65), {islands(1, 'strong')},
+best as (select series_id, pos from isl qualify row_number() over (partition by series_id, island order by votes desc, pos) = 1),
+runs as (select *, sum(start) over (partition by series_id order by pos) as run from (select *, case when pos - lag(pos) over (partition by series_id order by pos) > 7 then 1 else 0 end as start from best)),
+found as (select series_id, round_even(avg(pos), 0)::bigint as pos from runs group by series_id, run)
+select series_id, pos from found qualify count(*) over (partition by series_id) between 4 and 32""")
 def c24_band_consensus(spark, d):
     e = table(spark, d, "events")
     segments = e.select((F.col("user_id") % 7).cast("long").alias("series_id"), (F.col("event_id") % 12).alias("band"), (F.floor(F.col("event_id") / 12) % 15 * 20).alias("pos"), F.when(F.floor(F.col("event_id") / 12) % 15 % 3 == 0, 0.4).otherwise(0.9).alias("coverage"))
@@ -228,11 +302,21 @@ def c26_collapse_double(spark, d):
     return ps.collapse_double(_peaks(spark, d), profile(spark, d))
 
 
-@query()
+@query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')}, {TYPICAL},
+high as (select series_id, pos from profile join whole using (series_id) where peak > 0 and strength >= greatest(0.4, peak * 0.2)), {islands(2, 'high')},
+weak as (select distinct series_id, round_even(avg(pos), 0)::bigint as pos from isl group by series_id, island),
+new as (select * from weak w where not exists (select 1 from peaks p where p.series_id = w.series_id and abs(p.pos - w.pos) <= 5)),
+n as (select series_id, count(*) as n, count(*) filter (exists (select 1 from weak w where w.series_id = p.series_id and abs(w.pos - p.pos) <= 5)) as hit, min(pos) as first from peaks p group by series_id),
+fills as (select distinct x.series_id from new x join gaps g on g.series_id = x.series_id and x.pos > g.pos and x.pos < g.next join typical t on t.series_id = x.series_id where gap >= typical * 2.5
+  union select x.series_id from new x join n using (series_id) where x.pos < first),
+good as (select series_id from n join (select series_id, count(*) as fresh from new group by series_id) using (series_id) join fills using (series_id) where hit >= n * 0.9 and fresh >= 2)
+select * from peaks union all select * from new where series_id in (select series_id from good)""")
 def c27_recover_weak(spark, d):
     return ps.recover_weak(_peaks(spark, d), profile(spark, d), 2)
 
 
-@query()
+@query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')},
+asked as (select series_id, round_even((pos + next) / 2, 0)::bigint as spot from (select *, quantile_cont(gap, 0.5) over (partition by series_id) as typical from gaps) where gap >= typical * 1.65 and gap <= typical * 2.35),
+{peaks_near(3, 0.0, 0.30)} select series_id, pos from peaks union select series_id, pos from fresh""")
 def c28_recover_midpoint(spark, d):
     return ps.recover_midpoint(_peaks(spark, d), profile(spark, d))
