@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, scoring, series, texts
+from . import documents, files, scoring, series, texts
 
-_PARTS = (scoring, texts, series, documents)
+_PARTS = (scoring, texts, series, documents, files)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

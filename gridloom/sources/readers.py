@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest span of a markup cell that is believed.
@@ -15,6 +16,13 @@ MAX_SPAN = 1024
 #: Annotation keys that hold text, and those that are walked into.
 TEXT_KEYS = ("text", "transcription")
 WALKED_KEYS = ("form", "document", "words", "cells", "gt_parse", "valid_line", "ground_truth", "value")
+#: Folders that no delivery counts, and endings of files that it doesn't either, in any case.
+LEFT_OUT_FOLDERS = ("pyinstaller-work", "__pycache__", ".git", ".vs", ".idea", ".vscode")
+LEFT_OUT_ENDINGS = ("pyc", "pyo", "bak", "tmp", "orig", "rej")
+LEFT_OUT = f"(^|/)({'|'.join(map(re.escape, LEFT_OUT_FOLDERS))})/|(?i)\\.({'|'.join(LEFT_OUT_ENDINGS)})$"
+#: A record of a CSV text, up to its line break, and a field after its comma. Neither gives back what it has read.
+RECORD = r'((?:[^"\r\n]++|"[^"]*+(?:""[^"]*+)*+")*+)\r\n'
+FIELD = r',("[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 
 
 def read_manifest(spark: SparkSession, path: str, ids: list[str] | None = None, source: str | None = None, split: str | None = None, limit: int | None = None) -> DataFrame:
@@ -145,18 +153,59 @@ def pick_evenly(rows: DataFrame, n: int, order: str) -> DataFrame:
     return numbered(rows, "pos", order).join(picks, "pos").drop("pos")
 
 
-def file_inventory(spark: SparkSession, path: str, excluded: str = r"(/__pycache__/|\.pyc$)") -> DataFrame:
-    """Path, bytes, modified, sha256 of the files under ``path``, but for the excluded ones."""
+def parse_csv_texts(texts: DataFrame) -> DataFrame:
+    """doc_id, row_idx, col_idx, text of CSV texts (doc_id, csv) as L1 writes them, without its review note. Line
+    breaks, commas and quotes within quotes belong to the text."""
+    body = F.regexp_replace("csv", "^\ufeff", "")
+    records = texts.select("doc_id", F.posexplode(F.regexp_extract_all(body, F.lit(RECORD), F.lit(1))).alias("row_idx", "record"))
+    listed = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(FIELD), F.lit(1))
+    fields = records.select("doc_id", "row_idx", F.posexplode(listed).alias("col_idx", "field"))
+    inner = F.replace(F.col("field").substr(F.lit(2), F.length("field") - 2), F.lit('""'), F.lit('"'))
+    return fields.select("doc_id", "row_idx", "col_idx", F.when(F.startswith(F.col("field"), F.lit('"')), inner).otherwise(F.col("field")).alias("text"))
+
+
+def _below(root: str) -> Column:
+    """The rest of ``path`` under ``root``; null elsewhere. Local paths may be given with or without ``file:``."""
+    plain = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    path = F.regexp_replace("path", "^file:/+", "/")
+    return F.when(F.startswith(path, F.lit(plain)), path.substr(F.lit(len(plain) + 1), F.length(path)))
+
+
+def file_inventory(spark: SparkSession, path: str, excluded: str = LEFT_OUT) -> DataFrame:
+    """Path, bytes, modified, sha256 of the files under ``path``, but for those whose path below it is excluded.
+    Contents are read only where sha256 is asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.where(~F.col("path").rlike(excluded)).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    counted = files.where(~F.coalesce(_below(path), F.col("path")).rlike(excluded))
+    return counted.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
 def subtree_sizes(inventory: DataFrame, root: str) -> DataFrame:
-    """Files, bytes and newest time by first folder under ``root``."""
-    top = F.regexp_extract(F.col("path"), "^(?:file:)?" + root.rstrip("/") + "/([^/]+)", 1)
+    """Files, bytes and newest time by first folder under ``root``; files right below it have none, ''."""
+    top = F.regexp_extract(F.coalesce(_below(root), F.lit("")), "^([^/]+)/", 1)
     return inventory.groupBy(top.alias("subtree")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.max("modified").alias("newest"))
 
 
+def delivery_facts(inventory: DataFrame, root: str, body: str, licenses: str = "licenses") -> DataFrame:
+    """One row on a delivery of the inventory's files under ``root``, against its main part, the folder ``body``.
+
+    package_files, package_bytes, body_files, body_bytes, body_newest; extra_files and delta_kb (to the nearest of
+    1024 bytes, halves to even) are the differences; root_files lie right below ``root``, license_files in
+    ``licenses``. Sums over no files are 0, their newest time null."""
+    files = inventory.withColumn("rest", _below(root)).where("rest is not null")
+    within = lambda folder: F.startswith(F.col("rest"), F.lit(folder.strip("/") + "/"))
+    facts = files.agg(
+        F.count("*").alias("package_files"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).alias("package_bytes"),
+        F.count_if(within(body)).alias("body_files"),
+        F.coalesce(F.sum(F.when(within(body), F.col("bytes"))), F.lit(0)).alias("body_bytes"),
+        F.max(F.when(within(body), F.col("modified"))).alias("body_newest"),
+        F.count_if(~F.contains(F.col("rest"), F.lit("/"))).alias("root_files"),
+        F.count_if(within(licenses)).alias("license_files"),
+    )
+    delta = F.rint((F.col("package_bytes") - F.col("body_bytes")) / 1024).cast("long")
+    return facts.withColumns({"extra_files": F.col("package_files") - F.col("body_files"), "delta_kb": delta})
+
+
 def _strings(value, keyed: bool) -> list[str]:
     """Leaf strings in the document's order: what is still to be visited lies on a stack, the next on top."""
     found, waiting = [], [value]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import csv_guard, csv_quote, display_width
 from ..operators.grid import DOC, rectangularize, unicode_trim
 from ..operators.review import pending_labels
+from .readers import parse_csv_texts
 
 BOM, CRLF = "\ufeff", "\r\n"
 
@@ -57,15 +58,26 @@ def sheet_frame(cells: DataFrame, spans: DataFrame) -> DataFrame:
     return found.select(DOC, "header_row", (F.col("header_row") + 1).alias("freeze_row"), (F.col("n") >= 2).alias("filtered"))
 
 
+def _read_back(cells: DataFrame, path: str) -> DataFrame:
+    """Places with the text wanted and the one got from L1's CSV texts, written as a table at ``path``."""
+    plain = cells.select(DOC, "row_idx", "col_idx", "text")
+    csv_texts(plain).write.mode("errorifexists").parquet(path)
+    got = parse_csv_texts(cells.sparkSession.read.parquet(path)).withColumnRenamed("text", "got")
+    full = rectangularize(plain).join(exportable(plain), DOC, "left_semi")
+    want = full.select(DOC, "row_idx", "col_idx", csv_guard(F.col("text")).alias("want"))
+    return want.join(got, [DOC, "row_idx", "col_idx"], "full_outer")
+
+
 def roundtrip_differences(cells: DataFrame, path: str) -> DataFrame:
-    """Places whose guarded text differs after a CSV (doc_id, row_idx, fields ...) was written and read again."""
-    spark = cells.sparkSession
-    wide = rectangularize(cells).groupBy(DOC, "row_idx").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", csv_guard(F.col("text")).alias("t")))), lambda x: x["t"])).alias("fields"))
-    wide.write.csv(path, header=True, escape='"', mode="errorifexists")
-    back = spark.read.csv(path, header=True, escape='"', multiLine=True, schema="doc_id long, row_idx int, fields string")
-    texts = back.select(DOC, "row_idx", F.posexplode(F.from_json("fields", "array<string>")).alias("col_idx", "got"))
-    want = rectangularize(cells).select(DOC, "row_idx", "col_idx", csv_guard(F.col("text")).alias("want"))
-    return want.join(texts, [DOC, "row_idx", "col_idx"], "full_outer").where(~F.col("want").eqNullSafe(F.col("got")))
+    """doc_id, row_idx, col_idx, want, got where the CSV that was delivered doesn't read as the padded grid with
+    its guards. The CSV texts of L1 are written to ``path`` as a table of one text a document, and read from there."""
+    return _read_back(cells, path).where(~F.col("want").eqNullSafe(F.col("got")))
+
+
+def roundtrip_check(cells: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_cells, csv_ok (no differences) of each document that has a CSV."""
+    same = F.col("want").eqNullSafe(F.col("got"))
+    return _read_back(cells, path).groupBy(DOC).agg(F.count("want").alias("n_cells"), F.bool_and(same).alias("csv_ok"))
 
 
 def write_summary(records: DataFrame, path: str) -> None:

@@ -179,6 +179,9 @@ def test_files(spark, tmp_path):
     assert [(r.case_id, r.source, r.split) for r in rd.read_manifest(spark, str(tmp_path / "m.csv"), limit=5).collect()] == [("B1", "x", "development"), ("B2", "local", "development")]
     cells = grid(spark, ["=1", 'a,"b"'], ["", "x\ny"])
     assert wr.roundtrip_differences(cells, str(tmp_path / "csv")).count() == 0
+    assert [tuple(r) for r in wr.roundtrip_check(cells, str(tmp_path / "again")).collect()] == [(1, 4, True)]
+    odd = spark.createDataFrame([(5, '\ufeff"a""b\r\n,",\r\n,"""\n"\r\n')], "doc_id long, csv string")
+    assert sorted(tuple(r) for r in rd.parse_csv_texts(odd).collect()) == [(5, 0, 0, 'a"b\r\n,'), (5, 0, 1, ""), (5, 1, 0, ""), (5, 1, 1, '"\n')]
     assert wr.csv_texts(cells).first().csv == "﻿'=1,\"a,\"\"b\"\"\"\r\n,\"x\ny\"\r\n"
     wr.write_summary(cells, str(tmp_path / "summary"))
     assert wr.write_manifest(cells.drop("text"), str(tmp_path / "manifest")) == 4
@@ -189,6 +192,23 @@ def test_files(spark, tmp_path):
     assert files.count() >= 1 and {r.subtree for r in rd.subtree_sizes(rd.file_inventory(spark, str(tmp_path)), str(tmp_path)).collect()} >= {"out", "csv"}
 
 
+def test_delivery_facts(spark, tmp_path):
+    root = tmp_path / "pack.git"
+    files = {"body/a.bin": 3000, "body/deep/b.bin": 1000, "licenses/x.txt": 500, "read me": 48, "body/__pycache__/c.bin": 9, "body/d.PYC": 9, "body/e.tmp": 9}
+    for name, size in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * size)
+    (root / "body" / ".git").mkdir()
+    (root / "body" / ".git" / "f").write_bytes(b"x")
+    for path in (str(root), root.as_uri()):
+        listed = rd.file_inventory(spark, path)
+        facts = rd.delivery_facts(listed, path, "body").drop("body_newest").first().asDict()
+        assert facts == {"package_files": 4, "package_bytes": 4548, "body_files": 2, "body_bytes": 4000, "root_files": 1, "license_files": 1, "extra_files": 2, "delta_kb": 1}
+        assert {(r.subtree, r.files, r.bytes) for r in rd.subtree_sizes(listed, path).collect()} == {("body", 2, 4000), ("licenses", 1, 500), ("", 1, 48)}
+    none = rd.delivery_facts(listed, str(tmp_path / "elsewhere"), "body").first()
+    assert (none.package_files, none.package_bytes, none.body_newest, none.delta_kb) == (0, 0, None, 0)
+
+
 def test_numbering_within_groups(spark):
     rng = random.Random(2)
     places = [*range(300), *rng.sample(range(300, 90_000), 300), *range(95_000, 95_300)]
