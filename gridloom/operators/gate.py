@@ -46,8 +46,8 @@ BOOLEAN_OPTIONS = ("input_rectified", "selected_table_region")
 LARGEST_ID = 2147483647
 
 
-def document_findings(docs: DataFrame) -> DataFrame:
-    """Summary findings of each document, by the rules on its own fields."""
+def document_findings() -> Column:
+    """Summary findings of a document, by the rules on its own fields."""
     c = F.col
     rule = lambda bad, what: F.when(F.coalesce(bad, F.lit(True)), what)
     rules = [
@@ -62,7 +62,7 @@ def document_findings(docs: DataFrame) -> DataFrame:
         rule(c("publication_blocked") & (F.size("reasons") == 0), "blocked without reason"),
         rule(~c("publication_blocked") & ~c("structure_verified"), "unverified structure published"),
     ]
-    return docs.select(DOC, F.array_compact(F.array(*rules)).alias("summary"))
+    return F.array_compact(F.array(*rules))
 
 
 def state_consistent(state: Column, blocked: Column) -> Column:
@@ -70,24 +70,37 @@ def state_consistent(state: Column, blocked: Column) -> Column:
     return (state == "blocked") == blocked
 
 
-def cell_findings(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, detail: findings of single cells, in reading order."""
+def _cells_of(cells: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, details (findings of single cells, in reading order), n_review, of documents with cells."""
     c = F.col
     label = F.format_string("R%dC%d", c("row_idx") + 1, c("col_idx") + 1)
-    bad = F.when((c("row_idx") >= c("n_rows")) | (c("col_idx") >= c("n_cols")), "outside").when(c("confidence").isNull() | F.isnan("confidence") | (c("confidence") < -2) | (c("confidence") > 1), "confidence").when((c("confidence") < 0) & ~c("needs_review"), "unflagged")
-    judged = cells.join(docs.select(DOC, "n_rows", "n_cols"), DOC).withColumn("what", bad).where("what is not null")
-    return judged.groupBy(DOC).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "col_idx", F.concat_ws(" ", label, "what").alias("t")))), lambda x: x["t"]).alias("details"))
+    bad = (
+        F.when((c("row_idx") >= c("n_rows")) | (c("col_idx") >= c("n_cols")), "outside")
+        .when(c("confidence").isNull() | F.isnan("confidence") | (c("confidence") < -2) | (c("confidence") > 1), "confidence")
+        .when((c("confidence") < 0) & ~c("needs_review"), "unflagged")
+    )
+    judged = cells.join(docs.select(DOC, "n_rows", "n_cols"), DOC).withColumn("what", bad)
+    found = F.when(c("what").isNotNull(), F.struct("row_idx", "col_idx", F.concat_ws(" ", label, "what").alias("t")))
+    listed = F.transform(F.sort_array(F.collect_list(found)), lambda x: x["t"])
+    return judged.groupBy(DOC).agg(listed.alias("details"), F.count_if("needs_review").alias("n_review"))
+
+
+def _judged(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` with findings, valid and n_review: cells and spans are dealt by document once and summed up. Those of
+    documents that aren't in ``docs`` count for nothing."""
+    odd = span_findings(spans, docs.select(DOC, "n_rows", "n_cols")).where("not in_bounds or overlapping")
+    said = F.concat(F.lit("span "), F.col("span_id").cast("string"), F.when(~F.col("in_bounds"), " outside").otherwise(" overlaps"))
+    by_span = odd.groupBy(DOC).agg(F.sort_array(F.collect_list(said)).alias("span_details"))
+    none = F.array().cast("array<string>")
+    joined = docs.join(_cells_of(cells, docs), DOC, "left").join(by_span, DOC, "left")
+    found = bounded_reasons(document_findings(), F.concat(F.coalesce("details", none), F.coalesce("span_details", none)))
+    judged = joined.withColumns({"findings": found, "n_review": F.coalesce("n_review", F.lit(0))})
+    return judged.withColumn("valid", F.size("findings") == 0)
 
 
 def validate(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, findings (at most 40 summaries, at most 100 in all, summaries first), valid."""
-    shapes = docs.select(DOC, "n_rows", "n_cols")
-    odd = span_findings(spans, shapes).where("not in_bounds or overlapping")
-    by_span = odd.groupBy(DOC).agg(F.sort_array(F.collect_list(F.concat(F.lit("span "), F.col("span_id").cast("string"), F.when(~F.col("in_bounds"), " outside").otherwise(" overlaps")))).alias("span_details"))
-    none = F.array().cast("array<string>")
-    joined = document_findings(docs).join(cell_findings(cells, docs), DOC, "left").join(by_span, DOC, "left")
-    found = bounded_reasons(F.col("summary"), F.concat(F.coalesce("details", none), F.coalesce("span_details", none)))
-    return joined.select(DOC, found.alias("findings")).withColumn("valid", F.size("findings") == 0)
+    return _judged(docs, cells, spans).select(DOC, "findings", "valid")
 
 
 def bounded_reasons(summary: Column, detail: Column) -> Column:
@@ -95,15 +108,25 @@ def bounded_reasons(summary: Column, detail: Column) -> Column:
     return F.slice(F.concat(F.slice(summary, 1, SUMMARIES), detail), 1, REASONS)
 
 
-def can_publish(docs: DataFrame, validated: DataFrame, cells: DataFrame) -> DataFrame:
-    """doc_id, publish, why (distinct): valid, verified, not blocked, structure verified, no cell to review; a flag
-    that is missing is unsafe."""
+def _why_not() -> Column:
+    """What keeps a document with valid and n_review from being published; a flag that is missing is unsafe."""
     c = F.col
-    review = cells.groupBy(DOC).agg(F.count_if("needs_review").alias("n"))
-    both = docs.join(validated, DOC).join(review, DOC, "left")
     unsafe = lambda ok, why: F.when(~F.coalesce(ok, F.lit(False)), why)
-    why = F.array_compact(F.array(unsafe(c("valid"), "invalid"), unsafe(c("recognition_state") == "verified", "state"), unsafe(~c("publication_blocked"), "blocked"), unsafe(c("structure_verified"), "structure"), unsafe(F.coalesce("n", F.lit(0)) == 0, "review")))
-    return both.select(DOC, F.array_distinct(why).alias("why")).withColumn("publish", F.size("why") == 0)
+    whys = [
+        unsafe(c("valid"), "invalid"),
+        unsafe(c("recognition_state") == "verified", "state"),
+        unsafe(~c("publication_blocked"), "blocked"),
+        unsafe(c("structure_verified"), "structure"),
+        unsafe(c("n_review") == 0, "review"),
+    ]
+    return F.array_compact(F.array(*whys))
+
+
+def can_publish(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` with findings, valid, why and publish: valid, verified, not blocked, structure verified, and
+    no cell to review."""
+    judged = _judged(docs, cells, spans).withColumn("why", _why_not())
+    return judged.select(*docs.columns, "findings", "valid", "why", (F.size("why") == 0).alias("publish"))
 
 
 CELLS_JSON = "array<array<struct<text:string,confidence:string,needs_review:string>>>"

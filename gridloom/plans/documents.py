@@ -205,7 +205,7 @@ valid as (select doc_id, list_concat(s, coalesce(t, []::varchar[])) as findings,
 @query(f"with {ACTUAL}, {RESULT}, {SPANS}, {DOCS}, {VALID} select * from valid")
 def i1_i2_validate(spark, d):
     docs = _docs(spark, d)
-    return gt.validate(docs, rv.build_result(cells_actual(spark, d)), spans(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi"))
+    return gt.validate(docs, rv.build_result(cells_actual(spark, d)), spans(spark, d))
 
 
 @query(f"""with {ACTUAL}, {RESULT}, {SPANS}, {DOCS}, {VALID}, rev as (select doc_id, count(*) filter (needs_review) as n from result group by doc_id),
@@ -213,7 +213,7 @@ w as (select doc_id, list_filter([case when not valid then 'invalid' end, case w
   from docs join valid using (doc_id) join rev using (doc_id)) select doc_id, why, len(why) = 0 as publish from w""")
 def i3_can_publish(spark, d):
     docs, cells = _docs(spark, d), rv.build_result(cells_actual(spark, d))
-    return gt.can_publish(docs, gt.validate(docs, cells, spans(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi")), cells)
+    return gt.can_publish(docs, cells, spans(spark, d)).select("doc_id", "why", "publish")
 
 
 def _json(spark, d):
@@ -618,7 +618,7 @@ def m5_split_ambiguous(spark, d):
 select doc_id, case when publication_blocked then 'blocked' when valid and recognition_state = 'verified' and structure_verified and n = 0 then 'publish' else 'review' end as route from docs join valid using (doc_id) join rev using (doc_id)""")
 def m7_routes(spark, d):
     docs, cells = _docs(spark, d), rv.build_result(cells_actual(spark, d))
-    ok = gt.can_publish(docs, gt.validate(docs, cells, spans(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi")), cells)
-    return docs.join(ok, "doc_id").select("doc_id", pr.gate_route(F.col("publish"), F.col("publication_blocked")).alias("route"))
+    judged = gt.can_publish(docs, cells, spans(spark, d))
+    return judged.select("doc_id", pr.gate_route(F.col("publish"), F.col("publication_blocked")).alias("route"))
 
 
