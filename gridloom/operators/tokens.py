@@ -73,8 +73,10 @@ def split_place(text: Column, ratio: Column) -> Column:
     return F.when((ratio.between(0.2, 0.8)) & (best["off"] <= F.greatest(F.lit(2.0), F.length(text) * 0.2)), best["at"])
 
 
-def _piece(row: Column, col: Column, x: Column, y: Column, text: Column, score: Column) -> Column:
-    return F.struct(row.cast("int").alias("row_idx"), col.cast("int").alias("col_idx"), x.cast("double").alias("x"), y.cast("double").alias("y"), text.alias("text"), score.cast("double").alias("score"))
+def _piece(row: Column, col: Column, x: Column, y: Column, text: Column, score: Column, whole: bool = False) -> Column:
+    """A piece of a token; ``whole`` where the token lies in one cell."""
+    place = row.cast("int").alias("row_idx"), col.cast("int").alias("col_idx"), x.cast("double").alias("x"), y.cast("double").alias("y")
+    return F.struct(*place, text.alias("text"), score.cast("double").alias("score"), F.lit(whole).alias("whole"))
 
 
 def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
@@ -83,7 +85,9 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
     ``axes`` has rows and cols (see ``axis_arrays``). A token outside the frame goes; one across a column line is
     split at a blank near it; one across row lines is split over the rows it covers, or, if tall, put in the top
     one; one across column lines that can't be split stays on their left with score -1, but for titles in row 0.
-    A number fused with a rate moves left where, up to this token, nothing else stands there."""
+    A number fused with a rate, in a token that lies in one cell, moves to the cell on its left where up to this token
+    nothing stands there: no token, and no number of an earlier one. Tokens come by token_id; rows that repeat one are
+    treated alike."""
     c = F.col
     t = with_box(well_formed(tokens)).withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).join(axes, DOC).where("size(rows) > 1 and size(cols) > 1")
     t = t.where(in_frame(c("left"), c("right"), c("top"), c("bottom"), c("rows"), c("cols")))
@@ -119,7 +123,7 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
     across = F.array(_piece(c("row"), at - 1, (c("left") + c("line")) / 2, c("cy"), left, c("score")), _piece(c("row"), at, (c("line") + c("right")) / 2, c("cy"), right, c("score")))
     first = F.array_min(F.filter(F.sequence(F.lit(0), c("n_cols") - 1), lambda i: (c("right") > F.get("cols", i)) & (c("left") < F.get("cols", i + 1))))
     kept = _piece(c("row"), first, c("left"), c("cy"), c("text"), F.when((c("row") == 0) & (F.size("xs") >= 2), c("score")).otherwise(F.lit(-1.0)))
-    plain = _piece(c("row"), c("col"), c("cx"), c("cy"), c("text"), c("score"))
+    plain = _piece(c("row"), c("col"), c("cx"), c("cy"), c("text"), c("score"), True)
     pieces = (
         F.when(c("down").isNotNull(), rows_down)
         .when(c("cut").isNotNull() & in_row & (left != "") & (right != ""), across)
@@ -128,16 +132,19 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
     )
     placed = t.select(DOC, "token_id", "cols", F.posexplode(pieces).alias("part", "p")).select(DOC, "token_id", "part", "cols", "p.*")
 
-    # In order of tokens, a number fused with a rate gives its number to the empty cell on its left.
+    # Only the first fused token of a cell can find the cell on its left empty, as its number stands there then.
     pair = r"(?i)^([+-]?\d+\.\d{2})(\d+(?:\.\d+)?\s*[kMGT]?S/s)$"
-    left_cell = W.partitionBy(DOC, "row_idx").orderBy("col_idx").rangeBetween(-1, -1)
-    before = F.min("token_id").over(left_cell)
-    empty = F.coalesce(before >= c("token_id"), F.lit(True))
-    split = placed.withColumn("free", c("text").rlike(pair) & (c("col_idx") > 0) & empty)
-    moved = F.array(_piece(c("row_idx"), c("col_idx") - 1, F.get("cols", c("col_idx")) - 1.0, c("y"), F.regexp_extract("text", pair, 1), c("score")), _piece(c("row_idx"), c("col_idx"), c("x"), c("y"), F.regexp_extract("text", pair, 2), c("score")))
-    same = F.array(_piece(c("row_idx"), c("col_idx"), c("x"), c("y"), c("text"), c("score")))
-    out = split.select(DOC, "token_id", "part", F.explode(F.when(c("free"), moved).otherwise(same)).alias("p"))
-    return out.select(DOC, "token_id", "part", "p.*")
+    row = W.partitionBy(DOC, "row_idx").orderBy("col_idx")
+    fused = c("whole") & c("text").rlike(pair) & (c("col_idx") > 0)
+    before = F.min("token_id").over(row.rangeBetween(-1, -1))
+    first_here = F.min(F.when(c("fused"), c("token_id"))).over(row.rangeBetween(0, 0))
+    free = c("fused") & (first_here == c("token_id")) & F.coalesce(before >= c("token_id"), F.lit(True))
+    split = placed.withColumn("fused", fused).withColumn("free", free)
+    number = _piece(c("row_idx"), c("col_idx") - 1, F.get("cols", c("col_idx")) - 1.0, c("y"), F.regexp_extract("text", pair, 1), c("score"))
+    here = lambda text: _piece(c("row_idx"), c("col_idx"), c("x"), c("y"), text, c("score"))
+    pieces = F.when(c("free"), F.array(number, here(F.regexp_extract("text", pair, 2)))).otherwise(F.array(here(c("text"))))
+    out = split.select(DOC, "token_id", "part", F.explode(pieces).alias("p"))
+    return out.select(DOC, "token_id", "part", "p.*").drop("whole")
 
 
 def read_cells(placed: DataFrame, axes: DataFrame) -> DataFrame:

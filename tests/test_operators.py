@@ -1,6 +1,7 @@
 """Pinned examples of operators, small tables each."""
 
 import random
+import re
 from difflib import SequenceMatcher
 from statistics import median
 
@@ -120,6 +121,114 @@ def test_tokens_to_grid(spark):
     assert cells == {(0, 0): ("left", 0.9), (1, 0): ("one", 0.8), (1, 1): ("two down", 0.75), (0, 1): ("up", 0.7), (2, 0): ("nosplit", -1.0), (3, 0): ("12.34", 0.9), (3, 1): ("5S/s", 0.9)}
 
 
+def brute_place(tokens, rows, cols):
+    """B3 to B11 one token after the other: (row, column) -> [(y, x, text, score)]."""
+    cells = {}
+    n_rows, n_cols = len(rows) - 1, len(cols) - 1
+    put = lambda r, c, *entry: cells.setdefault((r, c), []).append(entry)
+    slot = lambda axis, v: sum(b <= v for b in axis) - 1
+
+    def lines_in(axis, a, b):
+        return [i for i in range(1, len(axis) - 1) if a < axis[i] < b and 0.12 <= (axis[i] - a) / max(1, b - a) <= 0.88]
+
+    def covered(axis, a, b):
+        return max(0, min(b, axis[-1]) - max(a, axis[0])) / max(1, b - a)
+
+    for points, text, score in tokens:
+        if not all(np.isfinite(v) for p in points for v in p):
+            continue
+        text, xs, ys = text.strip(), [p[0] for p in points], [p[1] for p in points]
+        left, right, top, bottom, x, y = min(xs), max(xs), min(ys), max(ys), sum(xs) / len(xs), sum(ys) / len(ys)
+        if covered(cols, left, right) < 0.7 or covered(rows, top, bottom) < 0.7:
+            continue
+        row, col = slot(rows, y), slot(cols, x)
+        over, down = lines_in(cols, left, right), lines_in(rows, top, bottom)
+        if len(over) == 1 and min(cols[over[0]] - left, right - cols[over[0]]) / max(1, right - left) < 0.22:
+            over = []
+        cut = None
+        blanks = [i for i, a in enumerate(text) if a.isspace()]
+        if len(over) == 1 and blanks and right - left > 1:
+            ratio = (cols[over[0]] - left) / (right - left)
+            off, at = min((abs(i - ratio * len(text)), i) for i in blanks)
+            cut = at if 0.2 <= ratio <= 0.8 and off <= max(2, 0.2 * len(text)) else None
+        height = max(1, bottom - top)
+        if down and text and cut is None and 0 <= col < n_cols:
+            words = text.split()
+            low = min(rows[r + 1] - rows[r] for r in range(down[0] - 1, down[-1] + 1))
+            if len(words) == len(down) + 1 and height >= low * (len(down) + 0.25):
+                for i, word in enumerate(words):
+                    r = down[0] - 1 + i
+                    put(r, col, (rows[r] + rows[r + 1]) / 2, x, word, score)
+                continue
+        if down and height >= 1.25 * median(np.diff(rows)):
+            row = down[0] - 1
+        if not 0 <= row < n_rows:
+            continue
+        if cut is not None and text[:cut].strip() and text[cut:].strip():
+            line = cols[over[0]]
+            put(row, over[0] - 1, y, (left + line) / 2, text[:cut].strip(), score)
+            put(row, over[0], y, (line + right) / 2, text[cut:].strip(), score)
+            continue
+        if over and text:
+            first = next(c for c in range(n_cols) if right > cols[c] and left < cols[c + 1])
+            put(row, first, y, left, text, score if row == 0 and len(over) >= 2 else -1.0)
+            continue
+        if not 0 <= col < n_cols:
+            continue
+        fused = re.fullmatch(r"([+-]?\d+\.\d{2})(\d+(?:\.\d+)?\s*[kMGT]?S/s)", text, re.IGNORECASE)
+        if fused and col and (row, col - 1) not in cells:
+            put(row, col - 1, y, cols[col] - 1.0, fused[1], score)
+            text = fused[2]
+        put(row, col, y, x, text, score)
+    return cells
+
+
+def brute_read(entries, height):
+    """Lines by a running median, each from left to right."""
+    lines = []
+    for e in sorted(entries):
+        if lines and abs(e[0] - median(m[0] for m in lines[-1])) <= max(2, min(8, height * 0.18)):
+            lines[-1].append(e)
+        else:
+            lines.append([e])
+    said = [e for line in lines for e in sorted(line, key=lambda e: e[1]) if e[2]]
+    return " ".join(e[2] for e in said), round(sum(e[3] for e in said) / len(said), 9) if said else 0.0
+
+
+def test_placing_and_reading_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = ["a", "b c", "12.345S/s", "0.501.5 kS/s", "one two three", "  pad ", "longword", "", "x y", "-1.257gs/s"]
+    rows, tokens, axes = [], {}, {}
+    for doc in range(60):
+        lines = [sorted(rng.sample(range(0, 400), rng.randint(3, 7))) for _ in range(2)]
+        axes[doc] = [[v * f for v in axis] for axis, f in zip(lines, (1, 2), strict=True)]
+        tokens[doc] = []
+        for k in range(rng.randint(1, 30)):
+            left, top = rng.randint(-20, 780), rng.randint(-10, 390)
+            right, bottom = left + rng.choice((5, 60, 150, 300)), top + rng.choice((4, 12, 40, 90))
+            points = [(float(left), float(top)), (float(right), float(top)), (float(right), float(bottom)), (float("inf") if rng.random() < 0.03 else float(left), float(bottom))]
+            tokens[doc].append((points, rng.choice(texts), rng.randint(1, 100) / 100))
+            rows.append((doc, k, *tokens[doc][-1]))
+    table = spark.createDataFrame(rows, "doc_id long, token_id long, points array<struct<x:double,y:double>>, text string, score double")
+    frame = spark.createDataFrame([(doc, r, c) for doc, (r, c) in axes.items()], "doc_id long, rows array<bigint>, cols array<bigint>")
+    placed = tk.place_tokens(table.repartition(3), frame).persist()
+    want = {doc: brute_place(tokens[doc], *axes[doc]) for doc in axes}
+    assert {(r.doc_id, r.row_idx, r.col_idx, r.y, r.x, r.text, r.score) for r in placed.collect()} == {(doc, *at, *e) for doc, cells in want.items() for at, es in cells.items() for e in es}
+    found = {(r.doc_id, r.row_idx, r.col_idx): (r.text, round(r.confidence, 9)) for r in tk.read_cells(placed, frame).collect()}
+    distinct_y = {(doc, *at): brute_read(es, axes[doc][0][at[0] + 1] - axes[doc][0][at[0]]) for doc, cells in want.items() for at, es in cells.items()}
+    assert found == distinct_y
+
+
+def test_one_number_moves_left(spark):
+    at = lambda x: [(x, 2.0), (x + 50, 2.0), (x + 50, 10.0), (x, 10.0)]
+    # two fused tokens in one cell, then one over a line that stays whole on its left
+    rows = [(1, 0, at(210.0), "12.345S/s", 0.9), (1, 1, at(212.0), "23.456S/s", 0.9), (1, 2, at(475.0), "34.567S/s", 0.9)]
+    tokens = spark.createDataFrame(rows, "doc_id long, token_id long, points array<struct<x:double,y:double>>, text string, score double")
+    axes = spark.createDataFrame([(1, [0, 20], [0, 100, 200, 300, 400, 500, 600])], "doc_id long, rows array<bigint>, cols array<bigint>")
+    found = {(r.token_id, r.col_idx, r.text, r.score) for r in tk.place_tokens(tokens, axes).collect()}
+    assert found == {(0, 1, "12.34", 0.9), (0, 2, "5S/s", 0.9), (1, 2, "23.456S/s", 0.9), (2, 4, "34.567S/s", -1.0)}
+
+
 def test_reading_order_of_lines(spark):
     placed = spark.createDataFrame([(1, k, 0, 0, 0, float(x), float(y), t, 0.5) for k, (x, y, t) in enumerate([(50, 10, "b"), (10, 11, "a"), (30, 20, "d"), (5, 21, "c"), (1, 30, "")])], "doc_id long, token_id long, part int, row_idx int, col_idx int, x double, y double, text string, score double")
     axes = spark.createDataFrame([(1, [0, 40], [0, 100])], "doc_id long, rows array<bigint>, cols array<bigint>")
