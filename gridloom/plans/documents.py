@@ -153,12 +153,22 @@ def h13_duplicate_texts(spark, d):
     return st.duplicate_texts(cells_truth(spark, d))
 
 
-@query(f"""with {TRUTH}, boxes as (
-  select doc_id, (row_idx * 6 + col_idx)::bigint as token_id, col_idx * 100.0::double + 10 + o as "left", col_idx * 100.0::double + w + o as "right", row_idx * 20.0::double + 4 as top, row_idx * 20.0::double + d as bottom
-  from (select *, case when h % 43 = 1 then -5000 else 0 end as o, case when h % 37 = 1 then 160 else 90 end as w, case when h % 41 = 1 then 36 else 16 end as d from truth where text <> '' and h % 59 <> 1)),
+#: The well-formed tokens of ``_tokens`` with their boxes, and their rows and columns by gaps.
+BOXES = """boxes as (
+  select doc_id, (row_idx * 6 + col_idx)::bigint as token_id, text, (h % 50 + 50) / 100.0::double as score, col_idx * 100.0::double + 10 + o as "left", col_idx * 100.0::double + w + o as "right",
+    row_idx * 20.0::double + 4 as top, row_idx * 20.0::double + d as bottom
+  from (select *, case when h % 43 = 1 then -5000 else 0 end as o, case when h % 37 = 1 then 160 else 90 end as w, case when h % 41 = 1 then 36 else 16 end as d from truth where text <> '' and h % 59 <> 1))"""
+GROUPED = f"""{BOXES}, centred as (select *, ("left" + "right") / 2 as cx, (top + bottom) / 2 as cy from boxes),
+gapped as (select *, coalesce(cy - lag(cy) over (partition by doc_id order by cy, token_id) > 12, false)::int as down, coalesce("left" - lag("left") over (partition by doc_id order by "left", token_id) > 30, false)::int as across from centred),
+numbered as (select *, (sum(down) over (partition by doc_id order by cy, token_id))::int as row_idx, (sum(across) over (partition by doc_id order by "left", token_id))::int as col_idx from gapped),
+ends as (select doc_id, max(row_idx) as last from (select doc_id, row_idx from numbered group by all having count(distinct col_idx) >= 2) group by doc_id),
+grouped as (select doc_id, token_id, row_idx, col_idx, text, score, cx from numbered join ends using (doc_id) where row_idx <= last)"""
+
+
+@query(f"""with {TRUTH}, {BOXES},
 shares as (select floor(0.1::double * 640) as a, ceil((0.1::double + 0.5::double) * 640) as b, floor(0.1::double * 300) as t, ceil((0.1::double + 0.6::double) * 300) as e),
 region as (select greatest(0, a - greatest(4, ceil((b - a) * 0.02))) as x0, least(640, b + greatest(4, ceil((b - a) * 0.02))) as x1, greatest(0, t - greatest(4, ceil((e - t) * 0.08))) as y0, least(300, e + greatest(4, ceil((e - t) * 0.04))) as y1 from shares)
-select boxes.* from boxes, region where ("left" + "right") / 2 >= x0 and ("left" + "right") / 2 < x1 and (top + bottom) / 2 >= y0 and (top + bottom) / 2 < y1""")
+select doc_id, token_id, "left", "right", top, bottom from boxes, region where ("left" + "right") / 2 >= x0 and ("left" + "right") / 2 < x1 and (top + bottom) / 2 >= y0 and (top + bottom) / 2 < y1""")
 def h14_select_region(spark, d):
     boxed = tk.with_box(_tokens(spark, d)).select("doc_id", "token_id", "left", "right", "top", "bottom")
     region = boxed.select("doc_id").distinct().select("doc_id", F.lit(0.1).alias("x"), F.lit(0.1).alias("y"), F.lit(0.5).alias("w"), F.lit(0.6).alias("h"), F.lit(640).alias("width"), F.lit(300).alias("height"))
@@ -469,12 +479,13 @@ def b13_split_fused_headers(spark, d):
     return tk.split_fused_headers(cells)
 
 
-@query()
+@query(f"with {TRUTH}, {GROUPED} select * from grouped")
 def b14_group_without_rules(spark, d):
     return tk.group_without_rules(_tokens(spark, d))
 
 
-@query()
+@query(f"""with {TRUTH}, {GROUPED}, anchors as (select doc_id, col_idx, quantile_cont(cx, 0.5) as anchor from grouped group by all)
+select doc_id, bool_and(abs(cx - anchor) <= 15) as certified from grouped join anchors using (doc_id, col_idx) group by doc_id""")
 def b15_regular_grid(spark, d):
     return tk.regular_grid(tk.group_without_rules(_tokens(spark, d)))
 

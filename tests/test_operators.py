@@ -462,3 +462,80 @@ def test_extending_against_brute_force(spark):
     for r in found.collect():
         got.setdefault(r.series_id, []).append(r.pos)
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def series_of(spark, made):
+    """positions and profile as tables, of {series: (positions, {pos: strength})}."""
+    at = spark.createDataFrame([(k, p) for k, (ps_, _) in made.items() for p in ps_], "series_id long, pos long")
+    line = spark.createDataFrame([(k, p, v) for k, (_, line) in made.items() for p, v in line.items()], "series_id long, pos long, strength long")
+    return at, line
+
+
+def random_series(seed, steps=(3, 20, 20, 20, 8, 40)):
+    rng = random.Random(seed)
+    made = {}
+    for k in range(40):
+        at = np.cumsum([rng.choice(steps) for _ in range(rng.randint(4, 16))]).tolist()
+        made[k] = at, {p: rng.randint(0, 12) for p in range(0, at[-1] + 30)}
+    return made
+
+
+def by_series(frame):
+    found = {}
+    for r in frame.collect():
+        found.setdefault(r.series_id, []).append(r.pos)
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def test_local_maxima_against_brute_force(spark):
+    made = random_series(1)
+    found = by_series(ps.local_maxima(series_of(spark, made)[1]))
+    assert len(found) > 30
+    for k, (_, line) in made.items():
+        top = {p: v for p, v in line.items() if v > 0 and all(line.get(q, 0) <= v for q in range(p - 5, p + 6))}
+        kept = found.get(k, [])
+        assert set(kept) <= set(top) and all(b - a >= 12 for a, b in zip(kept, kept[1:]))
+        # whatever isn't kept is near one that goes before it
+        assert all(any(abs(p - q) < 12 and (-top[q], q) <= (-top[p], p) for q in kept) for p in top)
+
+
+def brute_drop(at, line, named):
+    at = sorted(at)
+    support = {p: sum(line.get(q, 0) for q in range(p - 2, p + 3)) for p in at}
+    while len(at) >= 5:
+        gone = named(at, support)
+        if gone is None:
+            break
+        at.remove(gone)
+    return at
+
+
+def test_dropped_positions_against_brute_force(spark):
+    def split(at, support):
+        typical = median(b - a for a, b in zip(at, at[1:]))
+        for a, p, b in zip(at, at[1:], at[2:]):
+            least = min(support[a], support[b])
+            thin = min(p - a, b - p) <= typical * 0.22 and support[p] <= least * 0.15
+            half = max(p - a, b - p) <= typical * 0.72 and abs(b - a - typical) <= typical * 0.35 and support[p] < least * 0.7
+            if thin or half:
+                return p
+        return None
+
+    def double(at, support):
+        wide = [b - a for a, b in zip(at, at[1:]) if b - a >= 8]
+        close = [(a, b) for a, b in zip(at, at[1:]) if wide and b - a <= max(7, median(wide) * 0.22)]
+        return None if not close else close[0][0] if support[close[0][0]] <= support[close[0][1]] else close[0][1]
+
+    for seed, rule, named in ((2, ps.remove_weak_splits, split), (3, ps.collapse_double, double)):
+        rng, made, changed = random.Random(seed), {}, 0
+        for k in range(40):
+            strong = [20 * i for i in range(rng.randint(4, 12))]
+            weak = {p + rng.choice((3, 4, 9, 10, 11)) for p in strong if rng.random() < 0.4}
+            line = {p: rng.choice((0, 1, 8)) if any(abs(p - w) <= 2 for w in weak) else rng.randint(6, 12) for p in range(strong[-1] + 30)}
+            made[k] = sorted({*strong, *weak}), line
+        found = by_series(rule(*series_of(spark, made)))
+        for k, (at, line) in made.items():
+            want = brute_drop(at, line, named)
+            changed += len(want) < len(at)
+            assert found[k] == want
+        assert changed > 5
