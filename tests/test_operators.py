@@ -155,6 +155,10 @@ def brute_place(tokens, rows, cols):
         if down and text and cut is None and 0 <= col < n_cols:
             words = text.split()
             low = min(rows[r + 1] - rows[r] for r in range(down[0] - 1, down[-1] + 1))
+            k = len(down) + 1
+            even = all(abs((rows[r] - top) / height - (i + 1) / k) <= 0.25 for i, r in enumerate(down))
+            if len(words) != k and re.fullmatch("[\u3400-\u9fff]{2,8}", text) and len(text) % k == 0 and even:
+                words = [text[i : i + len(text) // k] for i in range(0, len(text), len(text) // k)]
             if len(words) == len(down) + 1 and height >= low * (len(down) + 0.25):
                 for i, word in enumerate(words):
                     r = down[0] - 1 + i
@@ -197,7 +201,7 @@ def brute_read(entries, height):
 
 def test_placing_and_reading_against_brute_force(spark):
     rng = random.Random(5)
-    texts = ["a", "b c", "12.345S/s", "0.501.5 kS/s", "one two three", "  pad ", "longword", "", "x y", "-1.257gs/s"]
+    texts = ["a", "b c", "12.345S/s", "0.501.5 kS/s", "one two three", "  pad ", "longword", "", "x y", "-1.257gs/s", "表格", "表格数据行列"]
     rows, tokens, axes = [], {}, {}
     for doc in range(60):
         lines = [sorted(rng.sample(range(0, 400), rng.randint(3, 7))) for _ in range(2)]
