@@ -113,7 +113,7 @@ def c9_recover_single_missing(spark, d):
 
 # Shared parts of the SQL below: the places asked about, their gaps, the typical gap, the profile's peaks.
 
-PEAKS = "peaks as (select series_id, pos from profile where pos % 24 in (0, 6, 12) and pos % 7 <> 3)"
+PEAKS = "peaks as (select series_id, pos from profile where (pos % 12 = 0 and pos % 156 <> 60) or pos in (5, 715))"
 WHOLE = "whole as (select series_id, max(strength) as peak from profile group by series_id)"
 
 
@@ -152,8 +152,8 @@ def c9_recover_with_profile(spark, d):
 
 
 def _peaks(spark, d):
-    """Every third hour with events, of each type."""
-    return profile(spark, d).where("pos % 24 in (0, 6, 12) and pos % 7 <> 3").select("series_id", "pos")
+    """Every twelfth hour with events, of each type, but for some gaps, and a place near each end."""
+    return profile(spark, d).where("(pos % 12 = 0 and pos % 156 <> 60) or pos in (5, 715)").select("series_id", "pos")
 
 
 @query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')}, {TYPICAL},
