@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, host_reputation, language_id, media, mixing, near_dedup, substring_dedup, token_counts, token_ids, warc
+from . import decontaminate, host_reputation, language_id, lexical_search, media, mixing, near_dedup, simhash, spelling, substring_dedup, token_counts, token_ids, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,8 +15,15 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_media_copies": media.op9_media_copies,
     "op10_warc": warc.op10_warc,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 #: The other queries run a tokenizer, word windows, set similarities, learned models or files, which SQL can't
 #: express, or not in bounded time; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": host_reputation.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": host_reputation.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
+}
