@@ -58,7 +58,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter[bytes] = Counter()
 
     def told() -> pd.DataFrame:
-        return pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": np.fromiter(total.values(), np.int64, len(total))})
+        words = pd.Series([w.decode("latin-1") for w in total], dtype=object)
+        return pd.DataFrame({"word": words, "n": np.fromiter(total.values(), np.int64, len(total))})
 
     for batch in batches:
         for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
