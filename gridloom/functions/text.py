@@ -154,16 +154,27 @@ def formula_confidence(text: Column, confidence: Column) -> Column:
     return F.when(balanced(text), confidence).otherwise(F.least(confidence, F.lit(0.77)))
 
 
+#: Ids that one range may name.
+MOST_IDS = 1_000_000
+
+
 def locations(message: Column) -> Column:
     """The labels R#C# of a message, in order."""
     return F.regexp_extract_all(message, F.lit(r"R\d+C\d+"), F.lit(0))
 
 
 def id_ranges(text: Column, prefix: str = "FC-") -> Column:
-    """``1-3,FC-00009`` as padded ids."""
-    one = lambda part: F.when(part.rlike(r"^\d+-\d+$"), F.sequence(F.regexp_extract(part, r"^(\d+)", 1).cast("int"), F.regexp_extract(part, r"(\d+)$", 1).cast("int"))).otherwise(F.array(F.regexp_extract(part, r"(\d+)$", 1).cast("int")))
+    """``1-3,FC-00009`` as ids: a range of numbers is counted out, padded to five digits; other parts stay as they
+    are. A range that goes down has none. A text with a range that can't be read (1-2-3) or has more than ``MOST_IDS``
+    is null."""
     parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(F.flatten(F.transform(parts, one)), lambda n: F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0")))
+    low = lambda p: F.regexp_extract(p, r"^([0-9]+)-", 1).try_cast("long")
+    high = lambda p: F.regexp_extract(p, r"-([0-9]+)$", 1).try_cast("long")
+    is_range = lambda p: p.rlike("^[0-9-]*[0-9][0-9-]*$") & p.contains("-")
+    good = lambda p: F.coalesce(p.rlike("^[0-9]+-[0-9]+$") & (high(p) - low(p) < MOST_IDS), F.lit(False))
+    counted = lambda p: F.when(low(p) <= high(p), F.transform(F.sequence(low(p), high(p)), lambda n: F.concat(F.lit(prefix), F.when(n > 99_999, n.cast("string")).otherwise(F.lpad(n.cast("string"), 5, "0"))))).otherwise(F.array().cast("array<string>"))
+    one = lambda p: F.when(~is_range(p), F.array(p)).when(good(p), counted(p))
+    return F.when(F.forall(parts, lambda p: ~is_range(p) | good(p)), F.flatten(F.transform(parts, one)))
 
 
 def output_name(path: Column, suffix: str = ".xlsx", default: str = "table") -> Column:

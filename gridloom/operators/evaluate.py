@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import normalize_text
-from .grid import CELL, DOC, rectangularize, shape, unicode_trim
+from ..sources.folders import stored
+from .grid import CELL, DOC, MAX_SLOTS, by_document, computed, rectangularize, unicode_trim
 
 MAX_ROW_SHIFT, MAX_COL_SHIFT = 3, 2
 
@@ -17,6 +18,13 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def four_digits(part: str, whole: str) -> Column:
+    """The ratio of two whole numbers, at four digits; a tie goes to the even digit. Null over 0."""
+    scaled = f"(10000 * cast({part} as bigint))"
+    q, r = f"({scaled} div nullif({whole}, 0))", f"({scaled} % nullif({whole}, 0))"
+    return F.expr(f"({q} + if(2 * {r} > {whole} or 2 * {r} = {whole} and {q} % 2 = 1, 1, 0)) / 10000D")
+
+
 def _covered(truth: DataFrame, actual: DataFrame) -> DataFrame:
     """doc_id, n_rows, n_cols, got_rows, got_cols of each document of ``truth``, and of the rectangle that both grids
     cover: cells, equal, filled (in truth), filled_equal. Texts are trimmed.
@@ -47,9 +55,9 @@ def _covered(truth: DataFrame, actual: DataFrame) -> DataFrame:
 def compare_cells(truth: DataFrame, actual: DataFrame) -> DataFrame:
     """Per document of ``truth`` the equal cells in the rectangle that both grids cover.
 
-    Texts are trimmed. Rates are null where no (non-empty) truth cell is covered."""
+    Texts are trimmed. Rates have four digits and are null where no (non-empty) truth cell is covered."""
     same = (F.col("n_rows") == F.col("got_rows")) & (F.col("n_cols") == F.col("got_cols"))
-    rates = {"rate": F.col("equal") / F.nullif("cells", F.lit(0)), "filled_rate": F.col("filled_equal") / F.nullif("filled", F.lit(0))}
+    rates = {"rate": four_digits("equal", "cells"), "filled_rate": four_digits("filled_equal", "filled")}
     return _covered(truth, actual).withColumns({"shape_match": same} | rates)
 
 
@@ -59,35 +67,47 @@ def strict_exact_rate(truth: DataFrame, actual: DataFrame) -> DataFrame:
     return _covered(truth, actual).select(DOC, cells.alias("cells"), "equal").withColumn("rate", F.col("equal") / F.col("cells"))
 
 
+def _dense(cells: Column, side: str, n_rows: Column, n_cols: Column) -> Column:
+    """All texts of one side of a document's grid, row by row, "" where it has no such cell."""
+    own = F.transform(F.filter(cells, lambda x: x[side].isNotNull()), lambda x: F.struct((x["row_idx"] * n_cols + x["col_idx"]).alias("p"), x[side].alias("t")))
+    blank = F.transform(F.array_except(F.sequence(F.lit(0), n_rows * n_cols - 1), F.transform(own, lambda x: x["p"])), lambda p: F.struct(p.alias("p"), F.lit("").alias("t")))
+    return F.transform(F.sort_array(F.concat(own, blank)), lambda x: x["t"])
+
+
 def best_alignment(truth: DataFrame, actual: DataFrame, max_row: int = MAX_ROW_SHIFT, max_col: int = MAX_COL_SHIFT) -> DataFrame:
     """The shift of the recognised grid with the best rate on the overlap; of equals the first by row, then column.
 
-    Equal texts are joined within a document and their shifts counted, instead of comparing all cells under
-    every shift; how many cells a shift overlaps follows from the two shapes. Blanks, of which a sparse grid has very
-    many, are looked for at the places that a shift can bring them to."""
-    t = rectangularize(truth).select(DOC, "row_idx", "col_idx", unicode_trim(F.col("text")).alias("text"))
-    a = rectangularize(actual).select(DOC, F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), unicode_trim(F.col("text")).alias("text"))
-    row_shifts, col_shifts = F.sequence(F.lit(-max_row), F.lit(max_row)), F.sequence(F.lit(-max_col), F.lit(max_col))
-    # what two cells have to share: their text, or if that is blank the place
-    place = lambda r, c: F.concat(F.lit("\0"), r.cast("string"), F.lit(","), c.cast("string"))
-    reached = F.transform(row_shifts, lambda r: F.transform(col_shifts, lambda c: place(F.col("row_idx") + r, F.col("col_idx") + c)))
-    asked = F.when(F.col("text") == "", F.flatten(reached)).otherwise(F.array("text"))
-    there = F.when(F.col("text") == "", place(F.col("r"), F.col("c"))).otherwise(F.col("text"))
-    moved = t.select(DOC, "row_idx", "col_idx", F.explode(asked).alias("key")).join(a.select(DOC, "r", "c", there.alias("key")), [DOC, "key"])
-    moved = moved.select(DOC, (F.col("r") - F.col("row_idx")).alias("row_shift"), (F.col("c") - F.col("col_idx")).alias("col_shift"))
-    near = moved.where((F.abs("row_shift") <= max_row) & (F.abs("col_shift") <= max_col))
-    hits = near.groupBy(DOC, "row_shift", "col_shift").agg(F.count("*").alias("equal"))
-    shapes = shape(truth).join(shape(actual).select(DOC, F.col("n_rows").alias("got_rows"), F.col("n_cols").alias("got_cols")), DOC)
-    shifts = shapes.withColumn("row_shift", F.explode(row_shifts)).withColumn("col_shift", F.explode(col_shifts))
-    over = lambda n, got, s: F.greatest(F.least(F.col(n), F.col(got) - F.col(s)) - F.greatest(F.lit(0), -F.col(s)), F.lit(0))
-    sized = shifts.withColumn("cells", over("n_rows", "got_rows", "row_shift") * over("n_cols", "got_cols", "col_shift")).where("cells > 0")
-    rated = sized.join(hits, [DOC, "row_shift", "col_shift"], "left").na.fill(0, ["equal"]).withColumn("rate", F.col("equal") / F.col("cells"))
-    best = rated.groupBy(DOC).agg(F.max_by(F.struct("row_shift", "col_shift", "cells", "equal", "rate"), F.struct("rate", -F.col("row_shift"), -F.col("col_shift"))).alias("best"))
-    return best.select(DOC, "best.*")
+    Both grids of a document meet in one row, dealt once. Each cell of truth is compared with those at the places that the
+    shifts bring it to, so a document costs as many comparisons as shifts times cells, whatever its texts are, and none of
+    them is shuffled: they are counted where the document lies. A document whose grid claims more than ``MAX_SLOTS`` places has nulls for a shift."""
+    text = lambda c: unicode_trim(F.coalesce(c, F.lit("")))
+    none = F.lit(None).cast("string")
+    sides = truth.select(*CELL, text(F.col("text")).alias("want"), none.alias("got"))
+    sides = sides.unionByName(actual.select(*CELL, none.alias("want"), text(F.col("text")).alias("got")))
+    cells = by_document(sides).groupBy(*CELL).agg(F.max("want").alias("want"), F.max("got").alias("got"))
+    extent = lambda at, side: (F.max(F.when(F.col(side).isNotNull(), F.col(at))) + 1)
+    shapes = {"n_rows": ("row_idx", "want"), "n_cols": ("col_idx", "want"), "got_rows": ("row_idx", "got"), "got_cols": ("col_idx", "got")}
+    docs = cells.groupBy(DOC).agg(F.collect_list(F.struct("row_idx", "col_idx", "want", "got")).alias("cells"), *(extent(*v).alias(k) for k, v in shapes.items()))
+    docs = docs.where("n_rows is not null and got_rows is not null")
+    n_rows, n_cols, got_rows, got_cols = (F.col(c) for c in shapes)
+    small = (n_rows.cast("long") * n_cols <= MAX_SLOTS) & (got_rows.cast("long") * got_cols <= MAX_SLOTS)
+    grids = {"t": _dense(F.col("cells"), "want", n_rows, n_cols), "a": _dense(F.col("cells"), "got", got_rows, got_cols)}
+    laid = computed(docs, **{k: F.when(small, g) for k, g in grids.items()}).select(DOC, *shapes, "t", "a")
+    shifts = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-max_row, max_row + 1) for c in range(-max_col, max_col + 1)))
+    places = laid.select("*", F.explode_outer(F.sequence(F.lit(0), F.size("t") - 1)).alias("p")).select("*", F.explode(shifts).alias("s"))
+    row, col = (F.col("p") / n_cols).cast("int") + F.col("s.r"), F.col("p") % n_cols + F.col("s.c")
+    over = places.select(DOC, F.col("s.r").alias("r"), F.col("s.c").alias("c"), row.alias("row"), col.alias("col"), "got_rows", "got_cols", "t", "a", "p")
+    over = over.where("p is null or (row >= 0 and row < got_rows and col >= 0 and col < got_cols)")
+    same = F.get("t", F.col("p")) == F.get("a", F.col("row") * got_cols + F.col("col"))
+    rated = over.groupBy(DOC, "r", "c").agg(F.count("p").alias("cells"), F.count_if(same).alias("equal")).withColumn("rate", F.col("equal") / F.nullif("cells", F.lit(0)))
+    best = rated.groupBy(DOC).agg(F.max(F.struct("rate", (-F.col("r")).alias("up"), (-F.col("c")).alias("left"), "cells", "equal")).alias("best"))
+    best = best.select(DOC, F.when(F.col("best.rate").isNotNull(), F.col("best")).alias("best"))
+    return best.select(DOC, (-F.col("best.up")).alias("row_shift"), (-F.col("best.left")).alias("col_shift"), "best.cells", "best.equal", "best.rate")
 
 
 def mismatch_kind(expected: Column, actual: Column) -> Column:
-    """How two texts differ; the first that holds of these kinds."""
+    """How two texts differ, white space at their ends aside; the first that holds of these kinds."""
+    expected, actual = unicode_trim(expected), unicode_trim(actual)
     plain = lambda c: F.regexp_replace(c, r"(?U)\s", "")
     digits = lambda c: F.regexp_replace(c, r"(?U)\D", "")
     e, a = digits(expected), digits(actual)
@@ -142,24 +162,46 @@ def summarize_records(records: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(frame: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
-    """Per group the sorted value at rank round-half-even((n - 1) * share).
+def nearest_ranks(frame: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """Per group the sorted value at rank round-half-even((n - 1) * share), in a column for each of ``shares``.
 
-    A group's values are counted first and ranked by running counts, so that repeats cost one row."""
+    Repeats are counted first. The distinct values are dealt by ranges of (group, value) and stored so; the ranges' counts
+    tell in which one a rank lies, and only that range is ordered, so that no task orders a group. Nulls don't count."""
     counts = frame.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*by).orderBy(value))
-    total = F.sum("n").over(W.partitionBy(*by))
-    ranked = counts.withColumns({"upto": upto, "rank": F.rint((total - 1) * share)})
-    return ranked.where("upto > rank and upto - n <= rank").select(*by, F.col(value).alias("value"))
+    ranged = stored(counts.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*by, "part").agg(F.sum("n").alias("n"))
+    listed = sizes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"), F.sum("n").alias("total"))
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), F.rint((F.col("total") - 1) * share).cast("long").alias("rank")) for name, share in shares.items()))
+    step = lambda seen, p: F.when(seen["part"].isNotNull(), seen).when(seen["rest"] < p["n"], F.struct(seen["rest"].alias("rest"), p["part"].alias("part"))).otherwise(F.struct((seen["rest"] - p["n"]).alias("rest"), seen["part"].alias("part")))
+    place = lambda rank: F.aggregate("parts", F.struct(rank.alias("rest"), F.lit(None).cast("int").alias("part")), step)
+    chosen = listed.select(*by, "parts", F.explode(asked).alias("a")).select(*by, "a.name", "a.rank", "parts").select(*by, "name", place(F.col("rank")).alias("at"))
+    chosen = chosen.select(*by, "name", "at.rest", "at.part")
+    plain = chosen.select(*(F.col(c).alias(f"__{c}") for c in by), "name", "rest", F.col("part").alias("__part"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] + [F.col("part") == F.col("__part")]
+    within = ranged.join(plain, same).drop(*(f"__{c}" for c in by), "__part")
+    upto = F.sum("n").over(W.partitionBy(*by, "name", "part").orderBy(value))
+    hit = within.withColumn("upto", upto).where("upto > rest and upto - n <= rest")
+    return hit.groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in shares))
+
+
+def nearest_rank(frame: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
+    """``nearest_ranks`` of one share, as ``value``."""
+    return nearest_ranks(frame, value, {"value": share}, by)
 
 
 def bench_summary(records: DataFrame, latency: str = "seconds", memory: str = "mb", order: str = "case_no") -> DataFrame:
     """Mean scores, latency percentiles and tops, memory first, last and most, in one row."""
-    whole = records.agg(F.avg("rate").alias("mean_rate"), F.avg("best_rate").alias("mean_best_rate"), F.max(latency).alias("latency_max"), _count(F.col(latency) > 60).alias("over_60"), F.min_by(memory, order).alias("memory_first"), F.max_by(memory, order).alias("memory_last"), F.max(memory).alias("memory_max"))
-    one = records.select(F.lit(0).alias("g"), latency)
-    for name, f in (("latency_p50", 0.5), ("latency_p95", 0.95)):
-        whole = whole.crossJoin(nearest_rank(one, latency, f, ["g"]).select(F.col("value").alias(name)))
-    return whole
+    whole = records.agg(
+        F.avg("rate").alias("mean_rate"),
+        F.avg("best_rate").alias("mean_best_rate"),
+        F.max(latency).alias("latency_max"),
+        _count(F.col(latency) > 60).alias("over_60"),
+        F.min_by(memory, order).alias("memory_first"),
+        F.max_by(memory, order).alias("memory_last"),
+        F.max(memory).alias("memory_max"),
+    )
+    # both sides have one row
+    return whole.crossJoin(nearest_ranks(records, latency, {"latency_p50": 0.5, "latency_p95": 0.95}, []))
 
 
 def text_item_coverage(items: DataFrame, texts: DataFrame) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Validation of result documents and the publication gate.
-
-A document row has: doc_id, protocol, status, action, recognition_state, publication_blocked, reasons
-array<string>, structure_verified, n_rows, n_cols; its cells and spans are tables of their own.
-"""
+"""States, requests, error classes and messages around the publication gate, which ``responses`` has."""
 
 from __future__ import annotations
 
@@ -10,11 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grid import DOC
-from .spans import span_findings
 
-MAX_ROWS, MAX_COLS, MAX_CELLS = 256, 128, 4096
-SUMMARIES, REASONS = 40, 100
-STATES = ("verified", "needs_review", "blocked")
 #: The error codes of the protocol, the field that each names, and whether a retry may help.
 #: INSUFFICIENT_MEMORY may be tried again only where the language's own allocation failed, which the raw line doesn't tell.
 ERROR_CODES = (
@@ -46,118 +38,11 @@ BOOLEAN_OPTIONS = ("input_rectified", "selected_table_region")
 LARGEST_ID = 2147483647
 
 
-def document_findings() -> Column:
-    """Summary findings of a document, by the rules on its own fields."""
-    c = F.col
-    rule = lambda bad, what: F.when(F.coalesce(bad, F.lit(True)), what)
-    rules = [
-        rule(c("protocol") != 1, "protocol"),
-        rule(c("status") != "ok", "status"),
-        rule(c("action") != "recognize", "action"),
-        rule(~c("recognition_state").isin(*STATES), "recognition_state"),
-        rule((c("n_rows") < 1) | (c("n_rows") > MAX_ROWS), "rows"),
-        rule((c("n_cols") < 1) | (c("n_cols") > MAX_COLS), "columns"),
-        rule(c("n_rows") * c("n_cols") > MAX_CELLS, "too many cells"),
-        rule((c("recognition_state") == "blocked") != c("publication_blocked"), "blocked state"),
-        rule(c("publication_blocked") & (F.size("reasons") == 0), "blocked without reason"),
-        rule(~c("publication_blocked") & ~c("structure_verified"), "unverified structure published"),
-    ]
-    return F.array_compact(F.array(*rules))
-
-
 def state_consistent(state: Column, blocked: Column) -> Column:
     """I7."""
     return (state == "blocked") == blocked
 
 
-def _cells_of(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, details (findings of single cells, in reading order), n_review, of documents with cells."""
-    c = F.col
-    label = F.format_string("R%dC%d", c("row_idx") + 1, c("col_idx") + 1)
-    bad = (
-        F.when((c("row_idx") >= c("n_rows")) | (c("col_idx") >= c("n_cols")), "outside")
-        .when(c("confidence").isNull() | F.isnan("confidence") | (c("confidence") < -2) | (c("confidence") > 1), "confidence")
-        .when((c("confidence") < 0) & ~c("needs_review"), "unflagged")
-    )
-    judged = cells.join(docs.select(DOC, "n_rows", "n_cols"), DOC).withColumn("what", bad)
-    found = F.when(c("what").isNotNull(), F.struct("row_idx", "col_idx", F.concat_ws(" ", label, "what").alias("t")))
-    listed = F.transform(F.sort_array(F.collect_list(found)), lambda x: x["t"])
-    return judged.groupBy(DOC).agg(listed.alias("details"), F.count_if("needs_review").alias("n_review"))
-
-
-def _judged(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with findings, valid and n_review: cells and spans are dealt by document once and summed up. Those of
-    documents that aren't in ``docs`` count for nothing."""
-    odd = span_findings(spans, docs.select(DOC, "n_rows", "n_cols")).where("not in_bounds or overlapping")
-    said = F.concat(F.lit("span "), F.col("span_id").cast("string"), F.when(~F.col("in_bounds"), " outside").otherwise(" overlaps"))
-    by_span = odd.groupBy(DOC).agg(F.sort_array(F.collect_list(said)).alias("span_details"))
-    none = F.array().cast("array<string>")
-    joined = docs.join(_cells_of(cells, docs), DOC, "left").join(by_span, DOC, "left")
-    found = bounded_reasons(document_findings(), F.concat(F.coalesce("details", none), F.coalesce("span_details", none)))
-    judged = joined.withColumns({"findings": found, "n_review": F.coalesce("n_review", F.lit(0))})
-    return judged.withColumn("valid", F.size("findings") == 0)
-
-
-def validate(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, findings (at most 40 summaries, at most 100 in all, summaries first), valid."""
-    return _judged(docs, cells, spans).select(DOC, "findings", "valid")
-
-
-def bounded_reasons(summary: Column, detail: Column) -> Column:
-    """I2."""
-    return F.slice(F.concat(F.slice(summary, 1, SUMMARIES), detail), 1, REASONS)
-
-
-def _why_not() -> Column:
-    """What keeps a document with valid and n_review from being published; a flag that is missing is unsafe."""
-    c = F.col
-    unsafe = lambda ok, why: F.when(~F.coalesce(ok, F.lit(False)), why)
-    whys = [
-        unsafe(c("valid"), "invalid"),
-        unsafe(c("recognition_state") == "verified", "state"),
-        unsafe(~c("publication_blocked"), "blocked"),
-        unsafe(c("structure_verified"), "structure"),
-        unsafe(c("n_review") == 0, "review"),
-    ]
-    return F.array_compact(F.array(*whys))
-
-
-def can_publish(docs: DataFrame, cells: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with findings, valid, why and publish: valid, verified, not blocked, structure verified, and
-    no cell to review."""
-    judged = _judged(docs, cells, spans).withColumn("why", _why_not())
-    return judged.select(*docs.columns, "findings", "valid", "why", (F.size("why") == 0).alias("publish"))
-
-
-CELLS_JSON = "array<array<struct<text:string,confidence:string,needs_review:string>>>"
-
-
-def parse_documents(raw: DataFrame) -> DataFrame:
-    """doc_id, row_idx, col_idx, text, confidence, needs_review, route from (doc_id, json) with a field
-    ``cells``.
-
-    A document goes the strict way if every cell has a text, a numeric confidence of -2 to 1 and all rows are
-    equally wide; a confidence below 0 is stored as 0 with review. Else the lenient way: at most 256 rows and 128
-    columns, missing texts "", every cell confidence 0 and flagged. One without rows is ``failed``, in one row.
-    """
-    cells = F.from_json(F.get_json_object("json", "$.cells"), CELLS_JSON)
-    parsed = raw.select(DOC, cells.alias("cells"))
-    number = lambda x: x["confidence"].try_cast("double")
-    good_cell = lambda x: x.isNotNull() & x["text"].isNotNull() & F.coalesce(number(x).between(-2, 1), F.lit(False))
-    strict = F.coalesce(F.forall("cells", lambda r: (F.size(r) == F.size(F.get("cells", 0))) & F.forall(r, good_cell)), F.lit(False)) & (F.size("cells") > 0) & (F.size(F.get("cells", 0)) > 0)
-    usable = F.coalesce(F.size("cells") > 0, F.lit(False)) & F.coalesce(F.exists("cells", lambda r: F.size(r) > 0), F.lit(False))
-    routed = parsed.withColumn("route", F.when(strict, "strict").when(usable, "lenient").otherwise("failed"))
-    rows = routed.where("route <> 'failed'").withColumn("width", F.array_max(F.transform("cells", lambda r: F.size(r))))
-    rows = rows.select(DOC, "route", "width", F.posexplode("cells").alias("row_idx", "r")).where((F.col("route") == "strict") | (F.col("row_idx") < MAX_ROWS))
-    padded = rows.select(DOC, "route", "row_idx", "r", F.explode(F.sequence(F.lit(0), F.least(F.col("width"), F.lit(MAX_COLS)) - 1)).alias("col_idx"))
-    cell = F.get("r", F.col("col_idx"))
-    c = cell["confidence"].try_cast("double")
-    ok = F.col("route") == "strict"
-    out = padded.select(DOC, "row_idx", "col_idx", F.coalesce(cell["text"], F.lit("")).alias("text"), F.when(ok, F.greatest(c, F.lit(0.0))).otherwise(0.0).alias("confidence"), F.when(ok, (c < 0) | F.coalesce(cell["needs_review"] == "true", F.lit(False))).otherwise(True).alias("needs_review"), "route")
-    failed = routed.where("route = 'failed'").select(DOC, F.lit(None).cast("int").alias("row_idx"), F.lit(None).cast("int").alias("col_idx"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("needs_review"), "route")
-    return out.unionByName(failed)
-
-
 class _Request:
     """The parts of a raw request line, with their JSON types: STRING, BIGINT, BOOLEAN, VOID, ARRAY ... or null if absent."""
 

@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOC = "doc_id"
 CELL = ("doc_id", "row_idx", "col_idx")
+#: Places of the largest grid that is laid out in full, 1024 x 1024. A place is data: one far cell may claim any number.
+MAX_SLOTS = 1 << 20
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, in which ``value`` is computed once however often and deep in lambdas it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def by_document(df: DataFrame) -> DataFrame:
+    """``df`` dealt by document over as many partitions as shuffles have, which aren't merged where rows are few: their
+    work is in what is done with a document, not in its size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), DOC)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with costly ``columns``, each computed once a row. They come out of a generator, through which the optimizer
+    pushes no filter and merges no expression; else a filter on one of them would compute it, and all behind it, again."""
+    new = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select("*", F.explode_outer(F.array(new)).alias("__new")).select(*(F.col(f"`{c}`") for c in df.columns), "__new.*")
 
 
 def unicode_trim(text: Column) -> Column:
@@ -20,7 +42,11 @@ def shape(cells: DataFrame) -> DataFrame:
 
 
 def rectangularize(cells: DataFrame) -> DataFrame:
-    """B1: every place of each document's rectangle, with "" where a row had no such cell."""
-    places = shape(cells).select(DOC, "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_idx"))
-    places = places.select(DOC, "row_idx", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_idx"))
-    return places.join(cells.select(*CELL, "text"), list(CELL), "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """B1: every place of each document's rectangle, with "" where a row had no such cell. A document whose rectangle would
+    have more than ``MAX_SLOTS`` places, or that has a negative one, keeps its cells as they are."""
+    shaped = cells.groupBy(DOC).agg(F.max("row_idx").alias("r"), F.max("col_idx").alias("c"), F.least(F.min("row_idx"), F.min("col_idx")).alias("least"))
+    sane = (F.col("least") >= 0) & ((F.col("r").cast("long") + 1) * (F.col("c").cast("long") + 1) <= MAX_SLOTS)
+    rows = shaped.select(DOC, "c", F.explode(F.when(sane, F.sequence(F.lit(0), F.col("r")))).alias("row_idx"))
+    places = rows.select(DOC, "row_idx", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("col_idx"))
+    padded = places.join(cells.select(*CELL, "text"), list(CELL), "full_outer")
+    return padded.withColumn("text", F.coalesce("text", F.lit("")))

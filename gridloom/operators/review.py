@@ -16,10 +16,16 @@ THRESHOLD = 0.78
 UNKNOWN_GLYPHS = "[\\x{FFFD}\\x{25A1}]"
 
 
+def has_type_suffix(number: Column) -> Column:
+    """Whether a text that casts to a number ends like a literal of a programming language (0.77f, 5d): no number here."""
+    return number.cast("string").rlike(r"[0-9.][dDfF]\s*$")
+
+
 def is_sentinel(confidence: Column) -> Column:
     """A number, or a text that is one, at a marker value."""
     c = confidence.try_cast("double")
-    return F.coalesce((F.abs(c - SENTINELS[0]) < NEARNESS) | (F.abs(c - SENTINELS[1]) < NEARNESS), F.lit(False))
+    near = (F.abs(c - SENTINELS[0]) < NEARNESS) | (F.abs(c - SENTINELS[1]) < NEARNESS)
+    return F.coalesce(near & ~has_type_suffix(confidence), F.lit(False))
 
 
 def sentinel_flag(flag: Column, confidence: Column) -> Column:
@@ -31,7 +37,7 @@ def read_confidence(raw: Column) -> Column:
     """Struct of confidence and error, of a JSON value's raw text: missing, true, false and non-finite read as 1;
     other than a number or a numeric string is an error."""
     inner = F.regexp_replace(raw, r'^"|"$', "")
-    c = inner.try_cast("double")
+    c = F.when(~has_type_suffix(inner), inner.try_cast("double"))
     plain = raw.isNull() | raw.isin("null", "true", "false") | c.isNaN() | (F.abs(c) == float("inf"))
     return F.struct(F.when(plain, 1.0).otherwise(c).alias("confidence"), (~F.coalesce(plain, F.lit(False)) & c.isNull()).alias("error"))
 

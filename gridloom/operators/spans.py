@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .grid import CELL, DOC
+from .grid import CELL, DOC, MAX_SLOTS, unicode_trim
 
 SPAN = ("doc_id", "span_id")
 #: Fixed thresholds of missing separators: absent, the rest of its line, the whole grid, and the strict form.
@@ -17,11 +17,23 @@ STRIDE = 1 << 20
 
 
 def coverage(spans: DataFrame) -> DataFrame:
-    """doc_id, span_id, row_idx, col_idx, anchor of every slot that a span covers."""
-    extent = lambda at, size: F.sequence(F.col(at), F.col(at) + F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)) - 1)
-    rows = spans.select(*SPAN, F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), extent("col_idx", "col_span").alias("cs"), F.explode(extent("row_idx", "row_span")).alias("row_idx"))
-    slots = rows.select(*SPAN, "r0", "c0", "row_idx", F.explode("cs").alias("col_idx"))
-    return slots.select(*SPAN, "row_idx", "col_idx", ((F.col("row_idx") == F.col("r0")) & (F.col("col_idx") == F.col("c0"))).alias("anchor"))
+    """doc_id, span_id, row_idx, col_idx, anchor of every slot that a span covers. A missing or zero size counts as 1. A
+    span that claims more than ``MAX_SLOTS`` places, or starts before 0, is in no grid and covers nothing."""
+    size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("long")
+    sane = (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (size("row_span") * size("col_span") <= MAX_SLOTS)
+    real = spans.where(sane).select(*SPAN, F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), size("row_span").alias("h"), size("col_span").alias("w"))
+    rows = real.select(*SPAN, "r0", "c0", "w", F.explode(F.sequence(F.lit(0), (F.col("h") - 1).cast("int"))).alias("i"))
+    slots = rows.select(*SPAN, "r0", "c0", "i", F.explode(F.sequence(F.lit(0), (F.col("w") - 1).cast("int"))).alias("j"))
+    return slots.select(*SPAN, (F.col("r0") + F.col("i")).alias("row_idx"), (F.col("c0") + F.col("j")).alias("col_idx"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("anchor"))
+
+
+def _over(spans: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, row_idx, col_idx (of a cell), span_id and ``anchor``: the cells that spans lie over. Cells are compared with
+    their document's spans, so what a span claims beyond them costs nothing."""
+    size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("long")
+    regions = spans.select(*SPAN, F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), size("row_span").alias("h"), size("col_span").alias("w"))
+    met = cells.select(*CELL).join(regions, DOC).where("row_idx >= r0 and row_idx < r0 + h and col_idx >= c0 and col_idx < c0 + w")
+    return met.select(*CELL, "span_id", ((F.col("row_idx") == F.col("r0")) & (F.col("col_idx") == F.col("c0"))).alias("anchor"))
 
 
 def covered_slots(spans: DataFrame) -> DataFrame:
@@ -47,16 +59,20 @@ def span_roles(spans: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def span_findings(spans: DataFrame, shape: DataFrame) -> DataFrame:
-    """D3: the spans with in_bounds and overlapping."""
-    sized = spans.join(shape, DOC, "left")
-    inside = (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (F.col("row_span") >= 1) & (F.col("col_span") >= 1) & (F.col("row_idx") + F.col("row_span") <= F.col("n_rows")) & (F.col("col_idx") + F.col("col_span") <= F.col("n_cols"))
-    shared = coverage(spans).withColumn("n", F.count("*").over(W.partitionBy(*CELL))).groupBy(*SPAN).agg((F.max("n") > 1).alias("overlapping"))
-    return sized.withColumn("in_bounds", F.coalesce(inside, F.lit(False))).join(shared, list(SPAN), "left").drop("n_rows", "n_cols")
+    """D3: the spans with in_bounds and overlapping. Only spans inside their grid overlap one another: what lies outside
+    isn't laid out."""
+    end = lambda at, size: F.col(at).cast("long") + F.col(size)
+    starts = (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (F.col("row_span") >= 1) & (F.col("col_span") >= 1)
+    inside = starts & (end("row_idx", "row_span") <= F.col("n_rows")) & (end("col_idx", "col_span") <= F.col("n_cols"))
+    judged = spans.join(shape, DOC, "left").withColumn("in_bounds", F.coalesce(inside, F.lit(False))).drop("n_rows", "n_cols")
+    shared = coverage(judged.where("in_bounds")).withColumn("n", F.count("*").over(W.partitionBy(*CELL))).groupBy(*SPAN).agg((F.max("n") > 1).alias("overlapping"))
+    return judged.join(shared, list(SPAN), "left").withColumn("overlapping", F.coalesce("overlapping", F.lit(False)))
 
 
 def resolve_text_hiding(spans: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans that hide no text, places to review: hidden text and the anchors of what hid it)."""
-    hidden = coverage(spans).where("not anchor").join(cells.where("text <> ''").select(*CELL), list(CELL))
+    """(spans that hide no text, places to review: hidden text and the anchors of what hid it). A text of blanks alone is
+    none."""
+    hidden = _over(spans, cells.where(unicode_trim(F.col("text")) != "")).where("not anchor")
     guilty = hidden.select(*SPAN).distinct()
     anchors = spans.join(guilty, list(SPAN), "left_semi").select(*CELL)
     return spans.join(guilty, list(SPAN), "left_anti"), hidden.select(*CELL).union(anchors).distinct()
@@ -64,9 +80,10 @@ def resolve_text_hiding(spans: DataFrame, cells: DataFrame) -> tuple[DataFrame,
 
 def lift_review(spans: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells whose needs_review is also set where they anchor a span over a flagged cell."""
-    flagged = coverage(spans).join(cells.where("needs_review").select(*CELL), list(CELL)).select(*SPAN).distinct()
+    flagged = _over(spans, cells.where("needs_review")).select(*SPAN).distinct()
     anchors = spans.join(flagged, list(SPAN), "left_semi").select(*CELL).distinct().withColumn("lifted", F.lit(True))
-    return cells.join(anchors, list(CELL), "left").withColumn("needs_review", F.col("needs_review") | F.coalesce("lifted", F.lit(False))).drop("lifted")
+    lifted = cells.join(anchors, list(CELL), "left")
+    return lifted.withColumn("needs_review", F.col("needs_review") | F.coalesce("lifted", F.lit(False))).drop("lifted")
 
 
 def clamp_spans(spans: DataFrame, limits: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .grid import CELL, DOC
+from .review import has_type_suffix
 
 
 def normalize_axis(axis: DataFrame) -> DataFrame:
     """B2: rounded positions that rise above all before them; none of an axis with a value that is no number."""
-    n = F.col("pos").try_cast("double")
+    n = F.when(~has_type_suffix(F.col("pos")), F.col("pos").try_cast("double"))
     w = W.partitionBy(DOC, "axis")
     judged = axis.withColumns({"value": F.rint(n), "bad": F.max((n.isNull() | n.isNaN()).cast("int")).over(w)})
     top = F.max("value").over(w.orderBy("idx").rowsBetween(W.unboundedPreceding, -1))

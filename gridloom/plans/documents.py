@@ -188,9 +188,7 @@ DOCS = """
 docs as (
   select doc_id, case when doc_id % 53 = 0 then 2 else 1 end as protocol, 'ok' as status, 'recognize' as action, case doc_id % 4 when 0 then 'verified' when 1 then 'needs_review' when 2 then 'blocked' else 'verified' end as recognition_state,
     doc_id % 4 = 2 as publication_blocked, case when doc_id % 4 = 2 and doc_id % 3 <> 0 then ['low quality'] else []::varchar[] end as reasons, doc_id % 5 <> 0 as structure_verified, n_rows, n_cols
-  from (select doc_id, max(row_idx) + 1 as n_rows, max(col_idx) + 1 as n_cols from actual group by doc_id)),
-summary as (select doc_id, list_filter([case when protocol <> 1 then 'protocol' end, case when (recognition_state = 'blocked') <> publication_blocked then 'blocked state' end, case when publication_blocked and len(reasons) = 0 then 'blocked without reason' end,
-  case when not publication_blocked and not structure_verified then 'unverified structure published' end], lambda x: x is not null) as s from docs)"""
+  from (select doc_id, max(row_idx) + 1 as n_rows, max(col_idx) + 1 as n_cols from actual group by doc_id))"""
 
 
 def _docs(spark, d):
@@ -203,29 +201,6 @@ def _docs(spark, d):
     )
 
 
-VALID = """
-spans_in as (select s.* from spans s join docs using (doc_id)),
-cover_in as (select doc_id, span_id, r.row_idx, c.col_idx from spans_in s, lateral (select unnest(range(s.row_idx, s.row_idx + s.row_span)) as row_idx) r, lateral (select unnest(range(s.col_idx, s.col_idx + s.col_span)) as col_idx) c),
-over_in as (select doc_id, span_id, max(n) > 1 as o from (select *, count(*) over (partition by doc_id, row_idx, col_idx) as n from cover_in) group by all),
-span_bad as (select doc_id, list_sort(list('span ' || span_id || case when row_idx + row_span > n_rows or col_idx + col_span > n_cols then ' outside' else ' overlaps' end)) as t
-  from spans_in join docs using (doc_id) join over_in using (doc_id, span_id) where row_idx + row_span > n_rows or col_idx + col_span > n_cols or o group by doc_id),
-valid as (select doc_id, list_concat(s, coalesce(t, []::varchar[])) as findings, len(list_concat(s, coalesce(t, []::varchar[]))) = 0 as valid from summary left join span_bad using (doc_id))"""
-
-
-@query(f"with {ACTUAL}, {RESULT}, {SPANS}, {DOCS}, {VALID} select * from valid")
-def i1_i2_validate(spark, d):
-    docs = _docs(spark, d)
-    return gt.validate(docs, rv.build_result(cells_actual(spark, d)), spans(spark, d))
-
-
-@query(f"""with {ACTUAL}, {RESULT}, {SPANS}, {DOCS}, {VALID}, rev as (select doc_id, count(*) filter (needs_review) as n from result group by doc_id),
-w as (select doc_id, list_filter([case when not valid then 'invalid' end, case when recognition_state <> 'verified' then 'state' end, case when publication_blocked then 'blocked' end, case when not structure_verified then 'structure' end, case when n > 0 then 'review' end], lambda x: x is not null) as why
-  from docs join valid using (doc_id) join rev using (doc_id)) select doc_id, why, len(why) = 0 as publish from w""")
-def i3_can_publish(spark, d):
-    docs, cells = _docs(spark, d), rv.build_result(cells_actual(spark, d))
-    return gt.can_publish(docs, cells, spans(spark, d)).select("doc_id", "why", "publish")
-
-
 def _json(spark, d):
     """doc_id, json: cells of ``cells_actual``; some documents have a text for a confidence, a missing text, or none."""
     k = F.col("doc_id")
@@ -237,14 +212,6 @@ def _json(spark, d):
     return whole.select("doc_id", F.when(k % 17 == 0, '{"cells": 5}').otherwise(F.to_json(F.struct("cells"))).alias("json"))
 
 
-@query(f"""with {ACTUAL}, ranked as (select *, dense_rank() over (partition by doc_id order by row_idx) - 1 as r from actual)
-select doc_id, r::int as row_idx, col_idx, case when doc_id % 23 = 0 and col_idx = 1 then '' else text end as text, case when doc_id % 19 = 0 or doc_id % 23 = 0 then 0.0 else greatest(confidence, 0.0) end as confidence, case when doc_id % 19 = 0 or doc_id % 23 = 0 then true else confidence < 0 end as needs_review,
-  case when doc_id % 19 = 0 or doc_id % 23 = 0 then 'lenient' else 'strict' end as route from ranked where doc_id % 17 <> 0
-union all select distinct doc_id, null, null, null, null, null, 'failed' from actual where doc_id % 17 = 0""")
-def i4_i6_parse_documents(spark, d):
-    return gt.parse_documents(_json(spark, d))
-
-
 @query(f"with {ACTUAL}, {DOCS} select doc_id, (recognition_state = 'blocked') = publication_blocked as ok from docs")
 def i7_state_consistent(spark, d):
     return _docs(spark, d).select("doc_id", gt.state_consistent(F.col("recognition_state"), F.col("publication_blocked")).alias("ok"))
@@ -623,13 +590,3 @@ def m5_split_ambiguous(spark, d):
     k = F.col("event_id")
     line = F.when(k % 5 == 0, '{"c": {"confidence_sentinel": 1, "confidence_sentinel": 2}}').when(k % 5 == 1, '{"a": 1, "a": 2}').otherwise('{"a": 1}')
     return pr.split_ambiguous(table(spark, d, "events").select("event_id", line.alias("json")), duplicate_json_keys()).select("event_id", "rejected")
-
-
-@query(f"""with {ACTUAL}, {RESULT}, {SPANS}, {DOCS}, {VALID}, rev as (select doc_id, count(*) filter (needs_review) as n from result group by doc_id)
-select doc_id, case when publication_blocked then 'blocked' when valid and recognition_state = 'verified' and structure_verified and n = 0 then 'publish' else 'review' end as route from docs join valid using (doc_id) join rev using (doc_id)""")
-def m7_routes(spark, d):
-    docs, cells = _docs(spark, d), rv.build_result(cells_actual(spark, d))
-    judged = gt.can_publish(docs, cells, spans(spark, d))
-    return judged.select("doc_id", pr.gate_route(F.col("publish"), F.col("publication_blocked")).alias("route"))
-
-

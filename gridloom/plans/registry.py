@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, files, scoring, series, texts, varied
+from . import documents, files, gates, scoring, series, texts, varied
 
-_PARTS = (scoring, texts, series, documents, files, varied)
+_PARTS = (scoring, texts, series, documents, gates, files, varied)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

@@ -47,7 +47,8 @@ SCORED = (
     + """,
 scored as (
   select s.doc_id, n_rows, n_cols, coalesce(got_rows, 0) as got_rows, coalesce(got_cols, 0) as got_cols, coalesce(cells, 0) as cells, coalesce(equal, 0) as equal, coalesce(filled, 0) as filled, coalesce(filled_equal, 0) as filled_equal,
-    n_rows = coalesce(got_rows, 0) and n_cols = coalesce(got_cols, 0) as shape_match, equal / nullif(cells, 0) as rate, filled_equal / nullif(filled, 0) as filled_rate
+    n_rows = coalesce(got_rows, 0) and n_cols = coalesce(got_cols, 0) as shape_match, (10000 * equal // nullif(cells, 0) + case when 2 * (10000 * equal % nullif(cells, 0)) > cells or 2 * (10000 * equal % nullif(cells, 0)) = cells and 10000 * equal // nullif(cells, 0) % 2 = 1 then 1 else 0 end) / 10000.0::double as rate,
+    (10000 * filled_equal // nullif(filled, 0) + case when 2 * (10000 * filled_equal % nullif(filled, 0)) > filled or 2 * (10000 * filled_equal % nullif(filled, 0)) = filled and 10000 * filled_equal // nullif(filled, 0) % 2 = 1 then 1 else 0 end) / 10000.0::double as filled_rate
   from shape_t s left join shape_a using (doc_id) left join (
     select doc_id, count(*) as cells, count(*) filter (trim(t.text) = trim(a.text)) as equal, count(*) filter (trim(t.text) <> '') as filled, count(*) filter (trim(t.text) <> '' and trim(t.text) = trim(a.text)) as filled_equal
     from rect_t t join rect_a a using (doc_id, row_idx, col_idx) group by doc_id) using (doc_id)),
@@ -99,13 +100,16 @@ def j3_best_alignment(spark, d):
     return ev.best_alignment(cells_truth(spark, d), cells_actual(spark, d))
 
 
-KIND = """case when t.text = a.text then 'same' when t.text = '' then 'extra_text' when a.text = '' then 'missing_text' when lower(t.text) = lower(a.text) then 'case_flip'
-  when replace(t.text, ' ', '') = replace(a.text, ' ', '') then 'space_only'
-  when regexp_replace(t.text, '[^0-9]', '', 'g') = regexp_replace(a.text, '[^0-9]', '', 'g') then 'punct_swap'
-  when regexp_replace(t.text, '[^0-9]', '', 'g') <> '' and regexp_replace(a.text, '[^0-9]', '', 'g') <> '' and contains(regexp_replace(a.text, '[^0-9]', '', 'g'), regexp_replace(t.text, '[^0-9]', '', 'g')) then 'digit_padded'
-  when regexp_replace(t.text, '[^0-9]', '', 'g') <> '' and regexp_replace(a.text, '[^0-9]', '', 'g') <> '' and contains(regexp_replace(t.text, '[^0-9]', '', 'g'), regexp_replace(a.text, '[^0-9]', '', 'g')) then 'digit_missing'
-  else 'replaced_text' end"""
-KINDS = f"kinds as (select doc_id, row_idx, col_idx, t.text, a.text as got, {KIND} as kind from rect_t t join rect_a a using (doc_id, row_idx, col_idx))"
+KIND = """case when e = g then 'same' when e = '' then 'extra_text' when g = '' then 'missing_text' when lower(e) = lower(g) then 'case_flip'
+  when replace(e, ' ', '') = replace(g, ' ', '') then 'space_only' when e_digits = g_digits then 'punct_swap'
+  when e_digits <> '' and g_digits <> '' and contains(g_digits, e_digits) then 'digit_padded'
+  when e_digits <> '' and g_digits <> '' and contains(e_digits, g_digits) then 'digit_missing' else 'replaced_text' end"""
+KINDS = f"""
+trimmed as (
+  select doc_id, row_idx, col_idx, t.text, a.text as got, trim(t.text) as e, trim(a.text) as g,
+    regexp_replace(t.text, '[^0-9]', '', 'g') as e_digits, regexp_replace(a.text, '[^0-9]', '', 'g') as g_digits
+  from rect_t t join rect_a a using (doc_id, row_idx, col_idx)),
+kinds as (select doc_id, row_idx, col_idx, text, got, {KIND} as kind from trimmed)"""
 
 
 @query(f"with {ACTUAL}, {RECT}, {KINDS} select * from kinds")

@@ -128,8 +128,10 @@ def d2_span_roles(spark, d):
     return sp.span_roles(spans(spark, d), shape(cells_truth(spark, d)))
 
 
-@query(f"""with {TRUTH}, {SPANS}, {COVER}, o as (select doc_id, span_id, bool_or(n > 1) as overlapping from (select *, count(*) over (partition by doc_id, row_idx, col_idx) as n from cover) group by all)
-select doc_id, span_id, row_idx, col_idx, row_span, col_span, role, row_idx + row_span <= n_rows and col_idx + col_span <= n_cols as in_bounds, overlapping from spans join shape using (doc_id) join o using (doc_id, span_id)""")
+@query(f"""with {TRUTH}, {SPANS}, {COVER}, b as (select *, row_idx + row_span <= n_rows and col_idx + col_span <= n_cols as in_bounds from spans join shape using (doc_id)),
+inner_ as (select c.* from cover c join b on b.doc_id = c.doc_id and b.span_id = c.span_id and in_bounds),
+o as (select doc_id, span_id, bool_or(n > 1) as overlapping from (select *, count(*) over (partition by doc_id, row_idx, col_idx) as n from inner_) group by all)
+select doc_id, span_id, row_idx, col_idx, row_span, col_span, role, in_bounds, coalesce(overlapping, false) as overlapping from b left join o using (doc_id, span_id)""")
 def d3_span_findings(spark, d):
     return sp.span_findings(spans(spark, d), shape(cells_truth(spark, d)))
 

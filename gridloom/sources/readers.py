@@ -48,10 +48,11 @@ def truth_cells(docs: DataFrame) -> DataFrame:
 
 def cells_from_documents(docs: DataFrame, column: str = "json") -> DataFrame:
     """A3: doc_id, row_idx, col_idx, text of result documents, whose cells are objects with a text, or texts."""
-    rows = docs.select("doc_id", F.posexplode(F.from_json(F.get_json_object(column, "$.cells"), "array<array<string>>")).alias("row_idx", "r"))
-    cells = rows.select("doc_id", "row_idx", F.posexplode("r").alias("col_idx", "raw"))
-    text = F.when(F.col("raw").startswith("{"), F.get_json_object("raw", "$.text")).otherwise(F.col("raw"))
-    return cells.select("doc_id", "row_idx", "col_idx", F.coalesce(text, F.lit("")).alias("text"))
+    grid = F.try_variant_get(F.try_parse_json(column), "$.cells", "array<variant>")
+    rows = docs.select("doc_id", F.posexplode(grid).alias("row_idx", "r"))
+    cells = rows.select("doc_id", "row_idx", F.posexplode(F.try_variant_get("r", "$", "array<variant>")).alias("col_idx", "cell"))
+    own = F.when(F.schema_of_variant("cell").startswith("OBJECT"), F.try_variant_get("cell", "$.text", "string")).otherwise(F.try_variant_get("cell", "$", "string"))
+    return cells.select("doc_id", "row_idx", "col_idx", F.coalesce(own, F.lit("")).alias("text"))
 
 
 class _Events(HTMLParser):
@@ -105,24 +106,30 @@ def span_size(raw: str | None) -> int:
         return 1
 
 
-def markup_cells(html: str | None) -> list[tuple[int, int, str, int, int]]:
-    """(row, column, text, row span, column span) of a page's cells; only an anchor's own slot must be free."""
-    taken: set[tuple[int, int]] = set()
-    out = []
+def markup_cells(html: str | None) -> Iterator[tuple[int, int, str, int, int]]:
+    """(row, column, text, row span, column span) of a page's cells within a grid of MAX_SPAN x MAX_SPAN; only an anchor's
+    own slot must be free. Of each column it is enough to know down to which row it is taken."""
+    until = [0] * (MAX_SPAN + 1)
     for r, row in enumerate(markup_rows(html)):
+        if r >= MAX_SPAN:
+            break
         c = 0
         for text, down, across in row:
-            while (r, c) in taken:
+            while c < MAX_SPAN and until[c] > r:
                 c += 1
-            taken.update((r + i, c + j) for i in range(down) for j in range(across))
-            out.append((r, c, text, down, across))
+            if c >= MAX_SPAN:
+                break
+            down, across = min(down, MAX_SPAN - r), min(across, MAX_SPAN - c)
+            yield r, c, text, down, across
+            if down > 1:
+                for k in range(c, c + across):
+                    until[k] = max(until[k], r + down)
             c += across
-    return out
 
 
 def html_tables_to_cells(pages: DataFrame, column: str = "html") -> DataFrame:
     """A4: doc_id, row_idx, col_idx, text, row_span, col_span: the anchors of each page's tables; spans over 1 are its
-    merged regions."""
+    merged regions, cut where the largest grid ends; cells beyond it are none."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,12 +152,12 @@ def read_protocol_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pick_evenly(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """``n`` rows at even positions by the whole number ``order``: round-half-even(i (N - 1) / (n - 1))."""
+    """``n`` rows at even positions by ``order``: round-half-even(i (N - 1) / (n - 1))."""
     from ..operators.sampling import numbered
 
     total = rows.agg(F.count("*").alias("total"))
     picks = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("total") - 1) / max(n - 1, 1)).cast("long"))).alias("pos"))
-    return numbered(rows, "pos", order).join(picks, "pos").drop("pos")
+    return numbered(rows, "pos", order).join(F.broadcast(picks), "pos").drop("pos")
 
 
 def parse_csv_texts(texts: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_guard, csv_quote, display_width
 from ..operators.grid import DOC, rectangularize, unicode_trim
 from ..operators.review import pending_labels
+from .folders import stored
 from .readers import parse_csv_texts
 
 BOM, CRLF = "\ufeff", "\r\n"
@@ -88,14 +89,26 @@ def write_summary(records: DataFrame, path: str) -> None:
 
 
 def write_manifest(rows: DataFrame, path: str) -> int:
-    """CSV and JSON lines; both must have all rows."""
-    rows.write.csv(f"{path}/csv", header=True)
-    rows.write.json(f"{path}/jsonl")
-    spark = rows.sparkSession
-    n, m = spark.read.csv(f"{path}/csv", header=True).count(), spark.read.text(f"{path}/jsonl").count()
-    if n != m:
-        raise RuntimeError(f"manifest has {n} CSV rows and {m} JSON lines")
-    return n
+    """CSV with a byte order mark, and JSON lines; both are read back and must have all rows. Fields may have line breaks,
+    commas and quotes. ``rows`` is computed once."""
+    spark, kept = rows.sparkSession, stored(rows, "manifest-rows")
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *(quoted(c) for c in rows.columns))
+    # every file is a CSV of its own, with mark and header before its first record
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    kept.select(F.concat(F.when(first, BOM + header + CRLF).otherwise(""), line).alias("value")).write.text(f"{path}/csv", lineSep=CRLF)
+    kept.write.json(f"{path}/jsonl")
+    counts = [kept.count(), read_manifest_csv(spark, f"{path}/csv").count(), spark.read.text(f"{path}/jsonl").count()]
+    if len(set(counts)) > 1:
+        raise RuntimeError(f"manifest of {counts[0]} rows has {counts[1]} CSV records and {counts[2]} JSON lines")
+    return counts[0]
+
+
+def read_manifest_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The records of L7's CSV files. Spark's reader gives a CRLF within a field as a line feed."""
+    reader = spark.read.option("multiLine", True).option("escape", '"').option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def publish(rows: DataFrame, path: str) -> None:
