@@ -264,38 +264,40 @@ def test_recall_against_all_pairs_of_descriptors():
     assert (met == ((apart <= media.NEAR) & around)).all()
 
 
-def turned(picture, degrees, zoom):
-    """A picture turned and resized about its centre, between its pixels."""
-    a, c = np.deg2rad(degrees), (media.SIDE - 1) / 2
-    y, x = np.mgrid[: media.SIDE, : media.SIDE] - c
-    at = [np.clip(v / zoom + c, 0, media.SIDE - 1.001) for v in (y * np.cos(a) - x * np.sin(a), x * np.cos(a) + y * np.sin(a))]
-    (i, f), (j, g) = ((v.astype(int), v % 1) for v in at)
-    p = picture.astype(float)
-    return np.rint((p[i, j] * (1 - g) + p[i, j + 1] * g) * (1 - f) + (p[i + 1, j] * (1 - g) + p[i + 1, j + 1] * g) * f).astype(np.uint8)
-
-
-@pytest.mark.parametrize("degrees, zoom", [(10, 1), (45, 1), (0, 0.85), (0, 1.2)])
-def test_turned_and_resized_copies_against_all_descriptors(degrees, zoom):
-    """Of pairs of a picture and its copy within NEAR bits, those that meet in a table."""
-    real = pictures(30)
-    a, b = media.descriptors(real), media.descriptors(np.stack([turned(p, degrees, zoom) for p in real]))
-    block = media.Block(list(range(30)), [media.packed_places(a)[a["picture"] == i].tobytes() for i in range(30)])
-    i, j = block.matches(np.ascontiguousarray(b["bits"]))
-    near = np.bitwise_count(b["bits"][:, None] ^ block.places["bits"][None]).sum(axis=2) <= media.NEAR
-    own = b["picture"][:, None] == block.owner[None]
-    found = int((b["picture"][i] == block.owner[j]).sum())
-    print("recall", degrees, zoom, found, int((near & own).sum()))
-    assert found >= 0.8 * (near & own).sum() > 0
+def found_of(spark, edit):
+    """How many copies, one of each of 40 pictures made by ``edit``, are found; and what else is."""
+    real = pictures(40)
+    rows = [(i, media.SIDE, media.SIDE, p.tobytes()) for i, p in enumerate(real)]
+    rows += [(100 + i, media.SIDE, media.SIDE, edit(i, p).tobytes()) for i, p in enumerate(real)]
+    found = media.find_copies(spark.createDataFrame(rows, MEDIA).repartition(4), F.col("media_id") < 100).collect()
+    pairs = {(r.media_id, r.match_id) for r in found if r.match_id is not None}
+    own = {(i, 100 + i) for i in range(40)}
+    return len(pairs & own), pairs - own
+
+
+@pytest.mark.parametrize("least, degrees, zoom", [(36, 33, 1), (36, 45, 1), (32, 0, 0.6), (36, 0, 0.72), (36, 0, 1.5), (36, 25, 0.8), (34, 200, 1.3)])
+def test_turned_and_resized_copies_are_found(spark, least, degrees, zoom):
+    n, others = found_of(spark, lambda i, p: media.turned(p, degrees, zoom))
+    print("found", degrees, zoom, n)
+    assert n >= least and not others
+
+
+def test_planted_copies_are_found(spark):
+    n, others = found_of(spark, lambda i, p: media.edited(p, i % media.KINDS, i))
+    assert n >= 38 and not others
 
 
 def test_turns_around_zero_agree():
-    """Matches one step to either side of no turn share a bin, and their mean lies there; each query descriptor counts once."""
-    here, there = np.zeros(4, media._PLACE), np.zeros(4, media._PLACE)
-    here["turn"], here["x"], here["y"], there["turn"] = (3 + np.array([29, 0, 1, 0])) % media.BINS, 20, 20, 3
-    (found,) = media.agreed(np.zeros(4, np.int64), np.arange(4), here, there).itertuples()
-    assert (found.agreeing, found.shift_x, found.shift_y, found.scale) == (4, 20, 20, 1)
+    """Matches one step to either side of no turn share a bin, and the fit tells no turn; matches at one place count once."""
+    here, there = np.zeros(6, media._PLACE), np.zeros(6, media._PLACE)
+    there["x"], there["y"], there["turn"] = (10, 30, 50, 10, 30, 50), (10, 15, 12, 60, 64, 61), 3
+    here["turn"] = (3 + np.array([89, 0, 1, 0, 89, 1])) % media.BINS
+    here["x"], here["y"] = there["x"] + 20, there["y"] + 5
+    (found,) = media.agreed(np.zeros(6, np.int64), here, there).itertuples()
+    assert (found.agreeing, round(found.shift_x), round(found.shift_y), round(found.scale, 6)) == (6, 20, 5, 1)
     assert min(found.turn, media.BINS - found.turn) < 0.01
-    assert media.agreed(np.zeros(4, np.int64), np.array([0, 1, 2, 2]), here, there).empty
+    there["x"][1], there["y"][1], here["x"][1], here["y"][1] = 11, 10, 31, 15
+    assert media.agreed(np.zeros(6, np.int64), here, there).empty
 
 
 def test_rare_cells_do_not_thin_the_rest(spark):
