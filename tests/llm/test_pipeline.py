@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -44,7 +45,7 @@ def test_stages_in_order(spark, data):
 
 def test_stages_on_odd_rows(spark, data):
     for rows in (ROWS, []):
-        docs = documents(spark, rows)
+        docs = documents(spark, rows).withColumns({"a.b": F.lit("x"), "a`b": F.lit("x"), "_": F.lit("x")})
         columns = docs.columns
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, data).persist()
