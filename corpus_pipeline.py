@@ -32,13 +32,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id.
 
     Rows of one doc_id are one document: it stays with all its different texts, each in the row whose other columns, as
-    JSON, come first. Rows without doc_id stay as they are."""
-    kept = near_duplicates(docs, NEAR_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))
-    row = fresh(docs, "row")
-    one = found.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256)).agg(F.min_by(F.struct(*docs.columns), others).alias(row))
-    return one.select(f"{row}.*").unionByName(docs.where("doc_id is null"))
+    JSON, come first; only rows whose doc_id is repeated are dealt by it for that. Rows without doc_id stay as they are."""
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names of any letters
+    doc, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    found = near_duplicates(docs, NEAR_PERCENT).where("kept and doc_id is not null")
+    kept = found.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    met = rows.join(kept, rows[doc] == kept["kept_id"])
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(c).alias(name) for c, name in zip(rows.columns, names, strict=True) if c not in (doc, text))))
+    several = met.where("n > 1").groupBy(doc, F.sha2(F.col(text).cast("binary"), 256)).agg(F.min_by(F.struct(*rows.columns), others).alias("row"))
+    alone = met.where("n = 1").select(*rows.columns)
+    return alone.unionByName(several.select("row.*")).unionByName(rows.where(f"{doc} is null")).toDF(*names)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -574,6 +574,19 @@ def m1_match_responses(spark, d):
     return found.select("session", "request_id", "action", (F.unix_timestamp("answered") - F.unix_timestamp("ts")).alias("waited"), "outcome")
 
 
+@query(f"""with {EXCHANGE}, sent as (
+  select session, request_id, action, ts, case action when 'health' then 10 when 'export_xlsx' then 30 else 60 end as limit_ from requests where request_id % 30 <> 7),
+came as (select a.session, a.request_id, a.action, a.ts, q.action as asked, datediff('second', q.ts, a.ts) as age, limit_ from answers a left join sent q using (session, request_id)),
+numbered as (select *, row_number() over (partition by session, request_id, coalesce(age between 0 and limit_, false) order by ts, action) as nth from came)
+select session, request_id, 'response' as kind, action, ts, case when age between 0 and limit_ then case when nth = 1 then 'answer' else 'duplicate' end when age > limit_ and age <= limit_ + 60 then 'late' else 'unsolicited' end as outcome from numbered
+union all select session, request_id, 'request', q.action, q.ts, case when n.nth is null then 'timeout' when n.action = q.action then 'ok' else 'action_mismatch' end
+from sent q left join (select session, request_id, action, nth from numbered where nth = 1 and age between 0 and limit_) n using (session, request_id)""")
+def m1_exchange_outcomes(spark, d):
+    q, a = _exchange(spark, d)
+    kind = lambda f, k: f.select("session", "request_id", F.lit(k).alias("kind"), "action", "ts")
+    return pr.exchange_outcomes(kind(q.where("request_id % 30 <> 7"), "request").unionByName(kind(a, "response")))
+
+
 @query(f"with {EXCHANGE} select session, request_id, action from first")
 def m2_first_response(spark, d):
     return pr.first_response(_exchange(spark, d)[1]).select("session", "request_id", "action")
