@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import DOC
+from .grid import DOC, let
 
 #: The error codes of the protocol, the field that each names, and whether a retry may help.
 #: INSUFFICIENT_MEMORY may be tried again only where the language's own allocation failed, which the raw line doesn't tell.
@@ -69,12 +69,59 @@ class _Request:
         return F.coalesce(self.kind(path).startswith("OBJECT"), F.lit(False))
 
 
+def _shown(cell: Column) -> Column:
+    """The text that a cell of an export shows, "" for none."""
+    own = F.when(F.schema_of_variant(cell).startswith("OBJECT"), F.try_variant_get(cell, "$.text", "string")).otherwise(F.try_variant_get(cell, "$", "string"))
+    return F.coalesce(own, F.lit(""))
+
+
+def _filled(text: Column) -> Column:
+    return text.rlike(r"(?U)\S")
+
+
+def _is_exportable(grid: Column) -> Column:
+    """Rows of one width of a cell or more, some text among them."""
+    width = F.size(F.get(grid, F.lit(0)))
+    return (width > 0) & F.forall(grid, lambda row: F.coalesce(F.size(row) == width, F.lit(False))) & F.exists(grid, lambda row: F.exists(row, _filled))
+
+
+def _spans_hold(r: _Request, grid: Column) -> Column:
+    """Whether the spans of an export can be made; absent or null ones can."""
+    n_rows, n_cols = F.size(grid), F.size(F.get(grid, F.lit(0)))
+    names = ("row", "column", "row_span", "column_span")
+
+    def read(span: Column) -> Column:
+        x = F.try_variant_get(span, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
+        whole = lambda v: F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "long"))
+        size = lambda v: F.when(v.isNull(), 1).otherwise(whole(v))
+        return F.struct(whole(x["row"]).alias("row"), whole(x["column"]).alias("col"), size(x["row_span"]).alias("rows"), size(x["column_span"]).alias("cols"), x.isNotNull().alias("object"))
+
+    def inside(s: Column) -> Column:
+        starts = (s["row"] >= 0) & (s["col"] >= 0) & (s["rows"] >= 1) & (s["cols"] >= 1)
+        return F.coalesce(s["object"] & starts & (s["rows"] <= n_rows - s["row"]) & (s["cols"] <= n_cols - s["col"]), F.lit(False))
+
+    def hides(s: Column) -> Column:
+        part = lambda xs, at, n: F.slice(xs, (at + 1).cast("int"), n.cast("int"))
+        filled = F.size(F.filter(F.flatten(F.transform(part(grid, s["row"], s["rows"]), lambda row: part(row, s["col"], s["cols"]))), _filled))
+        anchor = _filled(F.get(F.get(grid, s["row"].cast("int")), s["col"].cast("int")))
+        return filled > F.when(anchor, 1).otherwise(0)
+
+    meets = lambda a, b: (a["row"] < b["row"] + b["rows"]) & (b["row"] < a["row"] + a["rows"]) & (a["col"] < b["col"] + b["cols"]) & (b["col"] < a["col"] + a["cols"])
+    apart = lambda made: F.forall(F.transform(made, lambda s, i: F.forall(F.slice(made, 1, i), lambda t: ~meets(s, t))), lambda ok: ok)
+    spans = F.transform(r.get("spans", "array<variant>"), read)
+    hold = let(spans, lambda all_: F.forall(all_, inside) & apart(F.filter(all_, lambda s: inside(s) & ~hides(s))))
+    absent = F.coalesce(r.kind("spans") == "VOID", F.lit(True))
+    return absent | F.coalesce(hold, F.lit(False))
+
+
 def request_error(raw: Column) -> Column:
     """Struct of code and field of the first rule that a raw request line breaks; null for a good one.
 
     A line is a JSON object with protocol 1 and a known action; request_id, if it is there, is a whole number from 1.
     To recognize, it has an image_path, perhaps an output_directory, and options as an object: known modes, a finite
-    deadline_seconds of 0 or more, and true booleans. To export, it has an output_path and cells, rows of one width.
+    deadline_seconds of 0 or more, and true booleans. To export, it has an output_path, cells, rows of one width with some
+    text, and perhaps spans: objects of whole numbers inside the grid, of which none lies over an earlier one. A span
+    that hides text isn't made at export, so that it takes no place.
     What isn't JSON, NaN among it, is an INVALID_REQUEST without field, and so are options that are no object and odd
     booleans, for which the protocol has no code of their own.
     """
@@ -96,10 +143,8 @@ def request_error(raw: Column) -> Column:
     for name in BOOLEAN_OPTIONS:
         bad_boolean = bad_boolean | (there(f"options.{name}") & (r.kind(f"options.{name}") != "BOOLEAN"))
     no_folder = there("output_directory") & (r.kind("output_directory") != "VOID") & ~r.is_text("output_directory")
-    widths = F.transform(F.from_json(F.get_json_object(raw, "$.cells"), "array<string>"), lambda row: F.json_array_length(row))
-    first = F.get(widths, F.lit(0))
-    rectangular = (F.size(widths) > 0) & (first > 0) & F.forall(widths, lambda n: F.coalesce(n == first, F.lit(False)))
-    good_cells = F.coalesce(r.kind("cells").startswith("ARRAY") & rectangular, F.lit(False))
+    grid = F.transform(r.get("cells", "array<variant>"), lambda row: F.transform(F.try_variant_get(row, "$", "array<variant>"), _shown))
+    good_cells, good_spans = F.coalesce(let(grid, _is_exportable), F.lit(False)), let(grid, lambda g: _spans_hold(r, g))
     return (
         F.when(~F.coalesce(F.schema_of_variant(r.whole).startswith("OBJECT"), F.lit(False)), err("INVALID_REQUEST"))
         .when(~F.coalesce(protocol, F.lit(False)), err("UNSUPPORTED_PROTOCOL", "protocol"))
@@ -112,6 +157,7 @@ def request_error(raw: Column) -> Column:
         .when(recognizes & bad_boolean, err("INVALID_REQUEST"))
         .when(exports & ~r.is_text("output_path"), err("EXPORT_PATH_REQUIRED", "output_path"))
         .when(exports & ~good_cells, err("EXPORT_GRID_INVALID", "cells"))
+        .when(exports & ~good_spans, err("EXPORT_SPAN_INVALID", "spans"))
     )
 
 
@@ -145,10 +191,18 @@ def render_messages(docs: DataFrame, pending: DataFrame, prefix: str = "review:
     return out.withColumn("publication_blocked", F.col("publication_blocked") & (F.size("reasons") > 0)).drop("labels")
 
 
+#: The failure of a recognition, not of its input, for which a degraded table is given: of its time; null tells that
+#: nothing was found.
+SOFT_FAILURE = "RECOGNITION_BUDGET_EXCEEDED"
+
+
 def degraded(failures: DataFrame) -> DataFrame:
-    """Failed documents (doc_id, code): timeouts and empty pages become a blank, blocked 1 x 1 table."""
-    soft = F.col("code").isin("TIMEOUT", "NO_TEXT")
-    return failures.select(DOC, "code", soft.alias("degraded"), F.when(soft, 1).alias("n_rows"), F.when(soft, 1).alias("n_cols"), F.when(soft, "").alias("text"), soft.alias("publication_blocked"))
+    """Failed documents (doc_id, code of the contract, null where no text or no table was found). A recognition that ran
+    out of time or found nothing becomes a blank 1 x 1 table to review, blocked; errors of input or installation stay."""
+    soft = F.coalesce(F.col("code") == SOFT_FAILURE, F.lit(True))
+    table = {"n_rows": F.lit(1), "n_cols": F.lit(1), "text": F.lit(""), "confidence": F.lit(0.0), "needs_review": F.lit(True), "recognition_state": F.lit("blocked")}
+    status = F.when(soft, "ok").otherwise("error").alias("status")
+    return failures.select(DOC, "code", status, soft.alias("degraded"), *(F.when(soft, v).alias(k) for k, v in table.items()), soft.alias("publication_blocked"))
 
 
 def table_warning(cells: DataFrame) -> DataFrame:

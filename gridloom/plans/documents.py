@@ -247,6 +247,11 @@ REQUESTS = (
     ('{"protocol":1,"action":"warmup","request_id":5}', None, None),
     ('{"protocol":1,"action":"recognize","image_path":"x.png","output_directory":null,"options":{"crop_mode":"grid","deadline_seconds":2.5}}', None, None),
     ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a","b"],["c",{"text":"d"}]]}', None, None),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[[" ",{"text":null}],[null,""]]}', "EXPORT_GRID_INVALID", "cells"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a",""]],"spans":[{"row":0,"column":0,"column_span":3}]}', "EXPORT_SPAN_INVALID", "spans"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a",""]],"spans":[{"row":0,"column":0.0}]}', "EXPORT_SPAN_INVALID", "spans"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a",""]],"spans":[{"row":0,"column":0,"column_span":2},{"row":0,"column":1}]}', "EXPORT_SPAN_INVALID", "spans"),
+    ('{"protocol":1,"action":"export_xlsx","output_path":"a.xlsx","cells":[["a","b"]],"spans":[{"row":0,"column":0,"column_span":2},{"row":0,"column":1}]}', None, None),
 )
 EVERY = 40
 
@@ -289,10 +294,13 @@ def i12_render_messages(spark, d):
     return gt.render_messages(docs, rv.pending_labels(rv.build_result(cells_actual(spark, d))))
 
 
-@query("select doc_id, case doc_id % 3 when 0 then 'TIMEOUT' when 1 then 'NO_TEXT' else 'INVALID_JSON' end as code, doc_id % 3 < 2 as degraded, case when doc_id % 3 < 2 then 1 end as n_rows, case when doc_id % 3 < 2 then 1 end as n_cols, case when doc_id % 3 < 2 then '' end as text, doc_id % 3 < 2 as publication_blocked from documents")
+@query("""with f as (select doc_id, case doc_id % 4 when 0 then 'RECOGNITION_BUDGET_EXCEEDED' when 2 then 'IMAGE_NOT_FOUND' when 3 then 'MODEL_MISSING' end as code, doc_id % 4 < 2 as soft from documents)
+select doc_id, code, case when soft then 'ok' else 'error' end as status, soft as degraded, case when soft then 1 end as n_rows, case when soft then 1 end as n_cols, case when soft then '' end as text,
+  case when soft then 0.0::double end as confidence, case when soft then true end as needs_review, case when soft then 'blocked' end as recognition_state, soft as publication_blocked from f""")
 def i13_degraded(spark, d):
-    k = F.col("doc_id") % 3
-    return gt.degraded(table(spark, d, "documents").select("doc_id", F.when(k == 0, "TIMEOUT").when(k == 1, "NO_TEXT").otherwise("INVALID_JSON").alias("code")))
+    k = F.col("doc_id") % 4
+    code = F.when(k == 0, "RECOGNITION_BUDGET_EXCEEDED").when(k == 2, "IMAGE_NOT_FOUND").when(k == 3, "MODEL_MISSING")
+    return gt.degraded(table(spark, d, "documents").select("doc_id", code.alias("code")))
 
 
 @query(f"with {ACTUAL}, n as (select doc_id, count(*) filter (confidence > 0 and confidence < 0.78) as uncertain, count(*) as cells from actual group by doc_id) select doc_id, uncertain, uncertain >= 8 and uncertain * 4 > cells as warn from n")

@@ -65,7 +65,54 @@ def c4_dominant_span(spark, d):
     return ps.dominant_span(positions(spark, d), 1500)
 
 
-@query()
+LINES = """
+samples as (
+  select series_id, line, pos, case pos % 17 when 0 then 60 + k % 11 when 1 then 55 + k % 30 when 5 then 33 + k % 5 when 9 then case when line % 3 = 0 then 90 else 5 end else k % 13 end::double as strength
+  from (select event_id as k, event_id // 2000 as series_id, event_id % 10 as line, event_id // 10 % 200 as pos from events)),
+scored as (
+  select series_id, pos, quantile_cont(strength, 0.5) as median, quantile_cont(strength, 0.5) / (quantile_cont(strength, 0.75) + 1) as consistency, avg((strength > 12)::int::double) as coverage
+  from samples group by all)"""
+
+
+def kept_apart(peaks: str) -> str:
+    """SQL for what is kept of ``peaks`` (series_id, pos, strength, apart), from the strongest down."""
+    return f"""
+ranked as (select *, row_number() over (partition by series_id order by strength desc, pos) as k from {peaks}),
+walk as (
+  select distinct series_id, 0::bigint as k, []::bigint[] as kept from ranked
+  union all
+  select r.series_id, r.k, case when len(list_filter(kept, lambda q: abs(q - r.pos) < apart)) = 0 then list_append(kept, r.pos::bigint) else kept end
+  from walk join ranked r on r.series_id = walk.series_id and r.k = walk.k + 1)
+select series_id::bigint as series_id, unnest(kept) as pos from walk qualify k = max(k) over (partition by series_id)"""
+
+
+def _maxima(score: str, valid: str) -> str:
+    return f"""with recursive {LINES}, tops as (
+  select *, {score} as strength, max({score}) over (partition by series_id order by pos range between 5 preceding and 5 following) as top from scored),
+peaks as (select series_id, pos, strength, 12 as apart from tops where strength >= top and {valid} and pos >= 5 and pos < 195), {kept_apart('peaks')}"""
+
+
+def _lines(spark, d):
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(k, F.floor(k / 2000).alias("series_id"), (k % 10).alias("line"), (F.floor(k / 10) % 200).alias("pos"))
+    kind = F.col("pos") % 17
+    value = F.when(kind == 0, 60 + k % 11).when(kind == 1, 55 + k % 30).when(kind == 5, 33 + k % 5).when(kind == 9, F.when(F.col("line") % 3 == 0, 90).otherwise(5)).otherwise(k % 13)
+    samples = e.select("series_id", "line", "pos", value.cast("double").alias("strength"))
+    return samples, samples.select("series_id").distinct().withColumn("width", F.lit(200))
+
+
+@query(_maxima("median * consistency * coverage", "median >= 40 and consistency >= 0.35 and coverage >= 0.5"))
+def c5_robust_maxima(spark, d):
+    return ps.robust_maxima(*_lines(spark, d))
+
+
+@query(_maxima("median * coverage", "median >= 30 and coverage >= 0.75"))
+def c5_faint_maxima(spark, d):
+    return ps.robust_maxima(*_lines(spark, d), faint=True)
+
+
+@query(f"""with recursive {PROFILE}, tops as (select *, max(strength) over (partition by series_id order by pos range between 5 preceding and 5 following) as top from profile),
+peaks as (select series_id, pos, strength, 12 as apart from tops where strength = top and strength > 0), {kept_apart('peaks')}""")
 def c5_local_maxima(spark, d):
     return ps.local_maxima(profile(spark, d))
 

@@ -491,6 +491,35 @@ def by_series(frame):
     return {k: sorted(v) for k, v in found.items()}
 
 
+@pytest.mark.parametrize("faint", [False, True])
+def test_robust_maxima_against_brute_force(spark, faint):
+    """Samples of random lines across, some weak, uneven or near a border, against numpy over whole arrays."""
+    draw = np.random.default_rng(6)
+    rows, wanted = [], set()
+    for series in range(12):
+        width, lines = int(draw.integers(60, 2400)), 9
+        grid = draw.integers(0, 16, (lines, width)).astype(float)
+        for pos in draw.integers(0, width, 25):
+            grid[:, pos] = draw.choice((33, 45, 80)) + draw.integers(0, 4, lines)
+            if draw.random() < 0.4:
+                grid[draw.random(lines) < 0.4, pos] = draw.choice((2, 200))
+        rows += [(series, y, x, float(grid[y, x])) for y in range(lines) for x in range(width)]
+        median, upper = np.median(grid, axis=0), np.quantile(grid, 0.75, axis=0)
+        steady, covered = median / (upper + 1), (grid > 12).mean(axis=0)
+        score = median * covered * (1 if faint else steady)
+        valid = (median >= 30) & (covered >= 0.75) if faint else (median >= 40) & (steady >= 0.35) & (covered >= 0.5)
+        peaks = [x for x in range(5, width - 5) if valid[x] and score[x] >= score[x - 5 : x + 6].max()]
+        kept = []
+        for x in sorted(peaks, key=lambda x: -score[x]):
+            if all(abs(x - k) >= max(12, width // 100) for k in kept):
+                kept.append(x)
+        wanted |= {(series, x) for x in kept}
+    samples = spark.createDataFrame(rows, "series_id long, line long, pos long, strength double")
+    widths = samples.groupBy("series_id").agg((F.max("pos") + 1).alias("width"))
+    found = {tuple(r) for r in ps.robust_maxima(samples, widths, faint).collect()}
+    assert found == wanted and len(found) > 30
+
+
 def test_local_maxima_against_brute_force(spark):
     made = random_series(1)
     found = by_series(ps.local_maxima(series_of(spark, made)[1]))
