@@ -222,6 +222,21 @@ def c11_recover_irregular(spark, d):
     return ps.recover_irregular(_peaks(spark, d), profile(spark, d).select("series_id", "pos"), profile(spark, d), 4)
 
 
+@query(f"""with {PROFILE}, {PEAKS}, {WHOLE}, {gaps('peaks')}, {TYPICAL},
+wide as (select *, greatest(10, round_even(typical * 0.12, 0)) as margin from gaps join typical using (series_id) where n_gaps >= 3 and typical >= 8 and gap >= typical * 1.1),
+bands as (select series_id, pos, band, (pos * 7 + band * 13) % 40 / 40.0 + 0.5 as coverage from profile, (select unnest(range(2, 8)) as band) where band < 3 + pos % 4),
+inside as (select distinct p.series_id, p.pos as spot, gap, typical from profile p join wide w on w.series_id = p.series_id and p.pos > w.pos + margin and p.pos < next - margin),
+near as (select i.series_id, spot, gap, typical, max(strength) as local from inside i join profile p on p.series_id = i.series_id and p.pos between spot - 3 and spot + 3 group by all),
+follow as (select series_id, pos as spot from bands group by all having count(*) >= 3 and count(*) filter (coverage >= 0.72) >= ceil(count(*) * 0.7)),
+fresh as (select distinct series_id, spot as pos from near join whole using (series_id) where peak > 0
+  and ((series_id, spot) in (select (series_id, spot) from follow) or (gap >= typical * 1.75 and local >= 0.8 and local >= peak * 0.35) or (local >= 1.12 and local >= peak * 0.55))), {INSERTED}""")
+def c11_recover_by_rows(spark, d):
+    band = F.explode(F.sequence(F.lit(2), F.lit(7))).alias("band")
+    bands = profile(spark, d).select("series_id", "pos", band).where("band < 3 + pos % 4")
+    bands = bands.withColumn("coverage", (F.col("pos") * 7 + F.col("band") * 13) % 40 / 40.0 + 0.5)
+    return ps.recover_irregular(_peaks(spark, d), profile(spark, d).select("series_id", "pos"), profile(spark, d), 4, bands)
+
+
 @query()
 def c12_extend_sequence(spark, d):
     return ps.extend_sequence(_peaks(spark, d).where("pos between 100 and 600"), profile(spark, d), 2)
@@ -337,6 +352,35 @@ def c24_band_consensus(spark, d):
     return ps.band_consensus(segments.distinct())
 
 
+RULES = """
+marks as (select distinct (user_id % 7)::bigint as series_id, event_id % 6 as line, event_id // 6 % 40 * 8 + user_id % 7 as pos from events where event_id % 53 <> 0),
+jumps as (select *, case when pos - lag(pos) over (partition by series_id, line order by pos) > 12 then 1 else 0 end as jump from marks),
+pieces as (select *, sum(jump) over (partition by series_id, line order by pos) as piece from jumps),
+spans_ as (select series_id, line, min(pos) as first, max(pos) as last, count(*) as n from pieces group by series_id, line, piece),
+dominant as (select * from spans_ qualify row_number() over (partition by series_id, line order by last - first desc, n desc, first) = 1 and sum(n) over (partition by series_id, line) >= 2),
+frame as (select series_id, round_even(quantile_cont(first, 0.5), 0)::bigint as a, round_even(quantile_cont(last, 0.5), 0)::bigint as b from dominant where last - first >= 320 * 0.35 group by series_id having count(*) >= 5)"""
+
+
+@query(f"""with {RULES}, body as (select distinct (user_id % 7)::bigint as series_id, event_id % 12 as band, event_id // 12 % 15 * 20 as pos, case when event_id // 12 % 15 % 3 = 0 then 0.4 else 0.9 end as coverage from events where event_id % 12 >= 3),
+n as (select series_id, count(distinct band) as n from body group by series_id having count(distinct band) >= 6),
+votes as (select series_id, pos, count(*) filter (coverage >= 0.72) as votes from body group by all), strong as (select votes.* from votes join n using (series_id) where votes >= n * 0.65), {islands(1, 'strong')},
+best as (select series_id, pos from isl qualify row_number() over (partition by series_id, island order by votes desc, pos) = 1),
+runs as (select *, sum(start) over (partition by series_id order by pos) as run from (select *, case when pos - lag(pos) over (partition by series_id order by pos) > 7 then 1 else 0 end as start from best)),
+found as (select series_id, round_even(avg(pos), 0)::bigint as pos from runs group by series_id, run),
+framed as (select f.series_id, f.pos from found f join frame using (series_id) where f.pos between a - 8 and b + 8 union all select series_id, unnest([a, b]) from frame),
+again as (select *, sum(start) over (partition by series_id order by pos) as run from (select *, case when pos - lag(pos) over (partition by series_id order by pos) > 7 then 1 else 0 end as start from framed)),
+merged as (select series_id, round_even(avg(pos), 0)::bigint as pos from again group by series_id, run),
+gapped as (select *, lead(pos) over (partition by series_id order by pos) - pos as gap from merged)
+select series_id, pos from gapped qualify count(*) over (partition by series_id) between 4 and 32 and min(gap) over (partition by series_id) >= 8""")
+def c24_framed_consensus(spark, d):
+    e = table(spark, d, "events")
+    series = (F.col("user_id") % 7).cast("long").alias("series_id")
+    part = F.floor(F.col("event_id") / 12) % 15
+    segments = e.select(series, (F.col("event_id") % 12).alias("band"), (part * 20).alias("pos"), F.when(part % 3 == 0, 0.4).otherwise(0.9).alias("coverage"))
+    marks = e.where("event_id % 53 <> 0").select(series, (F.col("event_id") % 6).alias("line"), (F.floor(F.col("event_id") / 6) % 40 * 8 + F.col("user_id") % 7).alias("pos"))
+    return ps.framed_consensus(segments.distinct(), marks.distinct(), 320)
+
+
 @query(f"""with {POSITIONS}, {GAPS}, t as (select series_id, quantile_cont(gap, 0.5) as typical from gaps where gap >= 8 group by 1 having count(*) >= 3), e as (select series_id, min(pos) as a, max(pos) as b, any_value(typical) as typical from positions join t using (series_id) group by 1)
 select series_id, pos::bigint as pos from positions union select series_id, 0 from e where a >= typical * 0.65 - 131.4 and a <= typical * 1.35 + 131.4
 union select series_id, 43799 from e where 43799 - b >= typical * 0.65 - 131.4 and 43799 - b <= typical * 1.35 + 131.4""")
