@@ -15,8 +15,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(near: DataFrame) -> DataFrame:
     """For each node with its neighbours ``near`` (a, b): link them to the least of them all.
 
-    The least is pre-aggregated by the map tasks; a node with very many neighbours meets it in a join that
-    Spark can split."""
+    The least is pre-aggregated by the map tasks. A node with very many neighbours meets it in one task: Spark doesn't
+    split a join whose other side is an aggregate."""
     least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return near.join(least, "a").select(F.col("m").alias("a"), "b", F.col("a").alias("u"))
 

@@ -122,7 +122,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     copies = stored(late.select("doc_id", "version").distinct(), "copies")
     forget(sequences)
 
-    # Equal anchors are pre-aggregated by every map task; the join back can be split where an anchor is hot.
+    # Equal anchors are pre-aggregated by every map task; the join back meets a hot one in one task, as its
+    # other side is an aggregate.
     anchors = rows.mapInPandas(_anchors, "h long, doc_id long, place long")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     found = anchors.join(shared, "h", "left_semi")
