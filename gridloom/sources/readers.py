@@ -106,10 +106,10 @@ def span_size(raw: str | None) -> int:
         return 1
 
 
-def markup_cells(html: str | None) -> Iterator[tuple[int, int, str, int, int]]:
+def markup_cells(html: str | None) -> list[tuple[int, int, str, int, int]]:
     """(row, column, text, row span, column span) of a page's cells within a grid of MAX_SPAN x MAX_SPAN; only an anchor's
     own slot must be free. Of each column it is enough to know down to which row it is taken."""
-    until = [0] * (MAX_SPAN + 1)
+    until, out = [0] * (MAX_SPAN + 1), []
     for r, row in enumerate(markup_rows(html)):
         if r >= MAX_SPAN:
             break
@@ -120,11 +120,12 @@ def markup_cells(html: str | None) -> Iterator[tuple[int, int, str, int, int]]:
             if c >= MAX_SPAN:
                 break
             down, across = min(down, MAX_SPAN - r), min(across, MAX_SPAN - c)
-            yield r, c, text, down, across
+            out.append((r, c, text, down, across))
             if down > 1:
                 for k in range(c, c + across):
                     until[k] = max(until[k], r + down)
             c += across
+    return out
 
 
 def html_tables_to_cells(pages: DataFrame, column: str = "html") -> DataFrame:
