@@ -16,12 +16,18 @@ ABSENT, LINE, GRID, STRICT = 0.10, 0.70, 0.65, 0.85
 STRIDE = 1 << 20
 
 
+def _size(c: str) -> Column:
+    return F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("long")
+
+
+def _covers() -> Column:
+    return (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (_size("row_span") * _size("col_span") <= MAX_SLOTS)
+
+
 def coverage(spans: DataFrame) -> DataFrame:
     """doc_id, span_id, row_idx, col_idx, anchor of every slot that a span covers. A missing or zero size counts as 1. A
     span that claims more than ``MAX_SLOTS`` places, or starts before 0, is in no grid and covers nothing."""
-    size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)), F.lit(1)).cast("long")
-    sane = (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (size("row_span") * size("col_span") <= MAX_SLOTS)
-    real = spans.where(sane).select(*SPAN, F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), size("row_span").alias("h"), size("col_span").alias("w"))
+    real = spans.where(_covers()).select(*SPAN, F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), _size("row_span").alias("h"), _size("col_span").alias("w"))
     rows = real.select(*SPAN, "r0", "c0", "w", F.explode(F.sequence(F.lit(0), (F.col("h") - 1).cast("int"))).alias("i"))
     slots = rows.select(*SPAN, "r0", "c0", "i", F.explode(F.sequence(F.lit(0), (F.col("w") - 1).cast("int"))).alias("j"))
     return slots.select(*SPAN, (F.col("r0") + F.col("i")).alias("row_idx"), (F.col("c0") + F.col("j")).alias("col_idx"), ((F.col("i") == 0) & (F.col("j") == 0)).alias("anchor"))
@@ -59,13 +65,19 @@ def span_roles(spans: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def span_findings(spans: DataFrame, shape: DataFrame) -> DataFrame:
-    """D3: the spans with in_bounds and overlapping. Only spans inside their grid overlap one another: what lies outside
-    isn't laid out."""
+    """D3: the spans with in_bounds and overlapping (some place of theirs is another's too, inside the grid or not). A span
+    that ``coverage`` holds to cover nothing overlaps none. Spans are compared as rectangles with the others of their
+    document, so what they claim costs nothing."""
     end = lambda at, size: F.col(at).cast("long") + F.col(size)
     starts = (F.col("row_idx") >= 0) & (F.col("col_idx") >= 0) & (F.col("row_span") >= 1) & (F.col("col_span") >= 1)
     inside = starts & (end("row_idx", "row_span") <= F.col("n_rows")) & (end("col_idx", "col_span") <= F.col("n_cols"))
     judged = spans.join(shape, DOC, "left").withColumn("in_bounds", F.coalesce(inside, F.lit(False))).drop("n_rows", "n_cols")
-    shared = coverage(judged.where("in_bounds")).withColumn("n", F.count("*").over(W.partitionBy(*CELL))).groupBy(*SPAN).agg((F.max("n") > 1).alias("overlapping"))
+    box = F.struct("span_id", F.col("row_idx").cast("long").alias("r"), F.col("col_idx").cast("long").alias("c"), _size("row_span").alias("h"), _size("col_span").alias("w"))
+    meet = lambda a, b: (a["r"] < b["r"] + b["h"]) & (b["r"] < a["r"] + a["h"]) & (a["c"] < b["c"] + b["w"]) & (b["c"] < a["c"] + a["w"])
+    met = lambda a, i: F.exists(F.transform("boxes", lambda b, j: (i != j) & meet(a, b)), lambda x: x)
+    boxes = spans.where(_covers()).groupBy(DOC).agg(F.collect_list(box).alias("boxes"))
+    each = boxes.select(DOC, F.explode(F.transform("boxes", lambda a, i: F.struct(a["span_id"].alias("span_id"), met(a, i).alias("met")))).alias("x"))
+    shared = each.groupBy(DOC, F.col("x.span_id").alias("span_id")).agg(F.bool_or("x.met").alias("overlapping"))
     return judged.join(shared, list(SPAN), "left").withColumn("overlapping", F.coalesce("overlapping", F.lit(False)))
 
 

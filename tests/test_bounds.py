@@ -84,6 +84,13 @@ def test_far_places(spark):
     assert found == [(1, 0, 0, "a"), (1, FAR, 1, "b"), (2, 0, 0, "a"), (2, 0, 1, ""), (2, 0, 2, ""), (2, 1, 0, ""), (2, 1, 1, ""), (2, 1, 2, "b"), (3, -1, 0, "c"), (4, 0, FAR, "")]
 
 
+def test_spans_outside_their_grid_overlap(spark):
+    spans = spark.createDataFrame([(1, 0, 0, 0, 1, 9, None), (1, 1, 0, 8, 3, 1, None), (1, 2, 2, 8, 1, 2, None), (1, 3, 5, 5, 1, 1, None), (2, 0, 0, 0, 1, 1, None), (3, 0, 4, 4, 0, 0, None), (3, 1, 4, 4, None, None, None)], SPANS)
+    shape = spark.createDataFrame([(1, 2, 2), (2, 1, 1)], "doc_id long, n_rows int, n_cols int")
+    found = {(r.doc_id, r.span_id): (r.in_bounds, r.overlapping) for r in sp.span_findings(spans, shape).collect()}
+    assert found == {(1, 0): (False, True), (1, 1): (False, True), (1, 2): (False, True), (1, 3): (False, False), (2, 0): (True, False), (3, 0): (False, True), (3, 1): (False, True)}
+
+
 def test_absurd_spans(spark):
     spans = spark.createDataFrame([(1, 0, 0, 0, FAR, 1, None), (1, 1, 0, 0, 1, 2, None), (1, 2, 0, 1, 2, 1, None), (1, 3, FAR, FAR, 1, 1, None), (1, 4, -1, 0, 2, 1, None), (2, 0, 0, 0, 1, FAR, None)], SPANS)
     shape = spark.createDataFrame([(1, 2, 2)], "doc_id long, n_rows int, n_cols int")
