@@ -13,6 +13,7 @@ from gridloom.operators import sampling as sm
 from gridloom.operators import spans as sp
 from gridloom.operators import tokens as tk
 from gridloom.operators.grid import rectangularize
+from gridloom.plans import gates
 from gridloom.sources import readers as rd
 from gridloom.sources import writers as wr
 
@@ -234,3 +235,13 @@ def test_manifest_of_any_fields(spark, tmp_path):
     assert sorted((r.id, r.note or "") for r in back) == [(k, (v or "").replace("\r\n", "\n")) for k, v in rows]
     assert all(f.read_bytes().startswith(b'\xef\xbb\xbf"id","note"\r\n') for f in (tmp_path / "m" / "csv").glob("part-*") if f.stat().st_size)
     assert wr.write_manifest(df.where("false"), str(tmp_path / "none")) == 0
+
+
+# Documents of the fixtures --------------------------------------------------------------------------------------
+
+
+def test_documents_are_gathered_where_their_rows_lie(spark, data):
+    """One exchange and one sort, of the table's rows; none of the JSON made of them."""
+    plan = gates._raw(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) == 1 and len(re.findall(r"\bSort \[", plan)) == 1
+    assert "Join" not in plan and "Aggregate" not in plan
