@@ -161,15 +161,19 @@ def pick_evenly(rows: DataFrame, n: int, order: str) -> DataFrame:
     return numbered(rows, "pos", order).join(F.broadcast(picks), "pos").drop("pos")
 
 
+def csv_fields(csv: Column) -> Column:
+    """The rows of fields of a CSV text as L1 writes it, without its review note."""
+    inner = lambda f: F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    field = lambda f: F.when(F.startswith(f, F.lit('"')), inner(f)).otherwise(f)
+    fields = lambda record: F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD), F.lit(1)), field)
+    return F.transform(F.regexp_extract_all(F.regexp_replace(csv, "^\ufeff", ""), F.lit(RECORD), F.lit(1)), fields)
+
+
 def parse_csv_texts(texts: DataFrame) -> DataFrame:
     """doc_id, row_idx, col_idx, text of CSV texts (doc_id, csv) as L1 writes them, without its review note. Line
     breaks, commas and quotes within quotes belong to the text."""
-    body = F.regexp_replace("csv", "^\ufeff", "")
-    records = texts.select("doc_id", F.posexplode(F.regexp_extract_all(body, F.lit(RECORD), F.lit(1))).alias("row_idx", "record"))
-    listed = F.regexp_extract_all(F.concat(F.lit(","), "record"), F.lit(FIELD), F.lit(1))
-    fields = records.select("doc_id", "row_idx", F.posexplode(listed).alias("col_idx", "field"))
-    inner = F.replace(F.col("field").substr(F.lit(2), F.length("field") - 2), F.lit('""'), F.lit('"'))
-    return fields.select("doc_id", "row_idx", "col_idx", F.when(F.startswith(F.col("field"), F.lit('"')), inner).otherwise(F.col("field")).alias("text"))
+    records = texts.select("doc_id", F.posexplode(csv_fields(F.col("csv"))).alias("row_idx", "fields"))
+    return records.select("doc_id", "row_idx", F.posexplode("fields").alias("col_idx", "text"))
 
 
 def _below(root: str) -> Column:

@@ -9,7 +9,7 @@ from ..functions.text import csv_guard, csv_quote, display_width
 from ..operators.grid import DOC, rectangularize, unicode_trim
 from ..operators.review import pending_labels
 from .folders import stored
-from .readers import parse_csv_texts
+from .readers import csv_fields
 
 BOM, CRLF = "\ufeff", "\r\n"
 
@@ -19,18 +19,30 @@ def exportable(cells: DataFrame) -> DataFrame:
     return cells.groupBy(DOC).agg(F.bool_or(unicode_trim(F.col("text")) != "").alias("some")).where("some").select(DOC)
 
 
+def _documents(cells: DataFrame) -> DataFrame:
+    """doc_id, rows: (row_idx, fields: (col_idx, f)) of the padded grid with its guards, of documents with some text. All is
+    gathered where the document lies."""
+    guarded = F.struct("col_idx", csv_guard(F.col("text")).alias("f"))
+    filled = F.bool_or(unicode_trim(F.col("text")) != "").alias("some")
+    lines = rectangularize(cells).groupBy(DOC, "row_idx").agg(F.sort_array(F.collect_list(guarded)).alias("fields"), filled)
+    docs = lines.groupBy(DOC).agg(F.sort_array(F.collect_list(F.struct("row_idx", "fields"))).alias("rows"), F.bool_or("some").alias("some"))
+    return docs.where("some").drop("some")
+
+
+def _with_csv(docs: DataFrame) -> DataFrame:
+    line = lambda r: F.array_join(F.transform(r["fields"], lambda x: csv_quote(x["f"])), ",")
+    return docs.withColumn("csv", F.concat(F.lit(BOM), F.array_join(F.transform("rows", line), CRLF), F.lit(CRLF)))
+
+
 def csv_texts(cells: DataFrame) -> DataFrame:
     """L1: doc_id, csv: guarded, quoted fields, CRLF lines after a byte order mark; documents without text have none.
 
     Where cells have needs_review, a last record ``# review: R1C1 ...`` names the flagged ones."""
-    full = rectangularize(cells).join(exportable(cells), DOC, "left_semi")
-    lines = full.groupBy(DOC, "row_idx").agg(F.sort_array(F.collect_list(F.struct("col_idx", csv_quote(csv_guard(F.col("text"))).alias("f")))).alias("fields"))
-    joined = lines.groupBy(DOC).agg(F.sort_array(F.collect_list(F.struct("row_idx", F.array_join(F.col("fields.f"), ",").alias("line")))).alias("lines"))
-    text = F.concat(F.lit(BOM), F.array_join(F.col("lines.line"), CRLF), F.lit(CRLF))
+    csv = _with_csv(_documents(cells)).select(DOC, "csv")
     if "needs_review" not in cells.columns:
-        return joined.select(DOC, text.alias("csv"))
+        return csv
     note = F.when(F.size("labels") > 0, F.concat(F.lit("# review: "), F.array_join("labels", " "), F.lit(CRLF))).otherwise("")
-    return joined.join(pending_labels(cells), DOC, "left").select(DOC, F.concat(text, F.coalesce(note, F.lit(""))).alias("csv"))
+    return csv.join(pending_labels(cells), DOC, "left").select(DOC, F.concat("csv", F.coalesce(note, F.lit(""))).alias("csv"))
 
 
 def csv_texts_plain(cells: DataFrame) -> DataFrame:
@@ -60,25 +72,30 @@ def sheet_frame(cells: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _read_back(cells: DataFrame, path: str) -> DataFrame:
-    """Places with the text wanted and the one got from L1's CSV texts, written as a table at ``path``."""
+    """doc_id, rows (wanted, as of ``_documents``) and got (rows of fields) of L1's CSV texts, written as a table at ``path``,
+    and csv_ok: as wanted, in the places wanted. Both sides of a document meet in one row."""
     plain = cells.select(DOC, "row_idx", "col_idx", "text")
-    csv_texts(plain).write.mode("errorifexists").parquet(path)
-    got = parse_csv_texts(cells.sparkSession.read.parquet(path)).withColumnRenamed("text", "got")
-    full = rectangularize(plain).join(exportable(plain), DOC, "left_semi")
-    want = full.select(DOC, "row_idx", "col_idx", csv_guard(F.col("text")).alias("want"))
-    return want.join(got, [DOC, "row_idx", "col_idx"], "full_outer")
+    _with_csv(_documents(plain)).select(DOC, "csv").write.mode("errorifexists").parquet(path)
+    read = cells.sparkSession.read.parquet(path).select(DOC, csv_fields(F.col("csv")).alias("got"))
+    met = _documents(plain).join(read, DOC, "full_outer")
+    in_place = ~F.exists(F.transform("rows", lambda r, i: (r["row_idx"] != i) | F.exists(F.transform(r["fields"], lambda x, j: x["col_idx"] != j), lambda x: x)), lambda x: x)
+    same = F.transform("rows", lambda r: r["fields"]["f"]) == F.col("got")
+    return met.withColumn("csv_ok", F.coalesce(in_place & same, F.lit(False)))
 
 
 def roundtrip_differences(cells: DataFrame, path: str) -> DataFrame:
     """doc_id, row_idx, col_idx, want, got where the CSV that was delivered doesn't read as the padded grid with
     its guards. The CSV texts of L1 are written to ``path`` as a table of one text a document, and read from there."""
-    return _read_back(cells, path).where(~F.col("want").eqNullSafe(F.col("got")))
+    wrong = _read_back(cells, path).where(~F.col("csv_ok"))
+    want = wrong.select(DOC, F.inline("rows")).select(DOC, "row_idx", F.inline("fields")).withColumnRenamed("f", "want")
+    got = wrong.select(DOC, F.posexplode("got").alias("row_idx", "g")).select(DOC, "row_idx", F.posexplode("g").alias("col_idx", "got"))
+    return want.join(got, [DOC, "row_idx", "col_idx"], "full_outer").where(~F.col("want").eqNullSafe(F.col("got")))
 
 
 def roundtrip_check(cells: DataFrame, path: str) -> DataFrame:
     """doc_id, n_cells, csv_ok (no differences) of each document that has a CSV."""
-    same = F.col("want").eqNullSafe(F.col("got"))
-    return _read_back(cells, path).groupBy(DOC).agg(F.count("want").alias("n_cells"), F.bool_and(same).alias("csv_ok"))
+    n_cells = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.size(r["fields"]))
+    return _read_back(cells, path).select(DOC, F.coalesce(n_cells, F.lit(0)).alias("n_cells"), "csv_ok")
 
 
 def write_summary(records: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from gridloom.operators import spans as sp
 from gridloom.operators import tokens as tk
 from gridloom.operators.grid import rectangularize
 from gridloom.plans import gates
+from gridloom.plans.fixtures import cells_actual
 from gridloom.sources import readers as rd
 from gridloom.sources import writers as wr
 
@@ -245,3 +246,26 @@ def test_documents_are_gathered_where_their_rows_lie(spark, data):
     plan = gates._raw(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\bExchange ", plan)) == 1 and len(re.findall(r"\bSort \[", plan)) == 1
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_padding_and_csv_shuffle_no_places(spark, data, tmp_path):
+    """Cells that lie by document are padded, gathered and read back there: two exchanges, of the table's rows and of the
+    texts read back."""
+    cells = cells_actual(spark, data).drop("h", "confidence")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    padded = plan(rectangularize(cells))
+    assert len(re.findall(r"\bExchange ", padded)) == 1 and "Join" not in padded
+    assert len(re.findall(r"Exchange ", plan(wr.roundtrip_check(cells, str(tmp_path / "csv"))))) <= 2
+
+
+def test_padding_keeps_repeats_and_fills_every_gap(spark):
+    cells = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 1, "b"), (1, 3, 0, None), (2, 0, 2, "c"), (3, 0, 0, "d")], CELLS)
+    found = sorted(tuple(r) for r in rectangularize(cells).collect())
+    want = [(1, r, c, "") for r in range(4) for c in range(2) if (r, c) != (1, 1)] + [(1, 1, 1, "a"), (1, 1, 1, "b"), (2, 0, 0, ""), (2, 0, 1, ""), (2, 0, 2, "c"), (3, 0, 0, "d")]
+    assert found == sorted(want)
+
+
+def test_roundtrip_of_far_places(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 0, "a,\r\n"), (1, 1, 1, '"'), (2, 0, 0, "a"), (2, FAR, 1, "b"), (3, 0, 0, " ")], CELLS)
+    assert sorted(tuple(r) for r in wr.roundtrip_check(cells, str(tmp_path / "a")).collect()) == [(1, 4, True), (2, 2, False)]
+    assert sorted(tuple(r) for r in wr.roundtrip_differences(cells, str(tmp_path / "b")).collect()) == [(2, 1, 0, None, "b"), (2, FAR, 1, "b", None)]
