@@ -13,7 +13,7 @@ from gridloom.operators import sampling as sm
 from gridloom.operators import spans as sp
 from gridloom.operators import tokens as tk
 from gridloom.operators.grid import rectangularize
-from gridloom.plans import gates
+from gridloom.plans import fixtures, gates
 from gridloom.plans.fixtures import cells_actual
 from gridloom.sources import readers as rd
 from gridloom.sources import writers as wr
@@ -269,3 +269,15 @@ def test_roundtrip_of_far_places(spark, tmp_path):
     cells = spark.createDataFrame([(1, 0, 0, "a,\r\n"), (1, 1, 1, '"'), (2, 0, 0, "a"), (2, FAR, 1, "b"), (3, 0, 0, " ")], CELLS)
     assert sorted(tuple(r) for r in wr.roundtrip_check(cells, str(tmp_path / "a")).collect()) == [(1, 4, True), (2, 2, False)]
     assert sorted(tuple(r) for r in wr.roundtrip_differences(cells, str(tmp_path / "b")).collect()) == [(2, 1, 0, None, "b"), (2, FAR, 1, "b", None)]
+
+
+def test_partitions_follow_the_table(spark, data, monkeypatch):
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", rows // 10)
+    assert fixtures.cells_truth(spark, data).rdd.getNumPartitions() >= 10
+
+
+def test_both_sides_of_a_place_meet_where_the_document_lies(spark, data):
+    found = ev.mismatches(fixtures.cells_truth(spark, data), cells_actual(spark, data))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and len(re.findall(r"\bExchange ", plan)) == 2
