@@ -13,7 +13,7 @@ from gridloom.operators import sampling as sm
 from gridloom.operators import spans as sp
 from gridloom.operators import tokens as tk
 from gridloom.operators.grid import rectangularize
-from gridloom.plans import fixtures, gates
+from gridloom.plans import fixtures, gates, registry
 from gridloom.plans.fixtures import cells_actual
 from gridloom.sources import readers as rd
 from gridloom.sources import writers as wr
@@ -281,3 +281,8 @@ def test_both_sides_of_a_place_meet_where_the_document_lies(spark, data):
     found = ev.mismatches(fixtures.cells_truth(spark, data), cells_actual(spark, data))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and len(re.findall(r"\bExchange ", plan)) == 2
+
+
+def test_pages_are_gathered_where_their_rows_lie(spark, data):
+    plan = registry.QUERIES["a4_html_tables"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and len(re.findall(r"\bSort \[", plan)) == 1
