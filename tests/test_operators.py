@@ -20,6 +20,7 @@ from gridloom.operators import spans as sp
 from gridloom.operators import structure as st
 from gridloom.operators import tokens as tk
 from gridloom.operators.evaluate import mismatch_kind
+from gridloom.plans import fixtures as fx
 from gridloom.plans.documents import REQUESTS
 from gridloom.sources import readers as rd
 from gridloom.sources import writers as wr
@@ -401,6 +402,26 @@ def test_similarity_of_long_and_empty_texts(spark):
     assert [r.s for r in found] == want
 
 
+def test_similarity_of_short_texts_and_edits(spark):
+    """Texts that are searched block by block against difflib, and distances within and beyond the band."""
+    rng = random.Random(3)
+    pairs = []
+    for n in range(600):
+        letters = "abcdefgh 01"[: rng.randint(1, 11)]
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 230)))
+        b = [c for c in a if rng.random() < 0.95 - n % 4 * 0.2]
+        pairs.append((a, "".join(b + [rng.choice(letters)] * rng.randint(0, 3)) if n % 7 else a))
+    both = spark.createDataFrame(pairs, "a string, b string")
+    found = both.select("a", "b", ev.sequence_similarity("a", "b").alias("s"), ev.edits("a", "b").alias("few"), F.levenshtein("a", "b").alias("all")).collect()
+    assert all(r.s == SequenceMatcher(None, r.a, r.b).ratio() and r.few == r["all"] for r in found)
+
+
+def test_texts_of_documents_are_their_cells(spark, data):
+    side = lambda f, n: f.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_idx", "col_idx", "text"))).alias("c")).select("doc_id", F.array_join("c.text", " ").alias(n))
+    want = side(fx.cells_truth(spark, data), "a").join(side(fx.cells_actual(spark, data), "b"), "doc_id")
+    assert sorted(map(tuple, fx.texts_of_documents(spark, data).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_numbers_and_folding(spark):
     assert column(spark, ["12kilo 5kg 7 3units", "v12 -3.5% x.7", "1,234.5abc٣ 4"], tx.numeric_tokens) == [["12kilo", "5kg", "7", "3units"], ["-3.5%"], ["1,234.5abc", "4"]]
     texts = ["Straße", "ΑΣ ας", "ﬁne ı I İ", "ſ µ", None]
