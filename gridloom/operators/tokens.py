@@ -200,16 +200,16 @@ def split_fused_headers(cells: DataFrame, scan: int = 3) -> DataFrame:
 def group_without_rules(tokens: DataFrame, row_gap: float = 12.0, col_gap: float = 30.0) -> DataFrame:
     """Rows by gaps in y and columns by gaps in x over a document's tokens; rows at the end that have fewer than
     two columns after rows with more are notes and go."""
-    t = with_box(well_formed(tokens))
-
-    def islands(frame: DataFrame, at: str, gap: float, name: str) -> DataFrame:
-        w = W.partitionBy(DOC).orderBy(at, "token_id")
-        return frame.withColumn("__n", F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(0))).withColumn(name, F.sum("__n").over(w).cast("int")).drop("__n")
-
-    t = islands(islands(t, "cy", row_gap, "row_idx"), "left", col_gap, "col_idx")
-    width = t.groupBy(DOC, "row_idx").agg(F.count_distinct("col_idx").alias("wide"))
-    last = width.groupBy(DOC).agg(F.max(F.when(F.col("wide") >= 2, F.col("row_idx"))).alias("last"))
-    return t.join(last, DOC).where("row_idx <= last").select(DOC, "token_id", "row_idx", "col_idx", "text", "score", "cx")
+    t = with_box(well_formed(tokens)).where(F.col(DOC).isNotNull()).select(DOC, "token_id", "text", "score", "left", "cx", "cy")
+    far = lambda at, gap, w: F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("int"), F.lit(0))
+    across, down = (W.partitionBy(DOC).orderBy(at, "token_id") for at in ("left", "cy"))
+    t = t.withColumn("__n", far("left", col_gap, across)).withColumn("col_idx", F.sum("__n").over(across).cast("int"))
+    # a row has two columns where some token of it stands in another one than the token before
+    t = t.withColumns({"__n": far("cy", row_gap, down), "__before": F.lag("col_idx").over(down)})
+    t = t.withColumn("row_idx", F.sum("__n").over(down).cast("int"))
+    wide = (F.col("__n") == 0) & (F.col("__before") != F.col("col_idx"))
+    t = t.withColumn("last", F.max(F.when(wide, F.col("row_idx"))).over(W.partitionBy(DOC)))
+    return t.where("row_idx <= last").select(DOC, "token_id", "row_idx", "col_idx", "text", "score", "cx")
 
 
 def regular_grid(placed: DataFrame, tolerance: float = 15.0) -> DataFrame:

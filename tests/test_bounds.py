@@ -286,3 +286,13 @@ def test_both_sides_of_a_place_meet_where_the_document_lies(spark, data):
 def test_pages_are_gathered_where_their_rows_lie(spark, data):
     plan = registry.QUERIES["a4_html_tables"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and len(re.findall(r"\bSort \[", plan)) == 1
+
+
+def test_grouping_without_rules_reads_tokens_once(spark):
+    """Two rows of two columns, then a note in one; a document of one column has no rows that stay."""
+    at = [(1, 0, 0.0, 0.0), (1, 1, 100.0, 1.0), (1, 2, 2.0, 20.0), (1, 3, 101.0, 21.0), (1, 4, 0.0, 50.0), (2, 0, 0.0, 0.0), (2, 1, 1.0, 40.0)]
+    rows = [(d, i, [(x, y), (x + 9, y), (x + 9, y + 8), (x, y + 8)], "a", 0.9) for d, i, x, y in at]
+    tokens = spark.createDataFrame(rows, "doc_id long, token_id long, points array<struct<x:double,y:double>>, text string, score double")
+    found = tk.group_without_rules(tokens)
+    assert sorted((r.doc_id, r.token_id, r.row_idx, r.col_idx) for r in found.collect()) == [(1, 0, 0, 0), (1, 1, 0, 1), (1, 2, 1, 0), (1, 3, 1, 1)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
