@@ -14,11 +14,13 @@ from .review import has_type_suffix
 def normalize_axis(axis: DataFrame) -> DataFrame:
     """B2: rounded positions that rise above all before them; none of an axis with a value that is no number."""
     n = F.when(~has_type_suffix(F.col("pos")), F.col("pos").try_cast("double"))
-    w = W.partitionBy(DOC, "axis")
-    judged = axis.withColumns({"value": F.rint(n), "bad": F.max((n.isNull() | n.isNaN()).cast("int")).over(w)})
-    top = F.max("value").over(w.orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
-    kept = judged.where("bad = 0").withColumn("top", top).where("top is null or value > top")
-    return kept.select(DOC, "axis", (F.row_number().over(w.orderBy("idx")) - 1).alias("idx"), F.col("value").cast("long").alias("pos"))
+    w = W.partitionBy(DOC, "axis").orderBy("idx")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    valued = axis.withColumn("value", F.rint(n))
+    bad, top = F.max((F.col("value").isNull() | F.isnan("value")).cast("int")).over(whole), F.max("value").over(w.rowsBetween(W.unboundedPreceding, -1))
+    kept = valued.select(DOC, "axis", "idx", "value", bad.alias("bad"), top.alias("top"))
+    kept = kept.where("bad = 0 and (top is null or value > top)")
+    return kept.select(DOC, "axis", (F.row_number().over(w) - 1).alias("idx"), F.col("value").cast("long").alias("pos"))
 
 
 def axis_arrays(axis: DataFrame) -> DataFrame:
@@ -46,6 +48,18 @@ def in_frame(left: Column, right: Column, top: Column, bottom: Column, rows: Col
     return (part(left, right, cols) >= share) & (part(top, bottom, rows) >= share)
 
 
+def _mean(values: str) -> Column:
+    """Mean of an array, null where one is null or there is none. Boxes of four points take no loop, which Spark interprets."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    four = F.lit(0.0) + F.get(values, 0) + F.get(values, 1) + F.get(values, 2) + F.get(values, 3)
+    return F.when(F.size(values) == 4, four / 4).when(F.size(values) > 0, total / F.size(values))
+
+
+def _beside(boundaries: Column, slot: Column, a: Column, b: Column) -> Column:
+    """Whether a boundary, of rising ones, may lie between ``a`` and ``b``, whose middle lies in ``slot``."""
+    return (F.get(boundaries, slot) > a) | (F.get(boundaries, slot + 1) < b)
+
+
 def slot_of(boundaries: Column, at: Column) -> Column:
     """Index of the interval, closed on its left, that ``at`` lies in; -1 before the first."""
     return F.size(F.filter(boundaries, lambda b: b <= at)) - 1
@@ -90,9 +104,20 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
     nothing stands there: no token, and no number of an earlier one. Tokens come by token_id; rows that repeat one are
     treated alike."""
     c = F.col
-    t = with_box(well_formed(tokens)).withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).join(axes, DOC).where("size(rows) > 1 and size(cols) > 1")
-    t = t.where(in_frame(c("left"), c("right"), c("top"), c("bottom"), c("rows"), c("cols")))
-    t = t.withColumns({"n_rows": F.size("rows") - 1, "n_cols": F.size("cols") - 1, "row": slot_of(c("rows"), c("cy")), "col": slot_of(c("cols"), c("cx")), "xs": crossed_columns(c("cols"), c("left"), c("right")), "ys": crossed(c("rows"), c("top"), c("bottom"))})
+    # Nothing is filtered before the pieces: a filter would be pushed down, and compute what it asks of once more. The
+    # hint keeps axes of many documents from being broadcast, as their size is guessed from the few bytes read for them.
+    t = tokens.join(axes.where("size(rows) > 1 and size(cols) > 1").hint("shuffle_hash"), DOC)
+    t = t.select(DOC, "token_id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text"), "score", "rows", "cols", c("points.x").alias("px"), c("points.y").alias("py"))
+    t = t.withColumns({"left": F.array_min("px"), "right": F.array_max("px"), "top": F.array_min("py"), "bottom": F.array_max("py"), "cx": _mean("px"), "cy": _mean("py")})
+    # a null point makes the mean null, and NaN is above all numbers
+    inf = float("inf")
+    finite = c("cx").isNotNull() & c("cy").isNotNull() & (c("left") > -inf) & (c("top") > -inf) & (c("right") < inf) & (c("bottom") < inf)
+    here = F.coalesce(F.when(finite, in_frame(c("left"), c("right"), c("top"), c("bottom"), c("rows"), c("cols"))), F.lit(False))
+    t = t.withColumn("here", here).drop("px", "py")
+    t = t.withColumns({"row": F.when(c("here"), slot_of(c("rows"), c("cy"))), "col": F.when(c("here"), slot_of(c("cols"), c("cx")))})
+    none = F.array().cast("array<int>")
+    t = t.withColumns({"n_rows": F.size("rows") - 1, "n_cols": F.size("cols") - 1, "xs": F.when(_beside(c("cols"), c("col"), c("left"), c("right")), crossed_columns(c("cols"), c("left"), c("right"))).otherwise(none), "ys": F.when(_beside(c("rows"), c("row"), c("top"), c("bottom")), crossed(c("rows"), c("top"), c("bottom"))).otherwise(none)})
+    t = t.withColumn("crossing", (F.size("xs") > 0) | (F.size("ys") > 0))
     line = F.get("cols", F.get("xs", 0))
     ratio = (line - c("left")) / F.nullif(c("right") - c("left"), F.lit(0.0))
     one_line = (F.size("xs") == 1) & (c("text") != "") & (c("right") - c("left") > 1)
@@ -114,7 +139,7 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
     # The top row for boxes of 1.25 typical rows and more.
     pitches = F.sort_array(F.transform(F.sequence(F.lit(0), c("n_rows") - 1), lambda i: F.get("rows", i + 1) - F.get("rows", i)))
     pitch = (F.get(pitches, ((c("n_rows") - 1) / 2).cast("int")) + F.get(pitches, (c("n_rows") / 2).cast("int"))) / 2
-    t = t.withColumns({"down": F.when(F.size("ys") > 0, down), "row": F.when((F.size("ys") > 0) & (height >= pitch * 1.25), F.get("ys", 0) - 1).otherwise(c("row"))})
+    t = t.withColumns({"down": F.when(F.size("ys") > 0, down), "row": F.when(F.size("ys") > 0, F.when(height >= pitch * 1.25, F.get("ys", 0) - 1).otherwise(c("row"))).otherwise(c("row"))})
     in_row = c("row").between(0, c("n_rows") - 1)
 
     rows_down = F.transform(F.sequence(F.lit(0), F.size("down") - 1), lambda i: _piece(F.get("ys", 0) - 1 + i, c("col"), c("cx"), (F.get("rows", F.get("ys", 0) - 1 + i) + F.get("rows", F.get("ys", 0) + i)) * 0.5, F.get("down", i), c("score")))
@@ -125,17 +150,21 @@ def place_tokens(tokens: DataFrame, axes: DataFrame) -> DataFrame:
     first = F.array_min(F.filter(F.sequence(F.lit(0), c("n_cols") - 1), lambda i: (c("right") > F.get("cols", i)) & (c("left") < F.get("cols", i + 1))))
     kept = _piece(c("row"), first, c("left"), c("cy"), c("text"), F.when((c("row") == 0) & (F.size("xs") >= 2), c("score")).otherwise(F.lit(-1.0)))
     plain = _piece(c("row"), c("col"), c("cx"), c("cy"), c("text"), c("score"), True)
-    pieces = (
+    alone = F.when(in_row & c("col").between(0, c("n_cols") - 1), F.array(plain))
+    # most tokens cross no line, and nothing else is computed of them
+    pieces = F.when(
+        c("crossing"),
         F.when(c("down").isNotNull(), rows_down)
         .when(c("cut").isNotNull() & in_row & (left != "") & (right != ""), across)
         .when((F.size("xs") > 0) & (c("text") != "") & in_row & first.isNotNull(), F.array(kept))
-        .when(in_row & c("col").between(0, c("n_cols") - 1), F.array(plain))
-    )
-    placed = t.select(DOC, "token_id", "cols", F.posexplode(pieces).alias("part", "p")).select(DOC, "token_id", "part", "cols", "p.*")
+        .otherwise(alone),
+    ).otherwise(alone)
+    placed = t.select(DOC, "token_id", "cols", pieces.alias("pieces")).select(DOC, "token_id", "cols", F.posexplode_outer("pieces").alias("part", "p"))
+    placed = placed.where("p is not null").select(DOC, "token_id", "part", "cols", "p.*")
 
     # Only the first fused token of a cell can find the cell on its left empty, as its number stands there then.
     pair = r"(?i)^([+-]?\d+\.\d{2})(\d+(?:\.\d+)?\s*[kMGT]?S/s)$"
-    row = W.partitionBy(DOC, "row_idx").orderBy("col_idx")
+    row = W.partitionBy(DOC).orderBy(F.shiftleft(c("row_idx").cast("long"), 32) + c("col_idx"))
     fused = c("whole") & c("text").rlike(pair) & (c("col_idx") > 0)
     before = F.min("token_id").over(row.rangeBetween(-1, -1))
     first_here = F.min(F.when(c("fused"), c("token_id"))).over(row.rangeBetween(0, 0))

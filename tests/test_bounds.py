@@ -296,3 +296,29 @@ def test_grouping_without_rules_reads_tokens_once(spark):
     found = tk.group_without_rules(tokens)
     assert sorted((r.doc_id, r.token_id, r.row_idx, r.col_idx) for r in found.collect()) == [(1, 0, 0, 0), (1, 1, 0, 1), (1, 2, 1, 0), (1, 3, 1, 1)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_meet_axes_by_document(spark, data):
+    from __spark_entry__ import queries
+
+    placed = queries()["b4_b11_place_tokens"](spark, data)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    # axes are gathered in one pass, and are neither broadcast nor dealt again
+    assert "Broadcast" not in plan and plan.count("FileScan") == 2 and plan.count("Exchange") == 2
+    # nothing asks for the pieces of a token before they are made
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("posexplode(pieces") == 1 and "size(CASE" not in plan
+
+
+def test_boxes_of_other_points_than_four(spark):
+    from gridloom.operators import tokens as tk
+
+    nan, inf = float("nan"), float("inf")
+    points = [
+        [(10.0, 2.0), (40.0, 9.0), (25.0, 4.0)], [(110.0, 2.0), (150.0, 2.0), (150.0, 8.0), (110.0, 8.0), (130.0, 5.0)], [(10.0, 2.0), None, (20.0, 8.0), (20.0, 2.0)], [(10.0, None)] * 4,
+        [(nan, 2.0)] * 4, [(inf, 2.0)] * 4, [(10.0, -inf)] * 3, [], None, [(150.0, 22.0), (160.0, 30.0)],
+    ]
+    rows = [(1, k, p, f" t{k} ", 0.5) for k, p in enumerate(points)]
+    tokens = spark.createDataFrame(rows, "doc_id long, token_id long, points array<struct<x:double,y:double>>, text string, score double")
+    axes = spark.createDataFrame([(1, [0, 20, 40], [0, 100, 200])], "doc_id long, rows array<bigint>, cols array<bigint>")
+    found = {(r.token_id, r.row_idx, r.col_idx, r.x, r.y, r.text) for r in tk.place_tokens(tokens, axes).collect()}
+    assert found == {(0, 0, 0, 25.0, 5.0, "t0"), (1, 0, 1, 130.0, 5.0, "t1"), (9, 1, 1, 155.0, 26.0, "t9")}
