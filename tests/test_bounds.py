@@ -309,6 +309,14 @@ def test_tokens_meet_axes_by_document(spark, data):
     assert placed._jdf.queryExecution().optimizedPlan().toString().count("posexplode(pieces") == 1 and "size(CASE" not in plan
 
 
+def test_plain_tokens_meet_by_document(spark, data):
+    from __spark_entry__ import queries
+
+    plan = queries()["b3_place_plain_tokens"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # lineitem is dealt by document for tokens, axes and the list of plain ones; placed tokens aren't dealt again
+    assert "Broadcast" not in plan and plan.count("Exchange") == 3
+
+
 def test_boxes_of_other_points_than_four(spark):
     from gridloom.operators import tokens as tk
 
