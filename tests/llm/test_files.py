@@ -264,6 +264,28 @@ def test_recall_against_all_pairs_of_descriptors():
     assert (met == ((apart <= media.NEAR) & around)).all()
 
 
+def test_few_pictures_are_compared_in_full(monkeypatch):
+    """Unrelated pictures are told apart before all their descriptors are compared. What is found is found by comparing every
+    picture with every other in full too, and next to nothing of that is lost."""
+    n, real = 90, pictures(90)
+    copies = np.stack([media.edited(p, k % media.KINDS, k) for k, p in enumerate(real)])
+    packed = lambda d: [media.packed_places(d)[d["picture"] == k].tobytes() for k in range(n)]
+    block, copied = media.Block(list(range(n)), packed(media.descriptors(real))), packed(media.descriptors(copies))
+    places = np.frombuffer(b"".join(copied), media._PLACE)
+    owner = np.repeat(np.arange(n), [len(p) // media._PLACE.itemsize for p in copied])
+    i, j = block.matches(np.ascontiguousarray(places["bits"]))
+    assert len(np.unique(owner[i] * n + block.owner[j])) > 0.9 * n * n  # nearly any two have a match
+    whole = media.agreed(owner[i] * n + block.owner[j], places[i], block.places[j])
+    want = {(p % n, 1000 + p // n, a, t) for p, a, t in zip(whole["pair"], whole["agreeing"], whole["turn"], strict=True)}
+    asked, compare = [], media.Block.matches
+    monkeypatch.setattr(media.Block, "matches", lambda self, bits, spans: asked.append(len(spans)) or compare(self, bits, spans))
+    found = media.copies_in(block, np.arange(1000, 1000 + n), copied)
+    got = set(zip(found["query_id"], found["match_id"], found["agreeing"], found["turn"], strict=True))
+    print("found", len(got), "of", len(want), "compared", sum(asked))
+    assert got <= want and len(got) >= 0.97 * len(want) > 0.9 * n
+    assert n * 0.9 < sum(asked) < 0.05 * n * n
+
+
 def found_of(spark, edit):
     """How many copies, one of each of 40 pictures made by ``edit``, are found; and what else is."""
     real = pictures(40)
