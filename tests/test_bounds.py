@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from gridloom.functions import text as tx
 from gridloom.operators import consensus as cs
 from gridloom.operators import evaluate as ev
+from gridloom.operators import gate as gt
 from gridloom.operators import review as rv
 from gridloom.operators import sampling as sm
 from gridloom.operators import spans as sp
 from gridloom.operators import tokens as tk
-from gridloom.operators.grid import rectangularize
+from gridloom.operators.grid import WHITE_SPACE, rectangularize, unicode_trim
 from gridloom.plans import fixtures, gates, registry
 from gridloom.plans.fixtures import cells_actual
 from gridloom.sources import readers as rd
@@ -348,3 +349,26 @@ def test_demoting_reads_readings_once(spark, data):
     once = cs.confirmed_consensus(counted)
     assert rows(once.where("confirm is not null").select(*flags.columns)) == rows(flags)
     assert rows(cs.demoted(once)) == rows(cs.demote(won, flags).select(*won.columns))
+
+
+def test_messages_read_cells_once(spark, data):
+    plan = registry.QUERIES["i12_render_messages"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan
+    rows = [(1, 1, 0, True), (1, 0, 11, True), (1, 0, 2, True), (1, 0, 0, False), (2, 0, 0, False), (3, 0, 0, None), (4, 0, 0, True), (4, 0, 0, True)]
+    cells = spark.createDataFrame(rows, "doc_id long, row_idx int, col_idx int, needs_review boolean")
+    docs = spark.createDataFrame([(k, ["review: R9C9"] + ["low"] * (k % 2), True) for k in range(1, 5)], "doc_id long, reasons array<string>, publication_blocked boolean")
+    shown = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert shown(gt.with_messages(docs.join(rv.labels_of_documents(cells), "doc_id"))) == shown(gt.render_messages(docs, rv.pending_labels(cells)))
+
+
+def test_white_space_of_any_script(spark):
+    """What is trimmed is what a regular expression takes for white space, of all characters."""
+    every = spark.range(0x110000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    found = every.where(F.col("c").rlike(r"(?U)^\s$")).collect()
+    assert sorted(r.c for r in found) == sorted(WHITE_SPACE)
+    odd = spark.createDataFrame([(" \u3000a b\n\u2028",), ("\x1c",), ("",), (None,), ("\u200b ",), ("\ufeff",)], "t string")
+    assert odd.where(~unicode_trim(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    # of a number, that it isn't written like a literal is known by its type
+    kinds = spark.createDataFrame([(0.77, "0.77f")], "c double, t string")
+    assert "0-9" not in kinds.select(rv.is_sentinel(F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert kinds.select(rv.is_sentinel(F.col("c")), rv.is_sentinel(F.col("t"))).first() == (True, False)
