@@ -69,9 +69,11 @@ def significant_digits(number: Column) -> Column:
 def needs_guard(text: Column) -> Column:
     """Whether a spreadsheet would run the text as a formula, or change it as a number."""
     mantissa = F.regexp_replace(F.regexp_replace(text, "^[+-]|%$", ""), "[eE].*$", "")
-    faithful = text.rlike(FAITHFUL) & (significant_digits(mantissa) <= SIGNIFICANT)
+    # digits are only counted where there may be too many
+    short = F.length(text) <= SIGNIFICANT
+    faithful = text.rlike(FAITHFUL) & (short | (significant_digits(mantissa) <= SIGNIFICANT))
     plain = text.rlike(r"^(\d+\.?\d*|\.\d+)$")
-    altered = plain & ((significant_digits(text) > SIGNIFICANT) | (text.startswith("0") & ~text.contains(".")))
+    altered = plain & ((~short & (significant_digits(text) > SIGNIFICANT)) | (text.startswith("0") & ~text.contains(".")))
     formula = text.rlike(r"^[=@\t\r\n]")
     return F.when(F.length(text) <= 1, False).when(formula, True).when(text.rlike("^[+-]"), ~faithful).otherwise(altered)
 

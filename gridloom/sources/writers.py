@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_guard, csv_quote, display_width
-from ..operators.grid import DOC, rectangularize, unicode_trim
-from ..operators.review import pending_labels
+from ..operators.grid import DOC, MAX_SLOTS, let, rectangularize, unicode_trim
+from ..operators.review import cell_label
 from .folders import stored
 from .readers import csv_fields
 
@@ -29,20 +29,39 @@ def _documents(cells: DataFrame) -> DataFrame:
     return docs.where("some").drop("some")
 
 
-def _with_csv(docs: DataFrame) -> DataFrame:
-    line = lambda r: F.array_join(F.transform(r["fields"], lambda x: csv_quote(x["f"])), ",")
-    return docs.withColumn("csv", F.concat(F.lit(BOM), F.array_join(F.transform("rows", line), CRLF), F.lit(CRLF)))
-
-
 def csv_texts(cells: DataFrame) -> DataFrame:
     """L1: doc_id, csv: guarded, quoted fields, CRLF lines after a byte order mark; documents without text have none.
 
-    Where cells have needs_review, a last record ``# review: R1C1 ...`` names the flagged ones."""
-    csv = _with_csv(_documents(cells)).select(DOC, "csv")
-    if "needs_review" not in cells.columns:
-        return csv
+    Where cells have needs_review, a last record ``# review: R1C1 ...`` names the flagged ones. A document's cells are gathered
+    once, with their fields made before; only where its grid has gaps are blank places put between them."""
+    kind = {f.name: f.dataType for f in cells.schema.fields}
+    review = F.coalesce("needs_review", F.lit(False)) if "needs_review" in kind else F.lit(False)
+    ready = cells.select(DOC, "row_idx", "col_idx", F.col("text").rlike(r"(?U)\S").alias("some"), csv_guard(F.coalesce("text", F.lit(""))).alias("f"), review.alias("review"))
+    ready = ready.withColumn("quoted", csv_quote(F.col("f")))
+    # by the field as it is guarded, as in ``_documents``, not as it is quoted
+    field = F.struct("row_idx", "col_idx", "f", F.when(F.col("quoted") != F.col("f"), F.col("quoted")).alias("quoted"), "review")
+    own = ready.groupBy(DOC).agg(
+        F.sort_array(F.collect_list(field)).alias("cells"),
+        (F.max("row_idx").cast("long") + 1).alias("h"),
+        (F.max("col_idx").cast("long") + 1).alias("w"),
+        F.least(F.min("row_idx"), F.min("col_idx")).alias("least"),
+        F.bool_or("some").alias("some"),
+    ).where("some")
+    w, size = F.col("w"), F.col("h") * F.col("w")
+    place = lambda x: x["row_idx"] * w + x["col_idx"]
+    full = (F.size("cells") == size) & F.forall(F.transform("cells", lambda x, i: place(x) == i), lambda same: same)
+    pads = (F.col("least") >= 0) & (size <= MAX_SLOTS) & ~F.coalesce(full, F.lit(False))
+    blank = lambda p: F.struct((p / w).cast(kind["row_idx"]).alias("row_idx"), (p % w).cast(kind["col_idx"]).alias("col_idx"), F.lit("").alias("f"), F.lit(None).cast("string").alias("quoted"), F.lit(False).alias("review"))
+    missing = F.array_except(F.sequence(F.lit(0).cast("long"), size - 1), F.transform("cells", place))
+    grid = F.when(pads, F.sort_array(F.concat("cells", F.transform(missing, blank)))).otherwise(F.col("cells"))
+
+    def written(cells: Column) -> Column:
+        lead = lambda x, i: F.when(i == 0, BOM).when(F.get(cells, i - 1)["row_idx"].eqNullSafe(x["row_idx"]), ",").otherwise(CRLF)
+        return F.array_join(F.transform(cells, lambda x, i: F.concat(lead(x, i), F.coalesce(x["quoted"], x["f"]))), "")
+
+    labels = F.transform(F.filter("cells", lambda x: x["review"]), lambda x: cell_label(x["row_idx"], x["col_idx"]))
     note = F.when(F.size("labels") > 0, F.concat(F.lit("# review: "), F.array_join("labels", " "), F.lit(CRLF))).otherwise("")
-    return csv.join(pending_labels(cells), DOC, "left").select(DOC, F.concat("csv", F.coalesce(note, F.lit(""))).alias("csv"))
+    return own.select(DOC, let(grid, written).alias("csv"), labels.alias("labels")).select(DOC, F.concat("csv", F.lit(CRLF), note).alias("csv"))
 
 
 def csv_texts_plain(cells: DataFrame) -> DataFrame:
@@ -75,7 +94,7 @@ def _read_back(cells: DataFrame, path: str) -> DataFrame:
     """doc_id, rows (wanted, as of ``_documents``) and got (rows of fields) of L1's CSV texts, written as a table at ``path``,
     and csv_ok: as wanted, in the places wanted. Both sides of a document meet in one row."""
     plain = cells.select(DOC, "row_idx", "col_idx", "text")
-    _with_csv(_documents(plain)).select(DOC, "csv").write.mode("errorifexists").parquet(path)
+    csv_texts(plain).write.mode("errorifexists").parquet(path)
     read = cells.sparkSession.read.parquet(path).select(DOC, csv_fields(F.col("csv")).alias("got"))
     met = _documents(plain).join(read, DOC, "full_outer")
     in_place = ~F.exists(F.transform("rows", lambda r, i: (r["row_idx"] != i) | F.exists(F.transform(r["fields"], lambda x, j: x["col_idx"] != j), lambda x: x)), lambda x: x)

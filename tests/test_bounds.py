@@ -372,3 +372,32 @@ def test_white_space_of_any_script(spark):
     kinds = spark.createDataFrame([(0.77, "0.77f")], "c double, t string")
     assert "0-9" not in kinds.select(rv.is_sentinel(F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert kinds.select(rv.is_sentinel(F.col("c")), rv.is_sentinel(F.col("t"))).first() == (True, False)
+
+
+def test_csv_texts_read_cells_once(spark, data):
+    plan = registry.QUERIES["l1_csv_texts"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and "Window" not in plan.split("Aggregate")[0]
+
+
+def test_csv_texts_against_brute_force(spark):
+    """Grids with gaps, repeats, far and negative places, blanks and nulls; fields that need guards, quotes or both."""
+    draw = random.Random(5)
+    texts = ["", " ", None, "a", "=1", "-2", "+x", "007", "a,b", '"q"', "=\"x\",", "1.5", "\u3000", "l\nm", "12345678901234567"]
+    rows = [(d, draw.randrange(3), draw.randrange(3), draw.choice(texts), draw.choice((True, False, None))) for d in range(40) for _ in range(draw.randrange(1, 10))]
+    rows += [(90, r, c, "x", False) for r in range(2) for c in range(2)] + [(91, 0, 0, "a", True), (91, FAR, 1, "b", True), (92, -1, 0, "c", False), (92, 2, 2, "d", True), (93, 0, 0, " ", True)]
+    found = {r.doc_id: r.csv for r in wr.csv_texts(spark.createDataFrame(rows, CELLS + ", needs_review boolean").repartition(3)).collect()}
+    fields = sorted({r[3] or "" for r in rows})
+    made = spark.createDataFrame([(t,) for t in fields], "t string").select("t", tx.csv_guard(F.col("t")).alias("g")).withColumn("q", tx.csv_quote(F.col("g")))
+    of = {r.t: (r.g, r.q) for r in made.collect()}
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [(r, c, *of[t or ""]) for k, r, c, t, _ in rows if k == d]
+        if not any((t or "").strip() for k, _, _, t, _ in rows if k == d):
+            continue
+        h, w = max(x[0] for x in own) + 1, max(x[1] for x in own) + 1
+        if h * w <= 1 << 20 and min(x[:2] for x in own)[0] >= 0:
+            own += [(r, c, "", "") for r in range(h) for c in range(w) if (r, c) not in {x[:2] for x in own}]
+        lines = [",".join(x[3] for x in sorted(own) if x[0] == r) for r in sorted({x[0] for x in own})]
+        labels = [f"R{r + 1}C{c + 1}" for r, c in sorted((r, c) for k, r, c, _, flag in rows if k == d and flag)]
+        want[d] = "\ufeff" + "\r\n".join(lines) + "\r\n" + (f"# review: {' '.join(labels)}\r\n" if labels else "")
+    assert found == want
