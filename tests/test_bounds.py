@@ -401,3 +401,25 @@ def test_csv_texts_against_brute_force(spark):
         labels = [f"R{r + 1}C{c + 1}" for r, c in sorted((r, c) for k, r, c, _, flag in rows if k == d and flag)]
         want[d] = "\ufeff" + "\r\n".join(lines) + "\r\n" + (f"# review: {' '.join(labels)}\r\n" if labels else "")
     assert found == want
+
+
+def test_plain_pages_are_taken_apart_as_by_the_parser():
+    """Random pages of plain and odd pieces have the same rows, whichever way is taken."""
+    draw = random.Random(11)
+    plain = ["<table>", "<tr>", "<td>", '<td rowspan=" 2 ">', '<td rowspan="x2" colspan="3" rowspan="4">', "</td>", "<th>", "</th>", "</tr>", "</table>", "<br>", "<b>", "a b", " ", "\n", "\x00\r", "x > y", "ä\u2028"]
+    odd = ["&amp;", "&", "<br/>", "<TD>", "<td rowspan=2>", "<script>", "</script>", "<!-- <td> -->", "<", "</td >", "<td\n>", "<title>", "</", "<td a='1'>", "<?x>"]
+    short = 0
+    for n in range(6000):
+        cells = lambda: "".join(f"<td>{draw.choice(plain[10:])}{draw.choice(plain[10:] if n % 4 == 1 else plain)}</td>" for _ in range(draw.randrange(4)))
+        pieces = [draw.choice([x for x in plain if not x.startswith("</t")] if n % 4 == 1 else plain if n % 2 or draw.random() < 0.9 else odd) for _ in range(draw.randrange(12))]
+        page = "".join(f"<tr>{cells()}{x}{cells()}</tr>" if n % 3 else x for x in pieces)
+        short += bool(rd.PLAIN_PAGE.fullmatch(page) and rd._plain_rows(page))
+        assert list(rd.markup_rows(page)) == list(rd._parsed_rows(page)), page
+    assert short >= 500, short
+
+
+def test_pages_of_tables_are_plain(spark, data, monkeypatch):
+    kept = []
+    monkeypatch.setattr(rd, "html_tables_to_cells", lambda pages: kept.append(pages) or pages)
+    registry.QUERIES["a4_html_tables"](spark, data)
+    assert all(rd.PLAIN_PAGE.fullmatch(r.html) and rd._plain_rows(r.html) is not None for r in kept[0].collect())
