@@ -423,3 +423,16 @@ def test_pages_of_tables_are_plain(spark, data, monkeypatch):
     monkeypatch.setattr(rd, "html_tables_to_cells", lambda pages: kept.append(pages) or pages)
     registry.QUERIES["a4_html_tables"](spark, data)
     assert all(rd.PLAIN_PAGE.fullmatch(r.html) and rd._plain_rows(r.html) is not None for r in kept[0].collect())
+
+
+def test_methods_that_write_documents_are_compiled(spark, data):
+    """The JVM compiles no method of over 8,000 bytes."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = gates._raw(spark, data)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
