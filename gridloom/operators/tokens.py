@@ -37,9 +37,9 @@ def well_formed(tokens: DataFrame) -> DataFrame:
 
 def with_box(tokens: DataFrame) -> DataFrame:
     """Tokens with left, right, top, bottom, cx, cy."""
-    side = lambda k, f: f(F.transform("points", lambda p: p[k]))
-    mean = lambda k: F.aggregate("points", F.lit(0.0), lambda a, p: a + p[k]) / F.size("points")
-    return tokens.withColumns({"left": side("x", F.array_min), "right": side("x", F.array_max), "top": side("y", F.array_min), "bottom": side("y", F.array_max), "cx": mean("x"), "cy": mean("y")})
+    t = tokens.withColumns({"__px": F.col("points.x"), "__py": F.col("points.y")})
+    t = t.withColumns({"left": F.array_min("__px"), "right": F.array_max("__px"), "top": F.array_min("__py"), "bottom": F.array_max("__py"), "cx": _mean("__px"), "cy": _mean("__py")})
+    return t.drop("__px", "__py")
 
 
 def in_frame(left: Column, right: Column, top: Column, bottom: Column, rows: Column, cols: Column, share: float = 0.70) -> Column:

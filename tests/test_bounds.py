@@ -436,3 +436,11 @@ def test_methods_that_write_documents_are_compiled(spark, data):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000
+
+
+def test_boxes_of_any_points(spark):
+    """Boxes of four points take no loop; those of none have no middle, and end no job."""
+    rows = [(1, [(0.0, 1.0), (4.0, 1.0), (4.0, 3.0), (0.0, 3.0)]), (2, [(0.0, 0.0), (3.0, 6.0), (6.0, 0.0)]), (3, [])]
+    tokens = spark.createDataFrame(rows, "token_id long, points array<struct<x:double,y:double>>")
+    found = {r.token_id: tuple(r)[2:] for r in tk.with_box(tokens).collect()}
+    assert found == {1: (0.0, 4.0, 1.0, 3.0, 2.0, 2.0), 2: (0.0, 6.0, 0.0, 6.0, 3.0, 2.0), 3: (None,) * 6}
